@@ -62,6 +62,11 @@ def _prepared(spark: SparkSession, templates) -> list[dict]:
     return out
 
 
+def _settled(rows: DataFrame, *names: str) -> DataFrame:
+    """The same columns, computed once a row: the optimiser doesn't copy expressions through a generator, where a lambda would evaluate them for each element."""
+    return rows.select(F.inline(F.array(F.struct("doc_id", *names))))
+
+
 def _longs(values) -> str:
     return ", ".join(f"{v}L" if v != -(2**63) else "-9223372036854775807L - 1L" for v in values)
 
@@ -79,27 +84,27 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     only. A null or wordless text has no row; a null doc_id is reported as null; repeated rows are reported once. Other columns are ignored.
     """
     known = _prepared(docs.sparkSession, templates)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w")).where("size(w) > 0")
+    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w"))
     sizes = sorted({t["size"] for t in known} | ({SIZE} if known else set()))
     if not known:
         return rows.select("doc_id", F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).where("false")
-    for size in sizes:
-        rows = rows.withColumn(f"s{size}", _shingles("w", size))
-    rows = rows.drop("w")
-    hits = []
+    rows = _settled(rows, "w")
+    rows = rows.select("doc_id", *[_shingles("w", size).alias(f"s{size}") for size in sizes])
+    rows = _settled(rows, *[f"s{size}" for size in sizes])
+    hits, bands = [], []
     long_ = [t for t in known if t["bands"] is not None]
     if long_:
         for band, keys in enumerate(_bands(f"s{SIZE}", WINDOW)):
             wanted = sorted({k for t in long_ for k in t["bands"][band]})
-            rows = rows.withColumn(f"b{band}", keys)
+            bands.append(keys.alias(f"b{band}"))
             hits.append(F.expr(f"transform(filter(transform(b{band}, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k in ({_longs(wanted)})), x -> named_struct('size', {SIZE}, 'band', {band}, 'k', x.k, 'i', x.i))"))
     for size in sizes:
         short = [t for t in known if t["bands"] is None and t["size"] == size]
         if short:
             wanted = sorted({k for t in short for k in t["shingles"]})
             hits.append(F.expr(f"transform(filter(transform(s{size}, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k in ({_longs(wanted)})), x -> named_struct('size', {size}, 'band', -1, 'k', x.k, 'i', x.i))"))
-    rows = rows.withColumn("hits", F.concat(*hits)).where("size(hits) > 0")
-    rows = rows.withColumn("hit", F.explode("hits")).select("doc_id", *[f"s{s}" for s in sizes], "hit.*")
+    rows = _settled(rows.select("doc_id", *[f"s{s}" for s in sizes], *bands), *[f"s{s}" for s in sizes], *[f"b{k}" for k in range(len(bands))])
+    rows = rows.select("doc_id", *[f"s{s}" for s in sizes], F.explode_outer(F.concat(*hits)).alias("hit")).where("hit is not null").select("doc_id", *[f"s{s}" for s in sizes], "hit.*")
     cases = []
     for n, t in enumerate(known):
         m, s = len(t["shingles"]), f"s{t['size']}"
