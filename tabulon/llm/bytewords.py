@@ -128,7 +128,7 @@ def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
             if b - a >= size:
                 yield np.unique(key[a : b - size + 1])
             elif b > a:
-                yield mix(np.array([np.sum(h[a:b] * _MIXERS[: b - a]) + _MIXERS[-1] * _U(b - a)])).view(np.int64)
+                yield mix(np.sum(h[a:b] * _MIXERS[: b - a], keepdims=True) + _MIXERS[-1:] * _U(b - a)).view(np.int64)
             else:
                 yield np.zeros(0, dtype=np.int64)
 

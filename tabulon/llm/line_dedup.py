@@ -38,16 +38,16 @@ def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = seen.join(boilerplate, "h")
     first = found.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"))
     gone = found.join(first, "h").where(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("pos") == F.col("first.pos"))))
-    gone = gone.groupBy("d").agg(F.collect_set(F.xxhash64("pos", "h")).alias("gone"))
+    gone = gone.groupBy(F.col("d").alias("d__of_lines")).agg(F.collect_set(F.xxhash64("pos", "h")).alias("gone__lines"))
 
     text = F.col(text_col)
-    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["d"]), "left").drop("d")
+    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["d__of_lines"]), "left").drop("d__of_lines")
     lines = F.split(text, "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains("gone", F.xxhash64(i, F.xxhash64(F.trim(line)))))
+    left = F.filter(lines, lambda line, i: ~F.array_contains("gone__lines", F.xxhash64(i, F.xxhash64(F.trim(line)))))
     marked = marked.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    kept = F.when(F.col("gone").isNull(), lines).otherwise(left)
-    marked = marked.withColumn("n_removed", F.when(text.isNull() | F.col("gone").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long"))
-    return marked.withColumn(text_col, F.when(F.col("gone").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("gone")
+    kept = F.when(F.col("gone__lines").isNull(), lines).otherwise(left)
+    marked = marked.withColumn("n_removed", F.when(text.isNull() | F.col("gone__lines").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long"))
+    return marked.withColumn(text_col, F.when(F.col("gone__lines").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("gone__lines")
 
 
 def oracle(min_sites: int = MIN_SITES) -> str:
