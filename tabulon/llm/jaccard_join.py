@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import bytewords
@@ -220,10 +221,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     own = signed.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("print").alias("print"))
     classes = own.groupBy("print").agg(F.min("doc_id").alias("x"))
-    heads = signed.where("n > 0").join(classes.withColumnRenamed("x", "doc_id"), ["doc_id", "print"], "left_semi").dropDuplicates(["doc_id"])
+    # one shuffle brings the hashes to their class, one more deals them; both joins and the window keep that partitioning
+    named_heads = classes.select(F.col("x").alias("doc_id"), F.col("print").alias("own"))
+    heads = signed.where("n > 0").join(named_heads, "doc_id").where("print = own")
     tokens = heads.select(F.col("doc_id").alias("x"), "shared", F.explode("least").alias("h"))
-    frequent = tokens.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    met = tokens.join(frequent, "h").groupBy("x", "shared").agg(F.collect_list(F.struct("df", "h")).alias("met")).where("size(met) >= shared")
+    counted = tokens.withColumn("df", F.count("*").over(W.partitionBy("h"))).where("df > 1")
+    met = counted.groupBy("x", "shared").agg(F.collect_list(F.struct("df", "h")).alias("met")).where("size(met) >= shared")
     kept = scratch.keep(met.select("x", F.expr("transform(slice(array_sort(met), 1, cast(size(met) - shared + 1 as int)), m -> m.h)").alias("keys")), "kept")
 
     cells = kept.select("x", F.explode("keys").alias("h"))
