@@ -20,6 +20,8 @@ STEPS, SAMPLES, ROUNDS = 16, 2, 4
 #: Benchmark bytes held at once; more are taken in blocks, each with a pass over the documents.
 BLOCK = 16 << 20
 CHUNK = 1 << 20
+#: Entries of a sieve; what passes it by chance is found out by the whole key.
+SIEVE = 1 << 20
 _U = np.uint64
 
 
@@ -36,22 +38,33 @@ def sampled_steps(turn: int) -> np.ndarray:
     return np.sort(np.random.default_rng(1000 + turn).choice(np.arange(1, STEPS), SAMPLES, replace=False))
 
 
-def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int) -> np.ndarray:
-    """For each start, a key of the walk's first symbol and its symbols at the sampled steps.
+def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(places in `start`, keys, partial keys): of each walk, a key of its first symbol and its symbols at the sampled steps.
 
     A walk reads a symbol and, by a random bit of symbol and step, stays or goes on; equal stretches after an edit fall into step
-    again. Past the last symbol (`last`) it reads a filler.
+    again. Past the last symbol (`last`) it reads a filler. With `sieves` (a table of partial keys for each sampled step) a walk ends
+    where its partial key is none of theirs, as its key can't be either.
     """
-    at, key = start.copy(), pair[start] * _U(turn * 2 + 1)
-    steps = sampled_steps(turn)
+    which, at, key, last = np.arange(len(start)), start.copy(), pair[start] * _U(turn * 2 + 1), last.copy()
+    steps, partial = list(sampled_steps(turn)), []
+    odd = np.random.default_rng(2000 + turn).integers(1, 2**63, STEPS, dtype=np.uint64) * _U(2) + _U(1)
     for step in range(steps[-1] + 1):
         inside = at <= last
         symbol = np.where(inside, pair[np.minimum(at, last)], _U(0))
         if step in steps:
             key = bytewords.mix(key + symbol)
-        coin = bytewords.mix(symbol + _U(turn * 64 + step)) & _U(1)
-        at = at + (coin.astype(np.int64) & inside)
-    return key
+            partial.append(key)
+            if sieves is not None:
+                on = np.flatnonzero(sieves[len(partial) - 1][(key & _U(SIEVE - 1)).astype(np.int64)])
+                which, at, key, last, symbol, inside = which[on], at[on], key[on], last[on], symbol[on], inside[on]
+        at += ((symbol * odd[step]) >> _U(63)).astype(np.int64) & inside
+    return which, key, partial
+
+
+def _sieve(keys: np.ndarray) -> np.ndarray:
+    out = np.zeros(SIEVE, dtype=bool)
+    out[(keys & _U(SIEVE - 1)).astype(np.int64)] = True
+    return out
 
 
 class Index:
@@ -81,26 +94,25 @@ class Index:
         start, last = np.concatenate(starts or none), np.concatenate(lasts or none)
         self.item, self.offset = np.concatenate(item or none), np.concatenate(offset or none)
         self.begins = np.unique(pair[start])
-        self.filter = np.zeros(1 << 20, dtype=bool)
-        self.filter[(self.begins & _U((1 << 20) - 1)).astype(np.int64)] = True
+        self.filter = _sieve(self.begins)
         self.tables = []
         for turn in range(ROUNDS):
-            keys = walk_keys(pair, start, last, turn) if len(start) else np.zeros(0, dtype=np.uint64)
+            _, keys, partial = walk_keys(pair, start, last, turn)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order))
+            self.tables.append((keys[order], order, [_sieve(k) for k in partial]))
         self.alone = np.array(sorted(self.single), dtype=np.uint64)
 
     def candidates(self, h: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, item, offset of that word in the item) of colliding walks. last: of each word the last pair of its text."""
-        maybe = np.flatnonzero(self.filter[(pair & _U((1 << 20) - 1)).astype(np.int64)])
-        maybe = maybe[np.isin(pair[maybe], self.begins) & (maybe <= last[maybe])]
+        maybe = np.flatnonzero(self.filter[(pair & _U(SIEVE - 1)).astype(np.int64)])
+        maybe = maybe[maybe <= last[maybe]]
         found = []
-        for turn, (keys, order) in enumerate(self.tables):
-            mine = walk_keys(pair, maybe, last[maybe], turn) if len(maybe) else np.zeros(0, dtype=np.uint64)
+        for turn, (keys, order, sieves) in enumerate(self.tables):
+            on, mine, _ = walk_keys(pair, maybe, last[maybe], turn, sieves)
             a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             n = b - a
             which = order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, dtype=np.int64)
-            found.append(np.stack([np.repeat(maybe, n), self.item[which], self.offset[which]]))
+            found.append(np.stack([np.repeat(maybe[on], n), self.item[which], self.offset[which]]))
         lone = np.flatnonzero(np.isin(h, self.alone))
         extra = [(p, i, 0) for p in lone for i in self.single[int(h[p])]]
         found.append(np.array(extra, dtype=np.int64).reshape(-1, 3).T)
@@ -142,6 +154,8 @@ def _scan(items: list[tuple[int, str]], rate: float):
                     most = int(rate * len(words))
                     a = max(int(first[doc]), spot * 8 - most - 8)
                     b = min(int(first[doc + 1]), spot * 8 + 16 + len(words) + most)
+                    if best.get((doc, it), (1,))[0] == 0 or len(words) - np.isin(words, h[a:b]).sum() > most:
+                        continue  # each word of the item that the region lacks is an edit
                     d, s, e = infix_distance(words, h[a:b])
                     hit = (d, a + s - int(first[doc]), a + e - int(first[doc]))
                     if d <= most and hit < best.get((doc, it), (len(words) + 1, 0, 0)):
