@@ -125,10 +125,19 @@ def search(chunks: DataFrame, questions: DataFrame, *, top: int = TOP, floor: fl
     return hits.unionByName(more.select(*hits.columns))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k vectors of highest cosine for each query (query_id, query): id and score, ties by id."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUESTIONS) -> DataFrame:
+    """The k vectors of highest cosine for each query (query_id, query): id and score, ties by id.
+
+    A stated query set against all vectors, in blocks of about `block` queries: only one block is broadcast to a join, so what is sent
+    doesn't grow with the set. Each task keeps its k best of a query before the shuffle. An empty set gives no rows.
+    """
+    from functools import reduce
+
     from pyspark.sql import Window as W
 
-    scored = vectors.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    n = max(1, -(-queries.count() // block))
+    parts = [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    score = cosine(F.col("embedding"), F.col("query")).alias("score")
+    scored = reduce(DataFrame.unionByName, [vectors.crossJoin(F.broadcast(q)).select("query_id", "vec_id", score) for q in parts])
     place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("place", place).where(F.col("place") <= k)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .functions import values as V
 from .functions.labels import STOP_WORDS, fold_label, label_similarity, lexical_tokens
 from .model import FieldSpec
-from .operators import extract, ground, profile, resolve, retrieve, trust
+from .operators import extract, ground, layout, profile, resolve, retrieve, trust
 from .plans.planner import plan
 from .spec import DataQuery
 from .streaming import events as ev
@@ -239,7 +239,7 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    queries = e.where("vec_id % 100 = 0 and vec_id < 1000").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return retrieve.nearest(e, queries, 5).select("query_id", "vec_id", "place", F.round("score", 5).alias("score"))
 
 
@@ -252,7 +252,7 @@ def lexical_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = chunk_documents(spark, sf_dir).withColumn("chunk_id", F.concat_ws("-", F.col("document_id"), F.col("ordinal"))).withColumn("is_digest", F.lit(False))
-    q = _table(spark, sf_dir, "benchmark").orderBy("item_id").limit(20).select(F.col("item_id").alias("question_id"), "text")
+    q = _table(spark, sf_dir, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("question_id"), "text")
     return retrieve.search(retrieve.embed(c), retrieve.embed(q))
 
 
@@ -280,7 +280,46 @@ def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.rewrite_answers(c, c.select("message_id", F.lit("none").alias("chunk_id")).where("false"))
 
 
-_FUNCTIONS = (dq_lineage, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as boxes on their order's page."""
+    x, top = F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("double")
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", x.alias("x0"), top.alias("top"), (x + 1).alias("x1"), (top + 3).alias("bottom"))
+
+
+def visual_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.visual_lines(_boxes(spark, sf_dir), ["l_orderkey"])
+
+
+def ocr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as recognised words: their discount gives the confidence, their supplier's parity the block."""
+    x, top = F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("double")
+    words = _table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("document_id"), F.lit(0).alias("page_index"), (F.col("l_suppkey") % 2).alias("block"), F.lit(1).alias("par"), F.lit(1).alias("line"),
+        F.col("l_returnflag").alias("text"), F.round(F.col("l_discount") * 1000).alias("conf"), x.alias("x0"), top.alias("top"), (x + 1).alias("x1"), (top + 3).alias("bottom"),
+    )
+    return layout.ocr_lines(words)
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.layout_pages(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+
+
+def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("document_id", "page_index", F.size("words").alias("n_words"), F.size("lines").alias("n_lines"))
+
+
+def line_word_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.line_word_spans(_pages(spark, sf_dir))
+
+
+def cite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every page as a cited passage."""
+    pages = _pages(spark, sf_dir)
+    lines = layout.line_word_spans(pages).withColumn("chunk_id", F.concat_ws("-", "document_id", "page_index", "line_no"))
+    return layout.cite(lines, pages)
+
+
+_FUNCTIONS = (visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -290,6 +329,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RANKED = "row_number() over (partition by field_key order by n desc, label) as place"
 _SQL = {
+    "visual_lines": "with b as (select l_orderkey, cast(l_linenumber as double) as x0, cast(l_quantity as double) as top from lineitem), c as (select *, coalesce(top - 0.5 >= max(top + 3) over (w rows between unbounded preceding and 1 preceding), false)::int as breaks from b window w as (partition by l_orderkey order by top, x0)), d as (select *, sum(breaks) over (partition by l_orderkey order by top, x0 rows unbounded preceding)::int as line from c) select l_orderkey, line, count(*) as n_boxes, min(x0) as x0, min(top) as top, max(x0 + 1) as x1, max(top + 3) as bottom from d group by 1, 2",
+    "ocr_lines": "with g as (select l_orderkey as document_id, l_suppkey % 2 as block, string_agg(l_returnflag, ' ' order by l_linenumber, l_returnflag) as text, cast(min(l_linenumber) as double) as x0, cast(min(l_quantity) as double) as top, cast(max(l_linenumber) + 1 as double) as x1, cast(max(l_quantity) + 3 as double) as bottom from lineitem where round(l_discount * 1000) >= 30 group by 1, 2) select document_id, 0 as page_index, (row_number() over (partition by document_id order by top, x0, block) - 1)::int as line_no, text, x0, top, x1, bottom from g",
     "dq_lineage": _MELT + f"select {_GROUP} as label, count(*)::int as n, md5(string_agg(record_id, ',' order by record_id)) as ids_md5 from m group by 1",
     "field_profile": _PROFILE,
     "field_topk": _TALL + f"select * from (select *, {_RANKED} from (select field_key, label, count(*) as n from tall where field_key <> 'total' group by 1, 2)) where place <= 5",
@@ -305,7 +346,7 @@ _SQL = {
     "upsert_protected": _MELT + "select record_id, case when k % 11 <> 0 and k % 10 = 0 and k % 5 <> 0 then total + 1 else total end as n, case when k % 11 = 0 then 'medium' when k % 5 = 0 and k % 10 = 0 then 'conflict' when k % 5 = 0 then 'verified' else 'low' end as tier, case when k % 5 = 0 then 'human_verified' else 'model' end as status, case when k % 11 <> 0 and k % 10 = 0 then total + 1 end as model_n, case when k % 11 <> 0 and k % 10 = 0 then '2024-01-01' end as model_value_at from m",
     "merge_fields": "select 'priority' as field_key, count(*) as n, count(*) as n_records from orders union all select 'segment', count(*), count(*) from orders",
     "trust_tally": "select cast(o_orderkey as varchar) as record_id, round(5 * case when o_orderkey % 5 = 0 then 0 else (2 * (1 - (o_orderkey % 100) / 100)) * case when o_orderkey % 100 < 60 then 1.5 else 1 end end, 4) as impact, case when o_orderkey % 100 < 60 then 'unverified' when o_orderkey % 100 < 85 then 'review' else 'high' end as trust, 5::bigint as n_values from orders",
-    "vector_topk": "select query_id, vec_id, place, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from (select q.vec_id as query_id, e.vec_id, greatest(0, least(1, list_cosine_similarity(e.embedding::double[], q.embedding::double[]))) as score from embeddings e, embeddings q where q.vec_id % 100 = 0 and q.vec_id < 1000)) where place <= 5",
+    "vector_topk": "select query_id, vec_id, place, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from (select q.vec_id as query_id, e.vec_id, greatest(0, least(1, list_cosine_similarity(e.embedding::double[], q.embedding::double[]))) as score from embeddings e, embeddings q where q.vec_id % 20 = 0)) where place <= 5",
     "lexical_overlap": f"with d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), b as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark) select doc_id, item_id, count(*) as shared from d join b using (w) where w not in ({_STOP}) group by 1, 2 having count(*) >= 10",
     "event_sequence": "select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events",
     "event_resume": "select user_id, event_id, seq from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq, count(*) over (partition by user_id) as n from events) where seq > n // 2",
