@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.labels import excerpt
+
 LINES, COLUMNS, LETTER, LEADING, MARGIN = 48, 96, 5.0, 14.0, 40.0
 BOX = ("x0", "top", "x1", "bottom")
-MOST_BOXES, EXCERPT, BAND, CURSOR_BAND = 40, 240, 0.5, 1.0
+MOST_BOXES, BAND, CURSOR_BAND = 40, 0.5, 1.0
 _WORD = "struct<text:string,x0:double,top:double,x1:double,bottom:double>"
 
 
@@ -103,11 +105,6 @@ def visual_lines(boxes: DataFrame, key: list[str]) -> DataFrame:
     return rows.groupBy(*key, "line").agg(F.count("*").alias("n_boxes"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "top"), (F.max, "x1"), (F.max, "bottom"))])
 
 
-def excerpt(text: F.Column) -> F.Column:
-    flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.when(F.length(flat) > EXCERPT, F.concat(F.rtrim(F.substring(flat, 1, EXCERPT - 1)), F.lit("…"))).otherwise(flat)
-
-
 def cite(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks (chunk_id, document_id, page_index, text, word_start, word_end) with their page's words: chunk_id, document_id, page_index,
     excerpt and boxes, one per visual line, at most MOST_BOXES from the top. A chunk without a range or page has no boxes.

@@ -48,7 +48,7 @@ def test_pages_and_citations(spark):
     none = spark.createDataFrame([("none", 2, 0, "t", None, None)], "chunk_id string, document_id long, page_index int, text string, word_start int, word_end int")
     cited = {r.chunk_id: r for r in layout.cite(whole.unionByName(none), pages).collect()}
     assert cited["none"].boxes == []
-    assert len(cited["1-0"].excerpt) <= layout.EXCERPT and cited["1-0"].excerpt.endswith("…")
+    assert len(cited["1-0"].excerpt) <= 240 and cited["1-0"].excerpt.endswith("…")
     for (doc, page), p in held.items():
         if p.words:
             want = [(b.x0, b.top, b.x1, b.bottom) for b in p.lines][: layout.MOST_BOXES]
