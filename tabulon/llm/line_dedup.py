@@ -9,6 +9,15 @@ from .store import Scratch
 
 MIN_SITES = 8
 LG_K = 12
+#: A line that makes up more than one in FREQUENT of all rows is joined by broadcast; there are fewer than FREQUENT of those.
+FREQUENT = 2000
+
+
+def _with_lines(rows: DataFrame, lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """`rows` joined with `lines`, one row per h: no rows of a frequent line are shuffled to a single task."""
+    frequent = F.broadcast(frequent)
+    few = rows.join(F.broadcast(lines.join(frequent, "h", "left_semi")), "h")
+    return few.unionByName(rows.join(frequent, "h", "left_anti").join(lines.join(frequent, "h", "left_anti"), "h"))
 
 
 def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -17,7 +26,7 @@ def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     A line (trimmed of spaces, not blank) is boilerplate if at least `min_sites` distinct sites have it. Its first occurrence, by
     doc_id and place, stays; every other one goes. HyperLogLog sketches of the sites are merged per line hash; where the estimate
     is within three standard errors of the threshold, or half a site, the distinct sites are counted exactly. Only lines that occur
-    `min_sites` times can qualify, so only those are sketched. Built-in functions only.
+    `min_sites` times can qualify, so only those are sketched; very frequent ones are joined without a shuffle of their rows. Built-in functions only.
 
     A null text stays null with 0 lines; a null site counts as one site of its own; a null doc_id orders first. Repeated rows
     with one doc_id keep or lose the same lines. Other columns pass through; n_lines and n_removed replace columns so named.
@@ -26,18 +35,21 @@ def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     rows = rows.where("trim(line) <> ''").select("d", "site", "pos", F.xxhash64(F.trim("line")).alias("h"))
     rows = scratch.keep(rows, "rows")
-    often = rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= min_sites).select("h")
-    seen = scratch.keep(rows.join(often, "h"), "seen")
+    often = scratch.keep(rows.groupBy("h").agg(F.count("*").alias("k")).where(F.col("k") >= min_sites), "often")
+    frequent = often.where(F.col("k") * FREQUENT > rows.count()).select("h")
+    seen = scratch.keep(_with_lines(rows, often.select("h"), frequent), "seen")
 
-    spread = scratch.keep(seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites")), "spread")
+    spread = seen.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"), F.min(F.struct("d", "pos")).alias("first"))
+    spread = scratch.keep(spread, "spread")
     margin = max(0.5, 3 * 1.04 / 2 ** (LG_K / 2) * min_sites)
-    near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("h")
-    exact = seen.join(near, "h").groupBy("h", "site").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
-    boilerplate = spread.where(F.col("sites") > min_sites + margin).select("h").unionByName(exact.select("h"))
+    near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("h", "first")
+    exact = _with_lines(seen, near.select("h"), frequent).groupBy("h", "site").agg(F.lit(1).alias("one"))
+    exact = exact.groupBy("h").agg(F.count("*").alias("sites")).where(F.col("sites") >= min_sites)
+    boilerplate = spread.where(F.col("sites") > min_sites + margin).select("h", "first").unionByName(near.join(exact.select("h"), "h", "left_semi"))
+    boilerplate = scratch.keep(boilerplate, "boilerplate")
 
-    found = seen.join(boilerplate, "h")
-    first = found.groupBy("h").agg(F.min(F.struct("d", "pos")).alias("first"))
-    gone = found.join(first, "h").where(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("pos") == F.col("first.pos"))))
+    found = _with_lines(seen, boilerplate, frequent)
+    gone = found.where(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("pos") == F.col("first.pos"))))
     gone = gone.groupBy(F.col("d").alias("d__of_lines")).agg(F.collect_set(F.xxhash64("pos", "h")).alias("gone__lines"))
 
     text = F.col(text_col)
