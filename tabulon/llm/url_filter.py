@@ -40,66 +40,76 @@ def _fits(rule: str) -> F.Column:
     return ((F.col("host") == host) | F.col("host").endswith("." + host)) & F.col("path").startswith(path)
 
 
-def _template(path: F.Column) -> list[F.Column]:
-    """Segments as shapes: runs of digits become N, segments from DEPTH on stay together."""
-    shapes = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "N"), "/"), lambda s: s != "")
-    head = [F.coalesce(F.get(shapes, F.lit(k)), F.lit("")) for k in range(DEPTH - 1)]
-    return [*head, F.array_join(F.slice(shapes, DEPTH, 1_000_000), "/")]
+def _shapes(path: F.Column) -> F.Column:
+    """The path's segments with runs of digits as N."""
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "N"), "/"), lambda s: s != "")
+
+
+def _alike() -> F.Column:
+    """Whether a node's labelled rate (b of l) does not differ from that of it and its siblings (ba of la) by Z standard errors."""
+    rate = F.col("ba") / F.col("la")
+    near = F.abs(F.col("b") / F.col("l") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("l"))
+    return F.when((F.col("l") == 0) | (F.col("la") == 0), True).otherwise(near)
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, t1.., n, labelled, bad) -> the same with g1.., the generalised template of each, and its purity.
+    """(host, shapes, labelled, bad) -> the same with template, the generalised one of each, and its purity.
 
-    Top down, a node with more than WIDE children merges them into one wildcard. Bottom up, siblings whose labelled rate does not
-    differ from that of all siblings by Z standard errors merge into a wildcard. The purity is the rate of bad labels, smoothed by
-    PRIOR pages at the global rate. Each level is written, so the next one does not compute it twice.
+    Top down, a node with more than WIDE children merges the variable ones into one wildcard: those with fewer labels than the prior's
+    PRIOR pages, and those whose labelled rate does not differ from that of all siblings by Z standard errors. Labelled children that
+    differ stay. Bottom up, all siblings that do not differ merge. Levels go on until no two paths share a longer one. The purity is
+    the rate of bad labels, smoothed by PRIOR pages at the global rate. Each level is written, so the next one does not compute it
+    twice. A template has DEPTH levels at least; of the deeper ones, closing wildcards are left out.
     """
-    tree = pages.select("*", *[F.col(t).alias(f"g{k}") for k, t in enumerate(LEVELS, 1)])
-    tree = scratch.keep(tree, "shapes")
-    for k in range(1, DEPTH + 1):
-        above = ["host", *[f"g{j}" for j in range(1, k)]]
-        width = tree.groupBy(*above).agg(F.countDistinct(f"g{k}").alias("width"))
-        tree = tree.join(width, above).withColumn(f"g{k}", F.when(F.col("width") > WIDE, "*").otherwise(F.col(f"g{k}"))).drop("width")
-        tree = scratch.keep(tree, f"wide-{k}")
-    for k in range(DEPTH, 0, -1):
-        above = ["host", *[f"g{j}" for j in range(1, k)]]
+    tree, g = scratch.keep(pages, "shapes"), []
+    while True:
+        above, own = ["host", *g], f"g{len(g) + 1}"
+        g.append(own)
+        tree = tree.withColumn(own, F.coalesce(F.get("shapes", F.lit(len(g) - 1)), F.lit("")))
+        node = tree.groupBy(*above, own).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+        whole = node.groupBy(*above).agg(F.count("*").alias("width"), F.sum("l").alias("la"), F.sum("b").alias("ba")).where(F.col("width") > WIDE)
+        wild = node.join(whole, above).where((F.col("l") < PRIOR) | _alike()).select(*above, own, F.lit("*").alias("m"))
+        tree = scratch.keep(tree.join(wild, [*above, own], "left").withColumn(own, F.coalesce("m", own)).drop("m"), f"wide-{len(g)}")
+        # paths of one template so far go on only if one of them has more segments; a path alone has no siblings below
+        shared = tree.groupBy("host", *g).agg(F.count("*").alias("paths"), F.max(F.size("shapes")).alias("longest"))
+        if len(g) >= DEPTH and shared.where((F.col("paths") > 1) & (F.col("longest") > len(g))).isEmpty():
+            break
+    for k in range(len(g), 0, -1):
+        above = ["host", *g[: k - 1]]
         node = tree.groupBy(*above, f"g{k}").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         whole = node.groupBy(*above).agg(F.sum("l").alias("la"), F.sum("b").alias("ba"))
-        rate = F.col("ba") / F.col("la")
-        near = F.abs(F.col("b") / F.col("l") - rate) <= Z * F.sqrt(rate * (1 - rate) / F.col("l"))
-        alike = F.when((F.col("l") == 0) | (F.col("la") == 0), True).otherwise(near)
-        merged = node.join(whole, above).select(*above, f"g{k}", F.when(alike, "*").otherwise(F.col(f"g{k}")).alias("m"))
+        merged = node.join(whole, above).select(*above, f"g{k}", F.when(_alike(), "*").otherwise(F.col(f"g{k}")).alias("m"))
         tree = tree.join(merged, [*above, f"g{k}"]).withColumn(f"g{k}", F.col("m")).drop("m")
         tree = scratch.keep(tree, f"merged-{k}")
-    groups = ["host", *[f"g{k}" for k in range(1, DEPTH + 1)]]
+    groups = ["host", *g]
     base = tree.agg((F.sum("bad") / F.greatest(F.sum("labelled"), F.lit(1))).alias("base"))
     purity = tree.groupBy(*groups).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")).join(F.broadcast(base))  # one row
     purity = purity.select(*groups, ((F.col("b") + PRIOR * F.coalesce("base", F.lit(0.0))) / (F.col("l") + PRIOR)).alias("purity"))
-    return tree.join(purity, groups)
+    deeper = [F.regexp_replace(F.concat(*[F.concat(F.lit("/"), x) for x in g[DEPTH:]]), r"(/\*)+$", "")] if len(g) > DEPTH else []
+    return tree.join(purity, groups).withColumn("template", F.concat(F.concat_ws("/", "host", *g[:DEPTH]), *deeper))
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, *, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, template, purity.
 
     The longest fitting rule decides; else the page's template: block where the smoothed rate of bad labels (quality 0 or toxic 1
-    of the document with the page's id) reaches CUT. Pages are aggregated to (host, template) before the tree is built, so a
+    of the document with the page's id) reaches CUT. Pages are aggregated to (host, shapes of the path) before the tree is built, so a
     host with a third of all pages is a few rows there. Built-in functions only.
 
     A null url, or one without ://, has an empty host and path. Repeated pages count each. Labels that repeat for an id count once,
     bad if one of them is bad. A null id has no label. Without labels every purity is 0. Other columns are ignored.
     """
     p = parts(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url").drop("url")
-    shapes = _template(F.col("path"))
-    p = p.select("*", *[s.alias(t) for s, t in zip(shapes, LEVELS, strict=True)])
+    p = p.withColumn("shapes", _shapes(F.col("path")))
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("is_bad"))
-    counted = p.join(marks, "page_id", "left").groupBy("host", *LEVELS).agg(F.count("*").alias("n"), F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
-    tree = templates(counted, Scratch(pages.sparkSession, "urls")).select("host", *LEVELS, F.concat_ws("/", "host", *[f"g{k}" for k in range(1, DEPTH + 1)]).alias("template"), "purity")
-    out = p.join(tree, ["host", *LEVELS]).withColumn("r", rule_of(rules))
+    counted = p.join(marks, "page_id", "left").groupBy("host", "shapes").agg(F.count("is_bad").alias("labelled"), F.coalesce(F.sum("is_bad"), F.lit(0)).alias("bad"))
+    tree = templates(counted, Scratch(pages.sparkSession, "urls")).select("host", "shapes", "template", "purity")
+    out = p.join(tree, ["host", "shapes"]).withColumn("r", rule_of(rules))
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", F.when(F.col("purity") >= CUT, "block").otherwise("allow")).alias("verdict"), "template", "purity")
 
 
 def oracle() -> str:
-    """The same rows for DuckDB."""
+    """The same rows for DuckDB, where no node has more than WIDE children and no path more than DEPTH segments."""
     cases = sorted(RULES, key=lambda r: -len(r[1]))
     fit = lambda r: f"((host = '{r[: r.index('/')]}' or ends_with(host, '.{r[: r.index('/')]}')) and starts_with(path, '{r[r.index('/') :]}'))"
     g = [f"g{k}" for k in range(1, DEPTH + 1)]

@@ -221,6 +221,32 @@ def test_urls(spark):
     assert got == {1: ("sub.example.com", "/en/77", "example.com/en/7", "allow"), 2: ("a.net", "/de/1", "net/de/", "allow"), 3: ("x.example.net", "/de/8", "example.net/de/8", "block"), 4: ("b.org", "/es/", "org/es/", "block"), 5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("c.com", "", None, "allow"), 8: ("notexample.com", "/en/7", "com/en/", "block")}
 
 
+def test_wide_and_deep_urls(spark):
+    """A bad branch keeps its verdict among many siblings, and below many segments."""
+    pages, labels = [], []
+
+    def add(path, bad, n=10):
+        for k in range(n):
+            i = len(pages)
+            pages.append((i, f"http://h.test/{path}/{'abcdefghij'[k]}{k}"))
+            if bad is not None:
+                labels.append((i, 1 - bad, 0))
+
+    for k in range(40):
+        add(f"part{chr(97 + k // 26)}{chr(97 + k % 26)}", 0)
+    add("spam", 1)
+    for k in range(40):
+        add(f"deep/a/b/c/tail{chr(97 + k // 26)}{chr(97 + k % 26)}", 0)
+    add("deep/a/b/c/junk", 1)
+    for k in range(40):  # names with one label each are one template
+        for kind, bad in (("ok", 0), ("casino", 1)):
+            add(f"user/name{chr(97 + k // 26)}{chr(97 + k % 26)}/{kind}", bad, 1)
+    got = url_filter.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r.verdict == ("block" if re.search("/(spam|junk|casino)/", r.path) else "allow"), r
+
+
 def test_forward_backward_against_all_labellings():
     rnd = np.random.default_rng(2)
     node, move = rnd.normal(size=4), rnd.normal(size=(2, 2))
