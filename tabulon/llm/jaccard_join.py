@@ -180,14 +180,15 @@ def _large_regions(large: DataFrame, sets: DataFrame, percent: int, bound: int)
     """Regions beyond the bound: distances to the pivot, rings as wide as the join's radius, and blocks of a ring.
 
     Returns links with pivots, and (region, x) rows of bounded parts. A document goes to its ring and, as boundary, to the next one:
-    by the triangle inequality its partners are in its own or a neighbouring ring. Documents of ring 0 all link to the pivot.
+    by the triangle inequality its partners are in its own or a neighbouring ring. Documents of ring 0 all link to the pivot, and so
+    do those of ring 1 at exactly one radius; they stay in ring 1, as a partner can be at exactly two.
     """
     pivots = sets.select(F.col("x").alias("p"), F.col("tokens").alias("pivot_tokens"))
     members = large.join(sets, "x").join(pivots, "p")
     common = F.size(F.array_intersect("tokens", "pivot_tokens"))
     members = members.select("p", "x", F.size("tokens").alias("n"), common.alias("o"), (F.size("tokens") + F.size("pivot_tokens") - common).alias("u"))
-    ring = F.floor((1 - F.col("o") / F.col("u")) / (1 - percent / 100) + 1e-9).cast("int")
-    members = members.select("p", "x", "n", F.when(F.expr(f"100 * o >= {percent} * u"), 0).otherwise(F.greatest(ring, F.lit(1))).alias("ring"), F.expr(f"100 * o >= {percent} * u").alias("near"))
+    # in whole numbers, so a distance of exactly one radius is on the edge of ring 1 for each pair of sizes
+    members = members.select("p", "x", "n", F.expr(f"cast(100L * (u - o) div ({100 - percent}L * u) as int)").alias("ring"), F.expr(f"100 * o >= {percent} * u").alias("near"))
     links = members.where("near and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
     rings = members.select("p", "x", "n", F.explode(F.expr("array(ring, ring + 1)")).alias("r"), "ring").where("r > 0")
     weight = rings.groupBy("p", "r").agg(F.ceil(F.sum("n") / F.lit(bound)).cast("int").alias("blocks"))

@@ -75,6 +75,19 @@ def test_jaccard_is_exact(corpus):
             assert r.component_id == (None if r.doc_id is None else find(r.doc_id)), r
 
 
+def test_jaccard_links_at_the_edge_of_a_ring(spark):
+    """x is at exactly 80 % of the pivot and of y, y at 60 % of the pivot: all are one component, in cut regions too."""
+    rnd, rows = random.Random(4), []
+    for k in range(40):
+        words = [f"{w}{k}" for w in rnd.sample(VOCABULARY, 10)]
+        for i, gone in enumerate(rnd.sample([(), (0, 1), (2, 3)], 3)):
+            rows.append((3 * k + i, " ".join(w for j, w in enumerate(words) if j not in gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for bound in (2_000_000, 20):
+        got = jaccard_components(docs, size=1, region_tokens=bound).collect()
+        assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 3 * 3) for i, _ in rows}
+
+
 def test_empty_tables(spark, corpus):
     none = corpus.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
