@@ -24,13 +24,20 @@ def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near documents, the one with the smallest doc_id."""
-    alone = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(alone, "doc_id", "left_semi").select(*docs.columns)
+    """Of each component of near rows, the one with the smallest doc_id.
+
+    Each row counts by itself under a key of its own, whether its doc_id is null or repeats. A null doc_id comes after all others, and
+    rows of one doc_id by the hash of the text. Rows without words all stay.
+    """
+    rows = Scratch(spark, "groups").keyed(docs)
+    place = rows.select("row__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "row__key").alias("place"))
+    groups = jaccard_components(rows, id_col="row__key").select(F.col("doc_id").alias("row__key"), "component_id")
+    first = groups.join(place, "row__key").groupBy("component_id").agg(F.min("place").alias("m")).select("m.row__key")
+    return rows.join(first, "row__key", "left_semi").select(*docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that repeat no benchmark item."""
+    """Rows that repeat no benchmark item; each is judged by its own text, whether its doc_id is null or repeats."""
     return decontam.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
 
 

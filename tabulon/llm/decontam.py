@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords
+from .store import Scratch
 
 #: Edits by words of the item, at most.
 RATE = 0.2
@@ -198,7 +199,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """`docs` without the documents that repeat an item."""
-    id_col = options.get("id_col", "doc_id")
-    hits = find_leaks(docs, benchmark, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(hits, docs[id_col].eqNullSafe(hits[id_col]), "left_anti")
+    """`docs` without the rows that repeat an item; rows whose doc_id is null or repeats are judged each by its own text."""
+    rows = Scratch(docs.sparkSession, "leaks").keyed(docs)
+    hits = find_leaks(rows, benchmark, **options | {"id_col": "row__key"}).select(F.col("doc_id").alias("row__key")).distinct()
+    return rows.join(hits, "row__key", "left_anti").select(*docs.columns)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -30,6 +31,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def keyed(self, df: DataFrame) -> DataFrame:
+        """`df` with a row__key of each row; written, as the keys of a frame computed twice may differ."""
+        return self.keep(df.withColumn("row__key", F.monotonically_increasing_id()), "keyed")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

@@ -303,3 +303,25 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(after.toPandas(), after.schema)
     pieces = corpus_pipeline.run(spark, where)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_keep_rows_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as c
+
+    where, rnd = "/root/testdata/sf0.001", random.Random(8)
+    docs = spark.read.parquet(f"{where}/documents.parquet")
+    kept = c.good_documents(spark, docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), where).select("doc_id", "text").collect()
+    assert collections.Counter(r.text for r in kept if r.doc_id is None) == collections.Counter(r.text for r in kept if r.doc_id is not None)
+
+    make = lambda rows: spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    A, B, C, D, E, G, H = (prose(60, rnd) for _ in range(7))
+    near_c = C + " more"
+    rows = [(None, A), (None, B), (0, near_c), (1, C), (1, D), (2, D), (3, E), (3, E), (None, E), (None, G), (None, G), (5, ""), (5, "")]
+    assert found(c.one_of_each_group(spark, make(rows), where)) == collections.Counter([(None, A), (None, B), (0, near_c), (1, D), (3, E), (None, G), (5, ""), (5, "")])
+
+    single = [(None, A), (None, B), (1, C), (1, D)]
+    assert found(c.without_site_lines(spark, make(single), where)) == collections.Counter(single)
+    item = max((r.text for r in spark.read.parquet(f"{where}/benchmark.parquet").collect()), key=len)
+    assert found(c.clean_documents(spark, make([*single, (None, f"{G} {item}"), (1, f"{H} {item}")]), where)) == collections.Counter(single)
+    assert found(c.packed(spark, make(single), where).select("doc_id", F.lit("").alias("text"))).keys() == {(None, ""), (1, "")}
