@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,32 +22,36 @@ def folded(words: str) -> F.Column:
 def best_window(quote: str, page: str) -> tuple[float, int, int]:
     """Indel ratio (0 to 100) of the quote and the stretch of the page of its length that is most alike, and where that is.
 
-    A stretch is scored from the count of common letters first, which bounds the ratio from above.
+    Stretches begin at any character, and are shorter at both ends of the page; of equal ones the first counts. The number of common
+    letters bounds a ratio from above: stretches that cannot reach LEAST are not scored, the others from the highest bound on.
     """
-    n = len(quote)
+    n, size = len(quote), len(page)
     if not n or not page:
         return 0.0, 0, 0
     at = page.find(quote)
     if at >= 0:
         return 100.0, at, at + n
-    from collections import Counter
-
-    want, best = Counter(quote), (0.0, 0, 0)
-    starts = sorted({0, *(i + 1 for i, c in enumerate(page) if c == " ")})
-    for a in starts:
-        part = page[a : a + n]
-        bound = 200 * sum((want & Counter(part)).values()) / (n + len(part))
-        if bound <= best[0] or bound < LEAST:
-            continue
-        last = [0] * (len(part) + 1)
-        for x in quote:
-            row = [0]
-            for i, y in enumerate(part):
-                row.append(last[i] + 1 if x == y else max(last[i + 1], row[i]))
-            last = row
-        ratio = 200 * last[-1] / (n + len(part))
-        if ratio > best[0]:
-            best = (ratio, a, a + len(part))
+    codes = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32)
+    places = np.arange(1 - n, size)
+    begin, end = np.maximum(places, 0), np.minimum(places + n, size)
+    common, masks = np.zeros(len(places), np.int64), {}
+    for c, k in Counter(quote).items():
+        seen = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        common += np.minimum(k, seen[end] - seen[begin])
+        masks[c] = sum(1 << i for i, x in enumerate(quote) if x == c)
+    bounds = 200 * common / (n + end - begin)
+    maybe = np.flatnonzero(bounds >= LEAST)
+    best, first, full = (0.0, 0, 0), size, (1 << n) - 1
+    for i in maybe[np.argsort(-bounds[maybe], kind="stable")]:
+        if bounds[i] < best[0]:
+            break
+        a, b, row = int(begin[i]), int(end[i]), full
+        for y in page[a:b]:  # the zeros of row count the longest common subsequence
+            u = row & masks.get(y, 0)
+            row = ((row + u) | (row - u)) & full
+        ratio = 200 * (n - row.bit_count()) / (n + b - a)
+        if ratio > best[0] or (ratio == best[0] and i < first):
+            best, first = (ratio, a, b), int(i)
     return best
 
 

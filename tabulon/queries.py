@@ -225,10 +225,19 @@ def propose_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of 200 words; six words of the opening, of a late place, and of the middle cut inside a word and with one letter changed."""
     words = lambda text: F.filter(F.split(text, r"\s+"), lambda w: w != "")
     docs = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), words(F.col("text")).alias("words"))
-    pages = docs.select("document_id", F.lit(0).alias("page_index"), "words")
-    fields = docs.select("document_id", F.lit("opening").alias("field_key"), F.array_join(F.slice("words", 1, 6), " ").alias("quote"), F.lit(0).alias("page_index"))
+    sheets = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(200)), lambda at: F.slice("words", at + 1, 200)))
+    pages = docs.select("document_id", sheets.alias("page_index", "words"))
+
+    def quotes(key: str, at: F.Column, cited: F.Column, edit=lambda q: q) -> DataFrame:
+        return docs.select("document_id", F.lit(key).alias("field_key"), edit(F.array_join(F.slice("words", at + 1, 6), " ")).alias("quote"), cited.cast("int").alias("page_index"))
+
+    n = F.size("words")
+    middle, late = F.floor(n / 2).cast("int"), F.floor(n * 9 / 10).cast("int")
+    edited = lambda q: F.concat(F.substring(q, 3, 8), F.lit("#"), F.expr("substring(array_join(slice(words, cast(floor(size(words) / 2) as int) + 1, 6), ' '), 12)"))
+    fields = quotes("opening", F.lit(0), F.lit(0)).unionByName(quotes("late", late, F.lit(0))).unionByName(quotes("edited", middle, F.floor(middle / 200) + 1, edited))
     return ground.ground(fields, pages)
 
 

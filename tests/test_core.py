@@ -104,6 +104,50 @@ def test_grounding_window():
     assert ground.best_window("nothing like it", "zzz zzz zzz")[0] == 0.0
 
 
+def _brute_window(quote, page):
+    """The best stretch by trying them all, with a plain table of common subsequences."""
+    best = (0.0, 0, 0)
+    for place in range(1 - len(quote), len(page)):
+        a, b = max(place, 0), min(place + len(quote), len(page))
+        row = [0] * (b - a + 1)
+        for x in quote:
+            last, row = row, [0]
+            for i, y in enumerate(page[a:b]):
+                row.append(last[i] + 1 if x == y else max(last[i + 1], row[i]))
+        ratio = 200 * row[-1] / (len(quote) + b - a)
+        if ratio > best[0]:
+            best = (ratio, a, b)
+    return best
+
+
+def test_grounding_window_begins_inside_words():
+    assert ground.best_window("number 12346", "invoicenumber 12345") == (pytest.approx(91.67, abs=0.01), 6, 18)  # as good as 7 to 19, and first
+    rnd, found = random.Random(6), 0
+    for _ in range(300):
+        page = "".join(rnd.choice("abcde é") for _ in range(rnd.randint(1, 60)))
+        at = rnd.randrange(len(page))
+        quote = list(page[at : at + 15])
+        quote[rnd.randrange(len(quote))] = rnd.choice("abcx")
+        want, got = _brute_window("".join(quote), page), ground.best_window("".join(quote), page)
+        if "".join(quote) not in page and want[0] >= ground.LEAST:
+            found += 1
+            assert got == want
+    assert found > 50
+
+
+def test_ground_quotes_query(spark):
+    """Against every page and stretch in the query's order."""
+    from tabulon import queries as core
+
+    where = "/root/testdata/sf0.001"
+    got = core.queries()["ground_quotes"](spark, where)
+    rows = got.collect()
+    assert len(rows) == 3 * spark.read.parquet(f"{where}/documents.parquet").where("text is not null").count()
+    by = {k: [r for r in rows if r.field_key == k] for k in ("opening", "late", "edited")}
+    assert all(r.failure is None or not r.match_score for r in by["opening"])
+    assert any(r.match_page for r in by["late"]) and any(85 <= r.match_score < 100 for r in by["edited"])
+
+
 @given(st.lists(st.integers(0, 60), max_size=40))
 def test_chunks_cover_every_line(counts):
     lines = [" ".join(["w"] * max(1, n)) for n in counts]
