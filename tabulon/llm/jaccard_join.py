@@ -13,9 +13,14 @@ from pyspark.sql import functions as F
 
 from . import bytewords
 from .components import components
+from .regions import Region
 from .store import Scratch
 
 PERCENT = 80
+#: A hash that makes up more than one in FREQUENT of a sample (one document in SAMPLE) is dealt to several tasks.
+FREQUENT, SAMPLE = 4096, 16
+#: Pivots of a region that is split on the cluster, about; levels of splits.
+PIVOTS, LEVELS = 16, 4
 #: Rows that reach Python at once; texts can be long.
 BATCH = 1000
 
@@ -65,84 +70,6 @@ def _sets(size: int):
     return run
 
 
-class Region:
-    """The exact join of the documents of one region; links that suffice for its components."""
-
-    LEAF, PIVOTS = 48, 6
-
-    def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int) -> None:
-        self.ids, self.percent, n = ids, percent, len(ids)
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
-        owner = np.repeat(np.arange(n), self.sizes)
-        _, token = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(token, kind="stable")
-        self.posting = owner[order]
-        self.begin = np.concatenate([[0], np.cumsum(np.bincount(token))])
-        self.tokens = np.split(token, np.cumsum(self.sizes)[:-1])
-        self.root = np.arange(n)
-        self.links: list[tuple[int, int]] = []
-
-    def overlap(self, x: int) -> np.ndarray:
-        """Common shingles of x and every document of the region."""
-        t = self.tokens[x]
-        lens = self.begin[t + 1] - self.begin[t]
-        at = np.repeat(self.begin[t] - np.concatenate([[0], np.cumsum(lens)[:-1]]), lens) + np.arange(lens.sum())
-        return np.bincount(self.posting[at], minlength=len(self.ids))
-
-    def settle(self, x: int, part: np.ndarray) -> np.ndarray:
-        """Distances of x to the documents of part; links x with those near enough."""
-        common = self.overlap(x)[part]
-        union = self.sizes[part] + self.sizes[x] - common
-        for y in part[(100 * common >= self.percent * union) & (self.root[part] != self.root[x])]:
-            if self.root[y] != self.root[x]:
-                self.links.append((self.ids[x], self.ids[y]))
-                self.root[self.root == self.root[y]] = self.root[x]
-        return 1 - common / union
-
-    def brute(self, part: np.ndarray) -> None:
-        """Every document outside the largest component against all of part: what is within that component is joined already."""
-        roots, counts = np.unique(self.root[part], return_counts=True)
-        if len(roots) > 1:
-            largest = roots[np.argmax(counts)]
-            for x in part[self.root[part] != largest]:
-                self.settle(int(x), part)
-
-    def solve(self, part: np.ndarray) -> None:
-        """Pivots, their Voronoi cells widened by the triangle inequality, and each cell in turn."""
-        if len(part) <= self.LEAF:
-            return self.brute(part)
-        radius = 1 - self.percent / 100
-        pivot, far, rows = int(part[0]), np.full(len(part), np.inf), []
-        for _ in range(self.PIVOTS):
-            rows.append(self.settle(pivot, part))
-            far = np.minimum(far, rows[-1])
-            pivot = int(part[np.argmax(far)])
-            if far.max() <= radius:
-                break
-        if (self.root[part] == self.root[part[0]]).all():
-            return None
-        d = np.array(rows)
-        nearest, eps = np.argmin(d, axis=0), 1e-9
-        least = d.min(axis=0)
-        for q in range(len(d)):
-            own = nearest == q
-            if not own.any():
-                continue
-            reach = d[q][own].max() + radius + eps
-            # a partner y in cell q has d(y, q) <= d(y, p) for each pivot p, so d(x, q) <= d(x, p) + 2 radius
-            window = (nearest < q) & (d[q] <= least + 2 * radius + eps) & (d[q] <= reach)
-            cell = part[own | window]
-            if len(cell) > 0.8 * len(part):
-                self.brute(cell)
-            else:
-                self.solve(cell)
-        return None
-
-    def run(self) -> list[tuple[int, int]]:
-        self.solve(np.arange(len(self.ids)))
-        return self.links
-
-
 def _join_regions(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -176,25 +103,106 @@ def _join_regions(percent: int):
     return run
 
 
-def _large_regions(large: DataFrame, sets: DataFrame, percent: int, bound: int) -> tuple[DataFrame, DataFrame]:
-    """Regions beyond the bound: distances to the pivot, rings as wide as the join's radius, and blocks of a ring.
+def _salted(rows: DataFrame, hot: DataFrame, parts: int = 64) -> DataFrame:
+    """`rows` with `often`, the estimated count of a hot hash, and `salt`, which deals its rows to so many groups; null and 0 for other hashes."""
+    rows = rows.join(F.broadcast(hot), "h", "left")
+    return rows.withColumn("salt", F.when(F.col("often").isNotNull(), F.pmod(F.xxhash64("x"), F.lit(parts))).otherwise(F.lit(0)))
+
+
+def _hot(signed: DataFrame) -> DataFrame:
+    """Hashes that make up more than one in FREQUENT of a sample of all hashes, so fewer than FREQUENT rows: h, often.
+
+    The sample only says which hashes are dealt to several tasks and go last among the shared ones; results don't depend on it.
+    """
+    sample = signed.where(f"n > 0 and pmod(xxhash64(doc_id, 'sample'), {SAMPLE}) = 0").select(F.explode("least").alias("h"))
+    counts = sample.groupBy("h").agg(F.count("*").alias("often")).where("often > 1")
+    total = sample.agg(F.count("*").alias("total"))
+    return counts.join(F.broadcast(total)).where(F.col("often") * FREQUENT > F.col("total")).select("h", (F.col("often") * SAMPLE).alias("often"))  # one row
+
+
+def _regions_of_keys(cells: DataFrame, scratch: Scratch, name: str, *also: str) -> DataFrame:
+    """(x, h) -> (p, x): of the documents that hold a hash, the one of least hash is the pivot. Its region are all that share a hash of which it is the pivot.
 
-    Returns links with pivots, and (region, x) rows of bounded parts. A document goes to its ring and, as boundary, to the next one:
-    by the triangle inequality its partners are in its own or a neighbouring ring. Documents of ring 0 all link to the pivot, and so
-    do those of ring 1 at exactly one radius; they stay in ring 1, as a partner can be at exactly two.
+    Pivots are written, so both sides of the join are plain shuffles and one of many rows is split.
     """
-    pivots = sets.select(F.col("x").alias("p"), F.col("tokens").alias("pivot_tokens"))
-    members = large.join(sets, "x").join(pivots, "p")
+    first = F.min(F.struct(F.xxhash64("x").alias("o"), F.col("x").alias("p"))).alias("m")
+    pivots = cells.groupBy(*also, "h").agg(first, F.count("*").alias("k")).where("k > 1").select(*also, "h", F.col("m.p").alias("p"))
+    return cells.join(scratch.keep(pivots, name), [*also, "h"]).select(*also, "p", "x").distinct()
+
+
+def _by_pivots(big: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame]:
+    """Links with pivots, and the regions (region, x) of the pivots' cells and windows.
+
+    big: (region, x, k, blocks). About PIVOTS documents of each region, by a hash, are its pivots; they go to each block of the region,
+    so no task holds more than a block. A document goes to the cell of its nearest pivot, and as boundary to every later one whose
+    window it is in. Those within the radius of their pivot are one component, so of them only those stay that another member of the
+    region, farther from the pivot, may reach. A region that its windows would make half as large again stays whole.
+    """
+    radius = 1 - percent / 100
+    rows = big.join(sets, "x").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+    chosen = F.pmod(F.xxhash64("x", F.lit(level)), F.greatest(F.expr(f"k div {PIVOTS}"), F.lit(1))) == 0
+    pivots = rows.where(chosen).select("region", F.col("x").alias("p"), F.col("tokens").alias("pivot_tokens"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     common = F.size(F.array_intersect("tokens", "pivot_tokens"))
-    members = members.select("p", "x", F.size("tokens").alias("n"), common.alias("o"), (F.size("tokens") + F.size("pivot_tokens") - common).alias("u"))
-    # in whole numbers, so a distance of exactly one radius is on the edge of ring 1 for each pair of sizes
-    members = members.select("p", "x", "n", F.expr(f"cast(100L * (u - o) div ({100 - percent}L * u) as int)").alias("ring"), F.expr(f"100 * o >= {percent} * u").alias("near"))
-    links = members.where("near and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
-    rings = members.select("p", "x", "n", F.explode(F.expr("array(ring, ring + 1)")).alias("r"), "ring").where("r > 0")
-    weight = rings.groupBy("p", "r").agg(F.ceil(F.sum("n") / F.lit(bound)).cast("int").alias("blocks"))
-    rings = rings.join(weight, ["p", "r"]).withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
-    parts = rings.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    return links, parts.select(F.xxhash64("p", "r", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "x")
+    met = rows.join(pivots, ["region", "block"]).select("region", "x", "p", common.alias("o"), (F.size("tokens") + F.size("pivot_tokens") - common).alias("u"))
+    met = met.select("region", "x", "p", (1 - F.col("o") / F.col("u")).alias("d"), F.expr(f"100 * o >= {percent} * u").alias("near"))
+    met = scratch.keep(met, f"distances-{level}")
+    links = met.where("near and p <> x").select(F.col("p").alias("a"), F.col("x").alias("b"))
+    nearest = met.groupBy("region", "x").agg(F.min(F.struct("d", "p")).alias("m"), F.collect_list(F.struct("p", "d", "near")).alias("all"))
+    nearest = nearest.select("region", "x", F.col("m.p").alias("own"), F.col("m.d").alias("least"), F.explode("all").alias("to")).select("region", "x", "own", "least", "to.*")
+    mine = nearest.where("p = own")
+    reach = mine.groupBy("region", "p").agg(F.max("d").alias("reach"))
+    slack = 1e-9
+    inside = nearest.join(reach, ["region", "p"]).where(f"p = own or (own < p and d <= least + {2 * radius + slack} and d <= reach + {radius + slack})")
+    inside = scratch.keep(inside.select("region", F.xxhash64("region", "p").alias("cell"), "x", "d", "near"), f"cells-{level}")
+    outer = inside.where("not near").groupBy("cell").agg(F.min("d").alias("outer"))
+    cells = scratch.keep(inside.join(outer, "cell").where(f"not near or d >= outer - {radius + slack}").select("region", "cell", "x"), f"open-{level}")
+    grown = cells.groupBy("region").agg(F.count("*").alias("now")).join(big.select("region", "k").distinct(), "region").where("now > 1.5 * k").select("region")
+    grown = scratch.keep(grown, f"grown-{level}")
+    whole = big.join(grown, "region", "left_semi").select("region", "x")
+    return links, cells.join(grown, "region", "left_anti").select(F.col("cell").alias("region"), "x").unionByName(whole)
+
+
+def _by_prefix(big: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, level: int) -> DataFrame:
+    """The regions of documents that share one of their rarest shingles, counted within the region: n - need + 1 of n, as near ones do."""
+    rows = big.join(sets, "x").select("region", "x", F.size("tokens").alias("n"), F.explode("tokens").alias("h"))
+    counts = scratch.keep(rows.groupBy("region", "h").agg(F.count("*").alias("df")).where("df > 1"), f"counts-{level}")
+    held = rows.join(counts, ["region", "h"]).groupBy("region", "x", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("met"))
+    # what no other document has comes first in the order and isn't in the list
+    prefix = F.expr(f"size(met) - cast(ceil({percent} * n / 100.0) as int) + 1")
+    keys = held.withColumn("prefix", prefix).where("prefix > 0").select("region", "x", F.explode(F.expr("transform(slice(met, 1, prefix), m -> m.h)")).alias("h"))
+    regions = _regions_of_keys(keys, scratch, f"pivots-{level}", "region")
+    return regions.select(F.xxhash64("region", "p").alias("region"), "x")
+
+
+def _bounded_regions(regions: DataFrame, sets: DataFrame, percent: int, bound: int, scratch: Scratch) -> tuple[DataFrame, list[DataFrame]]:
+    """Regions (region, x) as regions of at most `bound` shingles or so, and links found on the way.
+
+    Regions beyond the bound are split in turn by pivots with windows and by the rarest shingles within them, each level a pass over
+    them alone. What LEVELS of that don't bring below the bound is cut into blocks, and each pair of blocks is a region.
+    """
+    sizes, done, links = sets.select("x", F.size("tokens").alias("n")), [], []
+    for level in range(LEVELS + 1):
+        weights = regions.join(sizes, "x").groupBy("region").agg(F.sum("n").alias("w"), F.count("*").alias("k")).where("k > 1")
+        weights = scratch.keep(weights, f"weights-{level}")
+        done.append(regions.join(weights.where(F.col("w") <= bound), "region", "left_semi"))
+        large = weights.where(F.col("w") > bound)
+        if large.isEmpty():
+            break
+        large = large.select("region", "k", F.expr(f"cast(ceil(w / {max(1, bound // 2)}) as int)").alias("blocks"))
+        big = scratch.keep(regions.join(large, "region"), f"large-{level}")
+        if level == LEVELS:
+            parts = big.withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+            done.append(parts.select(F.xxhash64("region", F.least("block", "other"), F.greatest("block", "other")).alias("region"), "x"))
+        elif level % 2:
+            regions = scratch.keep(_by_prefix(big, sets, percent, scratch, level), f"split-{level}")
+        else:
+            found, parts = _by_pivots(big, sets, percent, scratch, level)
+            links.append(found)
+            regions = scratch.keep(parts, f"split-{level}")
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out, links
 
 
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = PERCENT, region_tokens: int = 2_000_000) -> DataFrame:
@@ -206,56 +214,52 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     1. Documents with equal sets become one class, whose smallest doc_id stands for it.
     2. Of each class, the least hashes (30 % of the set) are counted over all classes. A document that shares fewer of them than
        any partner would have to is alone. Of the shared ones, the most frequent are left out as far as at least one stays common.
-    3. Documents that keep a common shingle form a cell; its pivot is the document of least hash. A region is all documents in
-       cells of one pivot, so a group of copies has few regions however many shingles it shares.
-    4. A region joins recursively: pivots in it, Voronoi cells, windows of the triangle inequality that replicate boundary
-       documents, and exact comparison in the leaves. Regions of more than `region_tokens` shingles are first cut into rings
-       around the pivot and blocks of rings, so that no task holds more than two blocks.
+       This is a filter: unrelated documents are at distance 1 from every pivot, so no window could part them.
+    3. Of the documents that keep a common shingle, the one of least hash is a pivot; its region are all that share one with it, so a
+       group of copies has few regions however many shingles it shares.
+    4. Regions of more than `region_tokens` shingles are split on the cluster: by sampled pivots, Voronoi cells and windows of the
+       triangle inequality that replicate boundary documents, and by the rarest shingles within them, level by level.
+    5. Each region joins recursively in one task: farthest-first pivots, their cells and windows, and exact comparison of parts that
+       are small or that no window parts.
 
     Null or blank texts have no shingles and link with nothing. A null doc_id gets its n_shingles and a null component. Rows that
     repeat a doc_id count as one document; if their texts differ, the one of least fingerprint stands for it in the links. Other columns are ignored.
+    Tables that joins meet on a key with many rows are written first, so that adaptive execution can split them; hot hashes are salted.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = scratch.keep(docs.mapInArrow(_signatures(percent, size), "doc_id long, print binary, n long, shared long, least array<long>"), "signed")
+    hot = scratch.keep(_hot(signed), "hot")
 
     own = signed.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("print").alias("print"))
-    classes = own.groupBy("print").agg(F.min("doc_id").alias("x"))
-    # one shuffle brings the hashes to their class, one more deals them; both joins and the window keep that partitioning
-    named_heads = classes.select(F.col("x").alias("doc_id"), F.col("print").alias("own"))
-    heads = signed.where("n > 0").join(named_heads, "doc_id").where("print = own")
-    tokens = heads.select(F.col("doc_id").alias("x"), "shared", F.explode("least").alias("h"))
-    counted = tokens.withColumn("df", F.count("*").over(W.partitionBy("h"))).where("df > 1")
+    classes = scratch.keep(own.groupBy("print").agg(F.min("doc_id").alias("x")), "classes")
+    heads = signed.where("n > 0").join(classes.select(F.col("x").alias("doc_id"), F.col("print").alias("own")), "doc_id").where("print = own")
+    tokens = _salted(heads.select(F.col("doc_id").alias("x"), "shared", F.explode("least").alias("h")), hot)
+    counted = tokens.withColumn("df", F.coalesce("often", F.count("*").over(W.partitionBy("h", "salt")))).where("df > 1")
     met = counted.groupBy("x", "shared").agg(F.collect_list(F.struct("df", "h")).alias("met")).where("size(met) >= shared")
     kept = scratch.keep(met.select("x", F.expr("transform(slice(array_sort(met), 1, cast(size(met) - shared + 1 as int)), m -> m.h)").alias("keys")), "kept")
 
     cells = kept.select("x", F.explode("keys").alias("h"))
-    pivots = cells.groupBy("h").agg(F.min(F.struct(F.xxhash64("x").alias("o"), F.col("x").alias("p"))).alias("m"), F.count("*").alias("k")).where("k > 1").select("h", F.col("m.p").alias("p"))
-    regions = scratch.keep(cells.join(pivots, "h").select("p", "x").distinct(), "regions")
+    regions = scratch.keep(_regions_of_keys(cells, scratch, "pivots").select(F.col("p").alias("region"), "x"), "regions")
 
     chosen = regions.select("x").distinct().join(own.withColumnRenamed("doc_id", "x"), "x")
     texts = docs.join(chosen.withColumnRenamed("x", "doc_id"), "doc_id")
-    sets = scratch.keep(texts.mapInArrow(_sets(size), "x long, tokens array<long>"), "sets")
-
-    weights = regions.join(sets.select("x", F.size("tokens").alias("n")), "x").groupBy("p").agg(F.sum("n").alias("w"), F.count("*").alias("k")).where("k > 1")
-    weights = scratch.keep(weights, "weights")
-    small = regions.join(weights.where(F.col("w") <= region_tokens), "p", "left_semi").select(F.col("p").alias("region"), "x")
-    links = None
-    if not weights.where(F.col("w") > region_tokens).isEmpty():
-        large = regions.join(weights.where(F.col("w") > region_tokens), "p", "left_semi")
-        links, parts = _large_regions(large, sets.dropDuplicates(["x"]), percent, max(1, region_tokens // 2))
-        small = small.unionByName(parts)
-    dealt = small.join(sets, "x").repartition("region").sortWithinPartitions("region", "x")
+    sets = scratch.keep(texts.mapInArrow(_sets(size), "x long, tokens array<long>").dropDuplicates(["x"]), "sets")
+
+    parts, links = _bounded_regions(regions, sets, percent, region_tokens, scratch)
+    dealt = parts.join(sets, "x").repartition("region").sortWithinPartitions("region", "x")
     found = dealt.select("region", "x", "tokens").mapInArrow(_join_regions(percent), "a long, b long")
-    found = found.unionByName(links) if links is not None else found
+    for more in links:
+        found = found.unionByName(more)
     labels = components(found, scratch)
 
-    named = classes.join(labels.withColumnRenamed("v", "x"), "x", "left").select("print", F.coalesce("c", "x").alias("component_id"))
+    named = classes.join(labels.withColumnRenamed("v", "x"), "x", "left").select(F.col("print").alias("own"), F.coalesce("c", "x").alias("component_id"))
+    named = scratch.keep(named, "named")
     by_class = signed.where("n > 0 and doc_id is not null").select("doc_id", "print", "n")
     head = own.select("doc_id", F.col("print").alias("own"))
-    out = by_class.join(head, "doc_id").join(named.withColumnRenamed("print", "own"), "own").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = by_class.join(head, "doc_id").join(named, "own").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     rest = signed.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     result = scratch.keep(out.unionByName(rest), "result")
-    scratch.drop("signed", "kept", "regions", "sets", "weights")
+    scratch.drop_but("result")
     return result

@@ -35,6 +35,15 @@ class Scratch:
         """`df` with a row__key of each row; written, as the keys of a frame computed twice may differ."""
         return self.keep(df.withColumn("row__key", F.monotonically_increasing_id()), "keyed")
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes every table but those named."""
+        jvm = self.spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(self.path)
+        found = folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+        rest = [f.getPath().getName() for f in found if f.getPath().getName() not in names]
+        if rest:
+            self.drop(*rest)
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()

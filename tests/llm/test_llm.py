@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -17,6 +18,7 @@ from tabulon.llm import decontam, fingerprint, license_scan, line_dedup, packing
 from tabulon.llm.components import components
 from tabulon.llm.encode import tokenizer_path
 from tabulon.llm.jaccard_join import jaccard_components
+from tabulon.llm.regions import Region
 from tabulon.llm.store import Scratch
 
 RND = random.Random(5)
@@ -88,6 +90,99 @@ def test_jaccard_links_at_the_edge_of_a_ring(spark):
         assert {(r.doc_id, r.component_id) for r in got} == {(i, i // 3 * 3) for i, _ in rows}
 
 
+def links_by_hand(sets, percent=80):
+    """The smallest index that links reach, from all pairs."""
+    root = list(range(len(sets)))
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            common = len(a & sets[j])
+            if common and 100 * common >= percent * (len(a) + len(sets[j]) - common):
+                x, y = sorted((find(i), find(j)))
+                root[y] = x
+    return [find(i) for i in range(len(sets))]
+
+
+def walked(rng, n, size, most):
+    """Sets that drift: each is the one before with up to `most` shingles changed, so all distances occur."""
+    now, out = np.unique(rng.integers(0, 2**60, size)), []
+    for _ in range(n):
+        now = now.copy()
+        at = rng.choice(len(now), rng.integers(0, most + 1), replace=False)
+        now[at] = rng.integers(0, 2**60, len(at))
+        now = np.unique(now)
+        out.append(now)
+    return out
+
+
+def copied(rng, n, size, most):
+    """Edited copies of one set."""
+    base, out = np.unique(rng.integers(0, 2**60, size)), []
+    for _ in range(n):
+        one = base.copy()
+        at = rng.choice(size, rng.integers(0, most + 1), replace=False)
+        one[at] = rng.integers(0, 2**60, len(at))
+        out.append(np.unique(one))
+    return out
+
+
+def test_regions_are_exact():
+    """Parts are split by pivots and windows at middling distances; hot shingles, copies and small sets agree with all pairs."""
+    rng, splits = np.random.default_rng(1), 0
+    for turn in range(120):
+        kind, percent = turn % 5, (80, 80, 60, 90)[turn % 4]
+        if kind == 0:
+            sets = copied(rng, int(rng.integers(3, 150)), 60, int(rng.integers(1, 40)))
+        elif kind == 1:
+            sets = [np.unique(np.append(rng.integers(0, 2**60, rng.integers(1, 12)), 7)) for _ in range(120)]
+        elif kind == 2:
+            sets = walked(rng, 120, 50, 8)
+        elif kind == 3:
+            sets = [np.unique(rng.integers(0, 40, rng.integers(3, 30))) for _ in range(100)]
+        else:
+            base = np.unique(rng.integers(0, 2**60, 100))
+            sets = [np.unique(np.concatenate([base[: rng.integers(70, 101)], rng.integers(0, 2**60, rng.integers(0, 30))])) for _ in range(rng.integers(3, 12))]
+        region = Region(list(range(len(sets))), sets, percent)
+        root = list(range(len(sets)))
+        for a, b in region.run():
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+        assert root == links_by_hand([set(s.tolist()) for s in sets], percent)
+        splits += region.splits
+    assert splits > 100
+
+
+def test_large_region_of_near_copies_takes_seconds():
+    region = Region(list(range(8000)), copied(np.random.default_rng(2), 8000, 250, 40), 80)
+    began = time.time()
+    region.run()
+    assert time.time() - began < 20
+
+
+def test_jaccard_splits_large_regions_on_the_cluster(spark):
+    """Groups that drift, copies and short texts with a hot shingle, with regions cut far below their sizes."""
+    rnd, rows = random.Random(3), []
+    for _ in range(2):
+        text = prose(60, rnd)
+        for _ in range(50):
+            text = near(text, rnd.randint(0, 2), rnd)
+            rows.append(text)
+    base, hot = prose(80, rnd), prose(5, rnd)
+    rows += [near(base, rnd.randint(0, 6), rnd) for _ in range(100)] + [f"{hot} {prose(rnd.randint(1, 12), rnd)}" for _ in range(100)]
+    rnd.shuffle(rows)
+    words = [t.split(" ") for t in rows]
+    want = links_by_hand([{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in words])
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for bound in (5000, 300):
+        got = {r.doc_id: r.component_id for r in jaccard_components(docs, region_tokens=bound).collect()}
+        assert [got[i] for i in range(len(rows))] == want
+
+
 def test_empty_tables(spark, corpus):
     none = corpus.where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
