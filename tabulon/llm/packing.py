@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords
 from .encode import PieceEncoder
+from .store import Scratch
 
 LENGTH, END_ID = 4096, 2
 DIMS, BITS = 4, 12
@@ -60,6 +61,11 @@ def curve_keys(column: pa.Array) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
 
 
+#: Bits of a curve place that name its stretch; there is one sum of bytes for each stretch.
+STRETCH = 16
+SLICES = 1 << 20
+
+
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text")
@@ -139,13 +145,25 @@ def _pack(tokenizer: str, length: int, end_id: int):
 def pack_documents(docs: DataFrame, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, partitions: int | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Documents are dealt once, by ranges of their place on a Hilbert curve (then doc_id, which spreads copies over ranges), sorted,
-    encoded and packed in that order. A full sequence has `length` tokens; what is left at the end of a range is cut into sequences
+    Documents are dealt once, by ranges of their place on a Hilbert curve that hold about as many bytes each; a stretch of the curve
+    that fills several ranges, as copies do, is spread over them by a hash of the rows. A range is sorted, encoded and packed in the
+    curve's order. A full sequence has `length` tokens; what is left at the end of a range is cut into sequences
     of powers of two, so nothing is padded. A null or empty text is the end id alone. Rows that repeat a doc_id are packed each.
     A null doc_id is packed and stays null. Other columns are ignored. An empty table gives no rows.
     """
-    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = docs.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     keyed = rows.mapInArrow(_keyed, "doc_id long, text string, key long")
-    dealt = keyed.repartitionByRange(n, "key", "doc_id").sortWithinPartitions("key", "doc_id")
+    size, slice_ = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(SLICES))
+    stretch = F.shiftright("key", DIMS * BITS - STRETCH).cast("int")
+    keyed = Scratch(spark, "packing").keep(keyed.select("*", size.alias("size"), slice_.alias("slice"), stretch.alias("stretch")), "keyed")
+    sums = keyed.groupBy("stretch").agg(F.sum("size").alias("w")).orderBy("stretch").collect()  # 2^STRETCH rows at most
+    ends = np.cumsum([r.w for r in sums]).tolist()
+    target = max(1, -(-ends[-1] // n)) if ends else 1
+    places = spark.createDataFrame([(r.stretch, e - r.w, r.w) for r, e in zip(sums, ends, strict=True)], "stretch int, before long, w long")
+    # a stretch at a cut, or of more than one range, is dealt by the hash of its rows
+    place = F.expr(f"cast((before + slice / {SLICES}D * w) / {target} as int)")
+    dealt = keyed.join(F.broadcast(places), "stretch").select("doc_id", "text", "key", F.least(place, F.lit(n - 1)).alias("range"))
+    dealt = dealt.repartitionById(n, "range").sortWithinPartitions("key", "doc_id")
     return dealt.select("doc_id", "text").mapInArrow(_pack(tokenizer, length, end_id), SCHEMA)
