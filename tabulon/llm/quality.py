@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from . import bytewords
 
-#: Bounds of the fit: labelled documents of each class, and lines of one of them (a run from a place that its doc_id gives).
-DOCUMENTS, LINES = 1500, 128
+#: Bound of the fit: labelled documents of each class, each learnt whole. The chain is cut into runs of RUN lines while it descends.
+DOCUMENTS, RUN = 1500, 128
 ROUNDS, STEPS = 2, 120
 CHUNK = 4 << 20
 
@@ -165,18 +165,20 @@ def _calibrate(q: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 def fit(features: np.ndarray, chars: np.ndarray, first: np.ndarray, label: np.ndarray, prior: float) -> Model:
-    """label: of each text. Lines start with their text's label; in bad texts, lines that the model takes for good become good.
+    """label: of each text. All lines of all texts are learnt; long chains descend in runs, the calibration sees them whole. Lines start with their text's label; in bad texts, lines that the model takes for good become good.
 
     prior: the share of good texts among all labelled ones, for the calibration.
     """
     mean, scale = features.mean(0), features.std(0) + 1e-6
     x = with_neighbours((features - mean) / scale, first)
     of_text = np.repeat(label, np.diff(first))
+    inside = np.arange(len(features)) - np.repeat(first[:-1], np.diff(first))
+    runs = np.append(np.flatnonzero(inside % RUN == 0), len(features))
     y, weights, move = of_text.copy(), np.zeros(x.shape[1]), np.zeros((2, 2))
     for turn in range(ROUNDS):
-        weights, move = _descend(x, y, first, weights, move)
+        weights, move = _descend(x, y, runs, weights, move)
         if turn + 1 < ROUNDS:
-            good, _ = forward_backward(x @ weights, move, first)
+            good, _ = forward_backward(x @ weights, move, runs)
             y = np.where((of_text == 0) & (good > 0.5), 1, of_text)
             for a, b in zip(first[:-1], first[1:], strict=True):  # a bad text keeps a bad line
                 if b > a and of_text[a] == 0 and y[a:b].all():
@@ -191,14 +193,11 @@ def fit(features: np.ndarray, chars: np.ndarray, first: np.ndarray, label: np.nd
 
 def _training_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, parts, chars = batch.column("doc_id").to_pylist(), [], []
-        for i, _, data, bounds in bytewords.chunks(batch.column("text"), CHUNK):
+        parts, chars = [], []
+        for _, _, data, bounds in bytewords.chunks(batch.column("text"), CHUNK):
             found = lines_of(data, bounds)
             for k in range(len(bounds) - 1):
                 a, b = int(found.first[k]), int(found.first[k + 1])
-                if b - a > LINES:
-                    a += (ids[i + k] * 2654435761) % (b - a - LINES + 1)
-                    b = a + LINES
                 parts.append(found.features[a:b].ravel())
                 chars.append(found.chars[a:b])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), bytewords.list_array(parts, pa.float64()), bytewords.list_array(chars, pa.int64())], names=["doc_id", "label", "features", "chars"])
@@ -233,26 +232,25 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit(features, np.concatenate(chars), first, rows.column("label").to_numpy().astype(np.int64), prior)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(model.text_quality(lines_of(data, bounds))) for _, _, data, bounds in bytewords.chunks(batch.column("text"), CHUNK)]
+            scores = [model.score(model.text_quality(lines_of(data, bounds))) for _, _, data, bounds in bytewords.chunks(batch.column(text_col), CHUNK)]
             columns = {n: batch.column(n) for n in batch.schema.names} | {"quality_score": pa.array(np.concatenate(scores) if scores else [], pa.float64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = DOCUMENTS, model: Model | None = None) -> DataFrame:
     """`docs` with the column quality_score, from 0 to 1; higher where a document is likelier to be good.
 
-    The model is fitted on at most DOCUMENTS labelled documents of each class; rows whose crc32(doc_id as text) mod 3 is 1 are never
+    The model is fitted on at most `per_class` labelled documents of each class, whole ones; rows whose crc32(doc_id as text) mod 3 is 1 are never
     learnt from. Every line of every document is labelled when scoring. A null or blank text has quality 0 before calibration.
     Without labelled rows every score is 0.5. Null doc_ids, repeated rows and empty tables are scored as they are; a column
     named quality_score is replaced, other columns pass through.
     """
-    fitted = model or train(docs, labels, id_col=id_col, text_col=text_col)
+    fitted = model or train(docs, labels, id_col=id_col, text_col=text_col, per_class=per_class)
     rows = docs.drop("quality_score")
-    rows = rows if text_col == "text" else rows.withColumn("text", F.col(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", quality_score double"
-    return rows.mapInArrow(_scorer(fitted), schema)
+    return rows.mapInArrow(_scorer(fitted, text_col), schema)

@@ -254,24 +254,23 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return Model(key, weight, Trees.fit(x, y, np.ones(len(y))), at, rate)
 
 
-def _scorer(model: Model):
+def _scorer(model: Model, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = {n: batch.column(n) for n in batch.schema.names} | {"toxicity": pa.array(model.score(batch.column("text")), pa.float64())}
+            columns = {n: batch.column(n) for n in batch.schema.names} | {"toxicity": pa.array(model.score(batch.column(text_col)), pa.float64())}
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return run
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", per_class: int = DOCUMENTS, model: Model | None = None) -> DataFrame:
     """`docs` with the column toxicity, from 0 to 1; higher where a document is likelier to be toxic.
 
-    Fitted on at most DOCUMENTS labelled documents of each class, none with crc32(doc_id as text) mod 3 = 1; every text is scored
+    Fitted on at most `per_class` labelled documents of each class, none with crc32(doc_id as text) mod 3 = 1; every text is scored
     whole. A null text is scored as an empty one. Without labels of both classes every score is 0.5. Null doc_ids, repeated rows
     and empty tables are scored as they are; a column named toxicity is replaced, other columns pass through.
     """
-    fitted = model or train(docs, labels, id_col=id_col, text_col=text_col)
+    fitted = model or train(docs, labels, id_col=id_col, text_col=text_col, per_class=per_class)
     rows = docs.drop("toxicity")
-    rows = rows if text_col == "text" else rows.withColumn("text", F.col(text_col))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", toxicity double"
-    return rows.mapInArrow(_scorer(fitted), schema)
+    return rows.mapInArrow(_scorer(fitted, text_col), schema)
