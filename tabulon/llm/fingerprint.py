@@ -1,7 +1,7 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
-A paragraph has two vectors: lanes of 16 bits drawn from a 128-bit hash of its bytes, and signed counts of its hashed word pairs.
-A text's fingerprint is the sum of its paragraphs' vectors modulo 2^16, whatever their order; paragraphs are added and taken away
+A paragraph has two vectors: lanes of 64 bits drawn from a 128-bit hash of its bytes, and signed counts of its hashed word pairs.
+A text's fingerprint is the sum of its paragraphs' vectors modulo 2^64 and 2^16, whatever their order; paragraphs are added and taken away
 by adding and subtracting their vectors. The first part tells equality, the second how alike two texts are.
 """
 
@@ -22,7 +22,9 @@ from . import bytewords
 STRONG, COUNTS = 32, 128
 WIDTH = STRONG + COUNTS
 _U = np.uint64
-_STEP = (np.arange(1, STRONG // 4 + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[None, :]
+#: The strong part is read as so many lanes of 64 bits.
+LANES = STRONG // 4
+_STEP = (np.arange(1, LANES + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))[None, :]
 
 
 def vectors(texts: list[str]) -> np.ndarray:
@@ -51,9 +53,11 @@ def vectors(texts: list[str]) -> np.ndarray:
         cuts = [(a, b) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         keep = [k for k, (a, b) in enumerate(cuts) if b - a != 1 or raw[a] != 10]
         digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[cuts[k][0] : cuts[k][1]]) for k in keep), dtype=np.uint64).reshape(-1, 2)
-        lanes = (bytewords.mix((digests[:, :1] + _STEP).ravel()) + bytewords.mix((digests[:, 1:] ^ _STEP).ravel())).view(np.uint16).reshape(-1, STRONG)
+        lanes = (bytewords.mix((digests[:, :1] + _STEP).ravel()) + bytewords.mix((digests[:, 1:] ^ _STEP).ravel())).reshape(-1, LANES)
         owner = doc_of[keep]
-        np.add.at(out[:, :STRONG], i + owner, lanes) if len(owner) else None
+        sums = np.zeros((j - i, LANES), dtype=np.uint64)
+        np.add.at(sums, owner, lanes)
+        out[i:j, :STRONG] = sums.astype("<u8").view("<u2")
     return out
 
 
@@ -65,6 +69,44 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(base64.b64decode(fingerprint), dtype="<u2").astype(np.uint16)
 
 
+def combined(a: np.ndarray, b: np.ndarray, sign: int = 1) -> np.ndarray:
+    """The rows of a with those of b added, or taken away with sign -1: the strong part modulo 2^64, the counts modulo 2^16."""
+    strong = [np.ascontiguousarray(x[..., :STRONG]).view(np.uint64) for x in (a, b)]
+    counts = [x[..., STRONG:] for x in (a, b)]
+    strong, counts = (p[0] + p[1] if sign > 0 else p[0] - p[1] for p in (strong, counts))
+    return np.concatenate([strong.view(np.uint16), counts], axis=-1)
+
+
+def insert(fingerprint: str, text: str) -> str:
+    """The fingerprint of a text after the paragraphs of `text` (its lines) are added, wherever they stand."""
+    return to_text(combined(from_text(fingerprint), vectors([text])[0]))
+
+
+def delete(fingerprint: str, text: str) -> str:
+    """The fingerprint of a text after the paragraphs of `text` are taken out."""
+    return to_text(combined(from_text(fingerprint), vectors([text])[0], -1))
+
+
+def _edited(sign: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            change = vectors([t or "" for t in batch.column("text").to_pylist()])
+            now = [None if f is None else to_text(combined(from_text(f), c, sign)) for f, c in zip(batch.column("fingerprint").to_pylist(), change, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(now, pa.string())], names=["doc_id", "fingerprint"])
+
+    return run
+
+
+def update_fingerprints(held: DataFrame, edits: DataFrame, *, remove: bool = False) -> DataFrame:
+    """held (doc_id, fingerprint) and edits (doc_id, text) -> doc_id, fingerprint after each edit's lines are added or, with `remove`, taken out.
+
+    Edits of one document are put together before the join, a row per document: sums don't depend on order. Documents without edits
+    keep theirs; a null text changes nothing, a null doc_id meets no edit. The texts themselves are not read again.
+    """
+    lines = edits.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.array_join(F.collect_list("text"), "\n").alias("text"))
+    return held.select("doc_id", "fingerprint").join(lines, "doc_id", "left").mapInArrow(_edited(-1 if remove else 1), "doc_id long, fingerprint string")
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of common word pairs, intersection by union, of rows of fingerprints; 1 for equal ones."""
     x, y = a[:, STRONG:].view(np.int16), b[:, STRONG:].view(np.int16)
@@ -87,11 +129,11 @@ def _bucketed(bounds: list[int], before: dict[int, int], first: dict[int, int]):
         for batch in batches:
             k = batch.column("k").to_numpy()
             bucket = np.searchsorted(edges, k, side="left")
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(np.zeros(len(k), dtype=np.int64)), *batch.columns], names=["bucket", "kind", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), pa.array(np.zeros(len(k), dtype=np.int64)), *batch.columns], names=["bucket", "kind", *batch.schema.names])
             heads = [i for i in range(len(k)) if first.get(int(bucket[i])) == int(k[i])]
             if heads:
                 rows = batch.take(pa.array(heads, pa.int64()))
-                to = pa.array([before[int(bucket[i])] for i in heads], pa.int64())
+                to = pa.array([before[int(bucket[i])] for i in heads], pa.int32())
                 yield pa.RecordBatch.from_arrays([to, pa.array(np.ones(len(heads), dtype=np.int64)), *rows.columns], names=["bucket", "kind", *batch.schema.names])
 
     return run
@@ -157,6 +199,6 @@ def fingerprint_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     first = {r.bucket: r.k for r in rows.select("k").mapInArrow(head, "bucket long, k long").groupBy("bucket").agg(F.min("k").alias("k")).collect()}
     filled = sorted(first)
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
-    dealt = rows.mapInArrow(_bucketed(bounds, before, first), "bucket long, kind long, k long, doc_id long, text string")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "kind", "k", "text")
+    dealt = rows.mapInArrow(_bucketed(bounds, before, first), "bucket int, kind long, k long, doc_id long, text string")
+    dealt = dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind", "k", "text")
     return dealt.mapInArrow(_compare, SCHEMA)
