@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only where it is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a local session gets a temporary one; a cluster, whose machines would not share that, an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext.getCheckpointDir()
+        if not current and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         root = current.rsplit("/", 1)[0] if current else "file://" + tempfile.mkdtemp(prefix="tabulon-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -164,12 +164,12 @@ def _write(uri: str, tokenizer: str, end_id: int):
 def write_token_files(docs: DataFrame, uri: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> list[tuple[int, int]]:
     """Writes the shards in ascending doc_id order; returns (shard, ids of all shards before it), a row per shard.
 
-    The text is dealt once, by ranges of doc_id (and of the text for rows that repeat one), and encoded where it lands. A null text
+    The text is dealt once, by ranges of doc_id, then of the text's hash for rows that repeat one, and encoded where it lands. A null text
     is empty: its ids are the end id. A null doc_id comes first and isn't in the index. `uri` is a folder that every executor reaches.
     """
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = rows.repartitionByRange(n, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     done = sorted((r.shard, r.n_tokens) for r in dealt.mapInArrow(_write(uri, tokenizer, end_id), "shard long, n_docs long, n_tokens long").collect())
     before, out = 0, []
     for shard, tokens in done:

@@ -210,7 +210,7 @@ def test_token_files(spark, corpus):
     uri = Scratch(spark, "files").path
     got = token_files.read_token_files(spark, uri, token_files.write_token_files(corpus, uri, tokenizer=tokenizer_path("byte_bpe_50k.json"), shards=3)).orderBy("start").collect()
     t = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
-    rows = sorted(((r.doc_id, r.text) for r in corpus.select("doc_id", "text").collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    rows = [(r.doc_id, r.text) for r in corpus.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h", "text").collect()]
     start = 0
     for r, (i, text) in zip(got, rows, strict=True):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -235,14 +235,25 @@ def test_packing(corpus):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
-    got = packing.pack_documents(corpus, tokenizer=tokenizer_path("word_bpe_49k.json"), partitions=3).toPandas()
-    want = collections.Counter(len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in corpus.collect())
-    assert got.length.sum() == sum(n * k for n, k in want.items())
-    for _, s in got.groupby("sequence_id"):
-        s = s.sort_values("offset")
-        assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]]
-        total = int(s.length.sum())
-        assert total & (total - 1) == 0 and total <= 4096
+    path = tokenizer_path("word_bpe_49k.json")
+    want = collections.Counter()
+    for r in corpus.collect():
+        want[r.doc_id, tuple([*t.encode(r.text or "", add_special_tokens=False).ids, 2])] += 1
+    by_length = {(d, len(ids)): ids for d, ids in want}
+    for n in (1, 3, 40):
+        got = packing.pack_documents(corpus, tokenizer=path, partitions=n).toPandas()
+        found = collections.Counter()
+        for r in got.itertuples():
+            d = None if np.isnan(r.doc_id) else int(r.doc_id)
+            ids = by_length[d, r.doc_tokens]
+            assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+            found.update((d, r.doc_tokens, k) for k in range(r.start, r.start + r.length))
+        assert found == collections.Counter({(d, len(ids), k): c for (d, ids), c in want.items() for k in range(len(ids))})
+        for _, s in got.groupby("sequence_id"):
+            s = s.sort_values("offset")
+            assert list(s.offset) == [0, *np.cumsum(s.length)[:-1]]
+            total = int(s.length.sum())
+            assert total & (total - 1) == 0 and total <= 4096
 
 
 def test_hilbert_neighbours():
@@ -263,7 +274,20 @@ def test_fingerprints(corpus):
     a, b = fingerprint.vectors(["one line\nother line", "other line\none line"])
     assert (a == b).all()
     whole, part = fingerprint.vectors(["p one x\nq two", "q two"])
-    assert (whole - fingerprint.vectors(["p one x"])[0] == part).all()
+    assert (fingerprint.combined(whole, fingerprint.vectors(["p one x"])[0], -1) == part).all()
+    many, none = fingerprint.vectors(["\n".join(["same"] * 65536), ""])
+    assert (many[: fingerprint.STRONG] != none[: fingerprint.STRONG]).any()
+
+
+def test_fingerprints_take_edits(spark):
+    of = lambda t: fingerprint.to_text(fingerprint.vectors([t])[0])
+    assert fingerprint.delete(fingerprint.insert(of("a b\nc d"), "e f"), "c d") == of("e f\na b")
+    held = spark.createDataFrame([(1, of("a b")), (2, of("c d")), (None, of("x")), (3, None)], "doc_id long, fingerprint string")
+    edits = spark.createDataFrame([(1, "e f"), (1, "g h"), (4, "no"), (None, "no"), (2, None)], "doc_id long, text string")
+    more = fingerprint.update_fingerprints(held, edits)
+    assert {r.doc_id: r.fingerprint for r in more.collect()} == {1: of("g h\na b\ne f"), 2: of("c d"), None: of("x"), 3: None}
+    back = fingerprint.update_fingerprints(more, edits, remove=True)
+    assert {r.doc_id: r.fingerprint for r in back.collect()} == {1: of("a b"), 2: of("c d"), None: of("x"), 3: None}
 
 
 def test_line_dedup(corpus):
