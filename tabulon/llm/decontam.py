@@ -16,8 +16,10 @@ from .store import Scratch
 
 #: Edits by words of the item, at most.
 RATE = 0.2
-#: Steps of a walk, sampled steps besides the first, repetitions. A walk of 16 steps covers about 8 word pairs.
+#: Steps of a long walk, sampled steps besides the first, repetitions. A walk of 16 steps covers about 8 word pairs.
 STEPS, SAMPLES, ROUNDS = 16, 2, 4
+#: Items of so many words have long walks besides the short one.
+LONG = 12
 #: Benchmark bytes held at once; more are taken in blocks, each with a pass over the documents.
 BLOCK = 16 << 20
 CHUNK = 1 << 20
@@ -35,11 +37,24 @@ def _symbols(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
         yield i, j, h, pair, w.first, w
 
 
-def sampled_steps(turn: int) -> np.ndarray:
-    return np.sort(np.random.default_rng(1000 + turn).choice(np.arange(1, STEPS), SAMPLES, replace=False))
+def sampled_steps(turn: int) -> list[int]:
+    return np.sort(np.random.default_rng(1000 + turn).choice(np.arange(1, STEPS), SAMPLES, replace=False)).tolist()
 
 
-def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int, sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def rounds_of(words: int, rate: float) -> list[tuple[int, tuple[int, ...]]]:
+    """(turn, sampled steps) of each repetition for items of so many words.
+
+    e = rate * words edits leave a run of at least (words - e) / (e + 1) words whole. A walk from its first word reads nothing outside
+    the run for as many steps as it has pairs, so a repetition that samples only those collides surely. At a rate of 0.2 these are
+    one to three steps. Longer items also have walks of STEPS steps, which collide where edits are few.
+    """
+    edits = int(rate * words)
+    pairs = max(1, min(3, -(-(words - edits) // (edits + 1)) - 1))
+    sure = [(ROUNDS + pairs, tuple(range(1, pairs)))]
+    return sure + [(turn, tuple(sampled_steps(turn))) for turn in range(ROUNDS)] * (words >= LONG)
+
+
+def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int, steps: tuple[int, ...], sieves: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """(places in `start`, keys, partial keys): of each walk, a key of its first symbol and its symbols at the sampled steps.
 
     A walk reads a symbol and, by a random bit of symbol and step, stays or goes on; equal stretches after an edit fall into step
@@ -47,9 +62,9 @@ def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int,
     where its partial key is none of theirs, as its key can't be either.
     """
     which, at, key, last = np.arange(len(start)), start.copy(), pair[start] * _U(turn * 2 + 1), last.copy()
-    steps, partial = list(sampled_steps(turn)), []
+    partial: list[np.ndarray] = []
     odd = np.random.default_rng(2000 + turn).integers(1, 2**63, STEPS, dtype=np.uint64) * _U(2) + _U(1)
-    for step in range(steps[-1] + 1):
+    for step in range(max(steps, default=-1) + 1):
         inside = at <= last
         symbol = np.where(inside, pair[np.minimum(at, last)], _U(0))
         if step in steps:
@@ -71,7 +86,7 @@ def _sieve(keys: np.ndarray) -> np.ndarray:
 class Index:
     """The walks of a block of items from each of their words."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE) -> None:
         self.ids = [i for i, _ in items]
         self.words: list[np.ndarray] = []
         starts, lasts, item, offset, pairs, base = [], [], [], [], [], 0
@@ -94,22 +109,26 @@ class Index:
         none = [np.zeros(0, dtype=np.int64)]
         start, last = np.concatenate(starts or none), np.concatenate(lasts or none)
         self.item, self.offset = np.concatenate(item or none), np.concatenate(offset or none)
-        self.begins = np.unique(pair[start])
-        self.filter = _sieve(self.begins)
+        sizes = np.array([len(w) for w in self.words], dtype=np.int64)
+        of_round = defaultdict(list)
+        for n in np.unique(sizes[sizes > 1]).tolist():
+            for r in rounds_of(n, rate):
+                of_round[r].append(n)
         self.tables = []
-        for turn in range(ROUNDS):
-            _, keys, partial = walk_keys(pair, start, last, turn)
+        for (turn, steps), lengths in sorted(of_round.items()):
+            mine = np.flatnonzero(np.isin(sizes[self.item], lengths))
+            _, keys, partial = walk_keys(pair, start[mine], last[mine], turn, steps)
             order = np.argsort(keys, kind="stable")
-            self.tables.append((keys[order], order, [_sieve(k) for k in partial]))
+            self.tables.append((turn, steps, _sieve(pair[start[mine]]), keys[order], mine[order], [_sieve(k) for k in partial]))
         self.alone = np.array(sorted(self.single), dtype=np.uint64)
 
     def candidates(self, h: np.ndarray, pair: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, item, offset of that word in the item) of colliding walks. last: of each word the last pair of its text."""
-        maybe = np.flatnonzero(self.filter[(pair & _U(SIEVE - 1)).astype(np.int64)])
-        maybe = maybe[maybe <= last[maybe]]
-        found = []
-        for turn, (keys, order, sieves) in enumerate(self.tables):
-            on, mine, _ = walk_keys(pair, maybe, last[maybe], turn, sieves)
+        found, low = [], (pair & _U(SIEVE - 1)).astype(np.int64)
+        for turn, steps, begins, keys, order, sieves in self.tables:
+            maybe = np.flatnonzero(begins[low])
+            maybe = maybe[maybe <= last[maybe]]
+            on, mine, _ = walk_keys(pair, maybe, last[maybe], turn, steps, sieves)
             a, b = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
             n = b - a
             which = order[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())] if n.sum() else np.zeros(0, dtype=np.int64)
@@ -140,7 +159,7 @@ def infix_distance(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]
 
 def _scan(items: list[tuple[int, str]], rate: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(items)
+        index = Index(items, rate)
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
             for i, _, h, pair, first, w in _symbols(batch.column("text")):
@@ -174,12 +193,12 @@ SCHEMA = "doc_id long, item_id long, distance long, first_word long, end_word lo
 def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """One row per document and benchmark item that a stretch of it repeats within rate * words of the item edits, by words.
 
-    Words are runs of letters and digits, lower-cased. The walks start at each word of the documents whose pair with the next word
-    occurs in an item, as the first symbol is always among the sampled ones; items have a walk from each word. Colliding walks give
-    the place of a window as long as the item, whose edit distance is computed exactly. Items of one word match that word.
+    Words are runs of letters and digits, lower-cased. Items have a walk from each of their words, and documents from each word whose
+    pair with the next one begins a walk of an item. How many steps of a walk are sampled, and how often, follows from the item's
+    length (rounds_of): up to a rate of 0.25, each repeat within the rate has a colliding walk. It gives the place of a window as long
+    as the item, whose edit distance is computed exactly. Items of one word match that word.
 
-    At 0.2 an item of 20 words with 4 edits spread evenly has walks between edits that collide in at least one of ROUNDS repetitions
-    (tests measure the recall). Items come in blocks of at most BLOCK bytes, a pass over the documents for each, so what is sent to
+    Items come in blocks of at most BLOCK bytes, a pass over the documents for each, so what is sent to
     executors is bounded. Null and wordless texts and items match nothing; a null doc_id is reported as null. Repeated rows
     are reported each. Other columns are ignored.
     """
@@ -192,7 +211,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
     for row in benchmark.where("text is not null and item_id is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         block.append((row.item_id, row.text))
-        held += len(row.text)
+        held += len(row.text.encode())
         if held > BLOCK:
             found, block, held = add(found, block), [], 0
     return add(found, block) if block or found is None else found

@@ -315,18 +315,45 @@ def test_licenses(spark):
     assert got == {(1, "mit-grant"), (2, "all-rights-reserved"), (6, "gpl-3.0"), (6, "mit"), (None, "mit"), (8, "mit-grant")}
 
 
-def test_decontamination_recall(spark):
+def edited_words(words, edits, rnd, even=False):
+    """Words with so many substitutions, insertions and deletions, at random places or evenly spread."""
+    out = list(words)
+    for k in range(edits):
+        at = (k + 1) * len(words) // (edits + 1) if even else rnd.randrange(len(out))
+        at, kind = min(at, len(out) - 1), 0 if even else rnd.randrange(3)
+        if kind == 0:
+            out[at] = rnd.choice(VOCABULARY)
+        elif kind == 1:
+            out.insert(at, rnd.choice(VOCABULARY))
+        else:
+            del out[at]
+    return out
+
+
+@pytest.mark.parametrize("lengths", [(1, 4), (5, 10), (11, 14), (15, 60)])
+def test_decontamination_against_all_pairs(spark, lengths):
+    """Every repeat within the rate is found, at the full rate, and nothing that all pairs of documents and items do not have."""
     rnd = random.Random(9)
-    items = [(i, prose(rnd.randint(15, 60), rnd)) for i in range(60)]
-    rows, want = [], set()
-    for n in range(300):
-        i, text = rnd.choice(items)
-        words = len(text.split())
-        rows.append((n, f"{prose(40, rnd)} {near(text, rnd.randint(0, words // 10), rnd)} {prose(40, rnd)}"))
-        want.add((n, i))
-    rows += [(1000 + n, prose(100, rnd)) for n in range(50)] + [(2000, None), (2001, "")]
-    got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string")).collect()}
-    assert got <= want and len(got) >= 0.97 * len(want)
+    items = [(i, prose(rnd.randint(*lengths), rnd)) for i in range(25)]
+    rows = []
+    for n in range(80):
+        words = rnd.choice(items)[1].split(" ")
+        rows.append((n, f"{prose(20, rnd)} {' '.join(edited_words(words, int(0.2 * len(words)), rnd, even=n % 2 == 0))} {prose(20, rnd)}"))
+    rows += [(100, prose(100, rnd)), (101, None), (102, ""), (None, rows[0][1]), (103, rows[1][1]), (103, rows[1][1]), (104, prose(20000, rnd) + " " + items[0][1] + " " + prose(5000, rnd))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("item_id", "distance", "row__key")})
+    bench = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = collections.Counter((r.doc_id, r.item_id, r.distance) for r in decontam.find_leaks(docs, bench).collect())
+    of = lambda t: np.array([hash(w) for w in (t or "").split(" ") if w], dtype=np.int64)
+    want = collections.Counter()
+    for d, t in rows:
+        region = of(t)
+        for i, text in items:
+            item = of(text)
+            if len(region):
+                n = decontam.infix_distance(item, region)[0]
+                if n <= int(0.2 * len(item)):
+                    want[d, i, n] += 1
+    assert got == want
 
 
 def test_infix_distance():
