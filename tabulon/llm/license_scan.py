@@ -5,112 +5,137 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Fixed notices: (name, text).
-TEMPLATES = (
-    ("mit", "Released under the MIT License."),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("all-rights-reserved", "All rights reserved."),
-    ("mit-grant", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("apache-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-)
-SIZE, WINDOW, BANDS, LEAST = 5, 4, 3, 0.8
-#: Each band orders shingles by their hash xor one of these.
-SEEDS = (0x1B873593CC9E2D51, 0x38495AB5A1E38B93, 0x0F1BBCDCBFA53E0B)
+from .license_texts import TEXTS
+
+#: Words of a shingle; bands of one MinHash each; share of a template that has to be there.
+SIZE, BANDS, LEAST = 5, 3, 0.8
+#: Shingles of the longest window; shorter templates have windows of a lesser power of two.
+WINDOW = 16
+#: Template keys that are sent to every executor; beyond, windows and keys meet by a shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def template_table(spark: SparkSession, texts=TEXTS) -> DataFrame:
+    return spark.createDataFrame(list(texts), "template string, text string")
 
 
 def _words(text: F.Column) -> F.Column:
-    """Lower-cased runs of letters and digits."""
+    """Hashes of the lower-cased runs of letters and digits."""
     plain = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
-
-
-def _shingles(words: str, size: int) -> F.Column:
-    """Hashes of each `size` words in a row; none in shorter lists."""
-    of = ", ".join(f"{words}[i + {k}]" for k in range(size))
-    return F.expr(f"if(size({words}) < {size}, cast(array() as array<bigint>), transform(sequence(0, greatest(size({words}) - {size}, 0)), i -> xxhash64({of})))")
-
-
-def _bands(shingles: str, window: int) -> list[F.Column]:
-    """For each band, the least shingle of each `window` in a row, in the band's order; windows start at every shingle."""
-    out = []
-    for band, seed in enumerate(SEEDS[:BANDS]):
-        least = ", ".join(f"{shingles}[i + {k}] ^ {seed}L" for k in range(window))
-        pick = least if window == 1 else f"least({least})"
-        out.append(F.expr(f"if(size({shingles}) < {window}, cast(array() as array<bigint>), transform(sequence(0, greatest(size({shingles}) - {window}, 0)), i -> xxhash64({pick}, {band})))"))
-    return out
-
-
-def _prepared(spark: SparkSession, templates) -> list[dict]:
-    """Shingles and band keys of each template: a fixed list, so a few hundred numbers."""
-    rows = spark.createDataFrame([(n, t) for n, t in templates], "template string, text string").withColumn("w", _words(F.col("text")))
-    for size in range(1, SIZE + 1):
-        rows = rows.withColumn(f"s{size}", _shingles("w", size))
-    rows = rows.select("template", F.size("w").alias("n"), *[F.array_distinct(f"s{k}").alias(f"s{k}") for k in range(1, SIZE + 1)], *[b.alias(f"b{k}") for k, b in enumerate(_bands(f"s{SIZE}", WINDOW))])
-    out = []
-    for r in rows.collect():
-        size = min(SIZE, r.n)
-        if size:
-            own = r[f"s{size}"]
-            # a template of fewer than WINDOW shingles is looked up by its shingles themselves: windows of one
-            bands = [r[f"b{k}"] for k in range(BANDS)] if size == SIZE and len(own) >= WINDOW else None
-            out.append({"template": r.template, "size": size, "words": r.n, "shingles": own, "bands": bands})
-    return out
+    return F.when(plain == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split(plain, " "), lambda w: F.xxhash64(w)))
+
+
+def _rolled(last: str, step: int, value: str) -> str:
+    """SQL of an array of `value` at i = 0, step, ... up to `last`; empty if that is negative."""
+    return f"if({last} < 0, cast(array() as array<bigint>), transform(sequence(0, greatest({last}, 0), {step}), i -> {value}))"
+
+
+def _shingles(size: int) -> str:
+    """SQL of the hashes of each `size` words in a row; none in shorter texts."""
+    return _rolled(f"size(w) - {size}", 1, f"xxhash64({', '.join(f'w[i + {k}]' for k in range(size))})")
 
 
 def _settled(rows: DataFrame, *names: str) -> DataFrame:
     """The same columns, computed once a row: the optimiser doesn't copy expressions through a generator, where a lambda would evaluate them for each element."""
-    return rows.select(F.inline(F.array(F.struct("doc_id", *names))))
+    return rows.select(F.inline(F.array(F.struct(*names))))
+
+
+def window_of(shingles: int) -> int:
+    """The largest power of two whose windows, one at every half window, lie inside so many shingles at least once."""
+    w = 1
+    while w < WINDOW and 3 * w - 1 <= shingles:
+        w *= 2
+    return w
 
 
-def _longs(values) -> str:
-    return ", ".join(f"{v}L" if v != -(2**63) else "-9223372036854775807L - 1L" for v in values)
+def _bands(window: int) -> int:
+    """A template of up to four shingles has to be there whole, so its windows are equal or not met."""
+    return 1 if window < 4 else BANDS
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, least: float = LEAST) -> DataFrame:
+def _minima(rows: DataFrame, windows: set[int], step: int, *keep: str) -> tuple[DataFrame, list[tuple[str, int, int]]]:
+    """(keep, s5) -> the least seeded hash of each window and band, an array each; and of each array its name, window and step.
+
+    Windows of 4, 8 and 16 begin at every half window (or every place, with `step` 1); each length takes its minima from the half as long one.
+    """
+    deepest = max(windows, default=1)
+    made: list[tuple] = []
+    if 2 in windows:
+        made.append(("m2_0", 2, 1, f"least(s{SIZE}[i], s{SIZE}[i + 1])"))
+    if deepest >= 4:
+        made += [(f"m4_{b}", 4, 2 if step else 1, f"least({', '.join(f's{SIZE}[i + {k}]' if b == 0 else f'xxhash64(s{SIZE}[i + {k}], {1000 + b})' for k in range(4))})") for b in range(BANDS)]
+    if made:
+        rows = _settled(rows.select(*keep, *[F.expr(_rolled(f"size(s{SIZE}) - {w}", by, v)).alias(n) for n, w, by, v in made]), *keep, *[n for n, *_ in made])
+    arrays = [(n, w, by) for n, w, by, _ in made]
+    for window in (8, 16):
+        if deepest < window:
+            break
+        # places in the list of half as long windows: their step is half of this one's, their length twice their step
+        half, by = window // 2, window // 2 if step else 1
+        jump, apart = (2, 2) if step else (1, half)
+        made = [(f"m{window}_{b}", f"least(m{half}_{b}[i], m{half}_{b}[i + {apart}])", f"m{half}_{b}") for b in range(BANDS)]
+        have = [n for n, *_ in arrays]
+        rows = _settled(rows.select(*keep, *have, *[F.expr(_rolled(f"size({of}) - {apart + 1}", jump, v)).alias(n) for n, v, of in made]), *keep, *have, *[n for n, *_ in made])
+        arrays += [(n, window, by) for n, *_ in made]
+    return rows, [(n, w, by) for n, w, by in arrays if w in windows and int(n.split("_")[1]) < _bands(w)]
+
+
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """One row per document and template found: doc_id, template, containment, first_word.
 
-    Every text is cut into overlapping windows of WINDOW shingles of five words, one at each shingle. A window and a template's window
-    that differ in one shingle have a Jaccard similarity of 3/5, so BANDS = 3 bands of one MinHash collide with probability 0.94; a
-    notice of which 80 % is left has windows that don't differ, which collide surely. Templates of fewer shingles are looked up by each
-    shingle; of fewer than five words, by all their words in a row. At each collision, the share of the template's shingles in the
-    stretch of that length on both sides is computed exactly; the best of at least `least` is returned with the first place it was met.
+    `templates` (template, text) are whole notices; the default ones are TEXTS. A text is cut into overlapping windows of W shingles
+    of five words, one at every half window; a template has a window at every shingle. W is 16, or for short templates the largest
+    power of two whose windows surely lie inside them, so an unedited notice holds a window that equals one of the template: it
+    collides with certainty, whatever stands around it. Where a word was edited, a window and the template's share 11 of 21 shingles, so
+    BANDS = 3 bands of one seeded MinHash collide with probability 0.89, and two such windows with 0.99; a long notice has many more. A template of less
+    than five words is one shingle of all its words, and its window that shingle. Keys of all lengths are one table; what meets by
+    chance is found out by the comparison.
+
+    At each collision, the share of the template's shingles in the stretch of its length on both sides is computed exactly; the best of
+    at least `least` is returned with the first window that led to it. A hit carries that stretch alone, so texts of many notices stay
+    linear. Template keys are broadcast up to BROADCAST_KEYS of them. Built-in functions only.
 
-    Everything happens within a row: no window leaves its document, only hits do, and the templates are literals. Built-in functions
-    only. A null or wordless text has no row; a null doc_id is reported as null; repeated rows are reported once. Other columns are ignored.
+    A null or wordless text has no row, nor has a null or wordless template; a null doc_id is reported as null; repeated rows are
+    reported once; templates that repeat a name count each. Other columns are ignored.
     """
-    known = _prepared(docs.sparkSession, templates)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("w"))
-    sizes = sorted({t["size"] for t in known} | ({SIZE} if known else set()))
-    if not known:
-        return rows.select("doc_id", F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).where("false")
-    rows = _settled(rows, "w")
-    rows = rows.select("doc_id", *[_shingles("w", size).alias(f"s{size}") for size in sizes])
-    rows = _settled(rows, *[f"s{size}" for size in sizes])
-    hits, bands = [], []
-    long_ = [t for t in known if t["bands"] is not None]
-    if long_:
-        for band, keys in enumerate(_bands(f"s{SIZE}", WINDOW)):
-            wanted = sorted({k for t in long_ for k in t["bands"][band]})
-            bands.append(keys.alias(f"b{band}"))
-            hits.append(F.expr(f"transform(filter(transform(b{band}, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k in ({_longs(wanted)})), x -> named_struct('size', {SIZE}, 'band', {band}, 'k', x.k, 'i', x.i))"))
-    for size in sizes:
-        short = [t for t in known if t["bands"] is None and t["size"] == size]
-        if short:
-            wanted = sorted({k for t in short for k in t["shingles"]})
-            hits.append(F.expr(f"transform(filter(transform(s{size}, (k, i) -> named_struct('k', k, 'i', i)), x -> x.k in ({_longs(wanted)})), x -> named_struct('size', {size}, 'band', -1, 'k', x.k, 'i', x.i))"))
-    rows = _settled(rows.select("doc_id", *[f"s{s}" for s in sizes], *bands), *[f"s{s}" for s in sizes], *[f"b{k}" for k in range(len(bands))])
-    rows = rows.select("doc_id", *[f"s{s}" for s in sizes], F.explode_outer(F.concat(*hits)).alias("hit")).where("hit is not null").select("doc_id", *[f"s{s}" for s in sizes], "hit.*")
-    cases = []
-    for n, t in enumerate(known):
-        m, s = len(t["shingles"]), f"s{t['size']}"
-        own = f"array({_longs(t['shingles'])})"
-        meets = f"band = -1 and k in ({_longs(t['shingles'])})" if t["bands"] is None else " or ".join(f"(band = {b} and k in ({_longs(sorted(set(ks)))}))" for b, ks in enumerate(t["bands"]))
-        around = f"slice({s}, greatest(i + 1 - {m}, 1), {2 * m + WINDOW})"
-        cases.append(f"if(size = {t['size']} and ({meets}), named_struct('template', '{t['template']}', 'containment', size(array_intersect({own}, {around})) / {float(m)}), null)")
-    found = rows.select("doc_id", "i", F.explode(F.expr(f"filter(array({', '.join(cases)}), x -> x is not null and x.containment >= {least})")).alias("f"))
-    return found.groupBy("doc_id", F.col("f.template").alias("template")).agg(F.max("f.containment").alias("containment"), F.min("i").alias("first_word"))
+    spark = docs.sparkSession
+    given = (templates if templates is not None else template_table(spark)).select("template", "text").where("text is not null")
+    named = given.select("template", "text", F.size(_words(F.col("text"))).alias("words")).where("words > 0")
+    classes = sorted({(min(SIZE, r.words), window_of(r.words - min(SIZE, r.words) + 1)) for r in named.select("words").distinct().collect()})
+    if not classes:
+        return docs.select(F.col(id_col).alias("doc_id"), F.lit("").alias("template"), F.lit(0.0).alias("containment"), F.lit(0).alias("first_word")).where("false")
+    sizes = sorted({n for n, _ in classes})
+    of_windows = {w for n, w in classes if n == SIZE and w > 1}
+    shingles = [f"s{n}" for n in sizes]
+
+    def prepared(rows: DataFrame, step: int, *keep: str) -> tuple[DataFrame, list[tuple[str, str, int, int]]]:
+        """The rows with shingles, and arrays of keys: (name, shingles, window, step)."""
+        rows = _settled(rows.select(*keep, _words(F.col("text")).alias("w")), *keep, "w")
+        rows = _settled(rows.select(*keep, *[F.expr(_shingles(n)).alias(f"s{n}") for n in sizes]), *keep, *shingles)
+        rows, arrays = _minima(rows, of_windows, step, *keep, *shingles)
+        return rows, [(f"s{n}", f"s{n}", 1, 1) for n, w in classes if w == 1] + [(name, f"s{SIZE}", w, by) for name, w, by in arrays]
+
+    known, arrays = prepared(named, 0, "template", "words")
+    tables = []
+    for name, whole, window, _ in arrays:
+        n = F.size(whole)
+        fits = (F.least(F.col("words"), F.lit(SIZE)) == int(whole[1:])) & (n >= (1 if window == 1 else 3 * window // 2 - 1)) & (F.lit(True) if window == WINDOW else n < max(2, 3 * window - 1))
+        tables.append(known.where(fits).select("template", F.array_distinct(whole).alias("own"), F.lit(int(whole[1:])).alias("size"), F.explode(name).alias("key")))
+    keys = tables[0]
+    for t in tables[1:]:
+        keys = keys.unionByName(t)
+    keys = keys.distinct()
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
+    rows, arrays = prepared(rows, 1, "doc_id")
+    ends = [" + ".join(f"size({name})" for name, *_ in arrays[: k + 1]) for k in range(len(arrays))]
+    rows = _settled(rows.select("doc_id", *shingles, F.concat(*[name for name, *_ in arrays]).alias("keys"), F.array(*[F.expr(e) for e in ends]).alias("ends")), "doc_id", *shingles, "keys", "ends")
+    met = rows.select("doc_id", *shingles, "ends", F.posexplode("keys").alias("pos", "key")).join(keys, "key")
+    steps = [f"when pos < ends[{k}] then (pos - {f'ends[{k - 1}]' if k else 0}) * {by}" for k, (_, _, _, by) in enumerate(arrays)]
+    met = met.withColumn("i", F.expr(f"case {' '.join(steps)} end"))
+    whole = "case size " + " ".join(f"when {n} then s{n}" for n in sizes) + " end"
+    around = F.expr(f"slice({whole}, greatest(i + 1 - size(own), 1), 2 * size(own) + {WINDOW})")
+    found = met.select("doc_id", "template", "i", (F.size(F.array_intersect("own", around)) / F.size("own")).cast("double").alias("containment"))
+    found = found.where(F.col("containment") >= least)
+    return found.groupBy("doc_id", "template").agg(F.max("containment").alias("containment"), F.min("i").alias("first_word"))
