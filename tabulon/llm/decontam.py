@@ -46,7 +46,7 @@ def rounds_of(words: int, rate: float) -> list[tuple[int, tuple[int, ...]]]:
 
     e = rate * words edits leave a run of at least (words - e) / (e + 1) words whole. A walk from its first word reads nothing outside
     the run for as many steps as it has pairs, so a repetition that samples only those collides surely. At a rate of 0.2 these are
-    one to three steps. Longer items also have walks of STEPS steps, which collide where edits are few.
+    one to three steps; of all random walks, these repetitions take the one that goes on at each step, as it reads most. Longer items also have walks of STEPS steps, which collide where edits are few.
     """
     edits = int(rate * words)
     pairs = max(1, min(3, -(-(words - edits) // (edits + 1)) - 1))
@@ -73,7 +73,7 @@ def walk_keys(pair: np.ndarray, start: np.ndarray, last: np.ndarray, turn: int,
             if sieves is not None:
                 on = np.flatnonzero(sieves[len(partial) - 1][(key & _U(SIEVE - 1)).astype(np.int64)])
                 which, at, key, last, symbol, inside = which[on], at[on], key[on], last[on], symbol[on], inside[on]
-        at += ((symbol * odd[step]) >> _U(63)).astype(np.int64) & inside
+        at += inside if turn >= ROUNDS else ((symbol * odd[step]) >> _U(63)).astype(np.int64) & inside
     return which, key, partial
 
 
