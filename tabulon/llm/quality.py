@@ -15,7 +15,8 @@ from . import bytewords
 #: Bound of the fit: labelled documents of each class, each learnt whole. The chain is cut into runs of RUN lines while it descends.
 DOCUMENTS, RUN = 1500, 128
 ROUNDS, STEPS = 2, 120
-CHUNK = 4 << 20
+#: Bytes whose features are held at once; each takes some 80 bytes.
+CHUNK = 1 << 20
 
 
 def _table(chars: str) -> np.ndarray:
