@@ -17,7 +17,7 @@ import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Distinct pieces kept by a worker; the memory is given back when they are so many.
-KEPT = 400_000
+KEPT = 200_000
 #: Pieces of characters below this one are cut here; Unicode versions agree on them.
 LATIN_END = "ɐ"
 #: The pattern of byte-level pre-tokenizers that name none.
