@@ -20,7 +20,7 @@ class Region:
     LEAF, PIVOTS = 8, 6
     #: A part of more documents than this is compared by prefixes first.
     PLAIN = 64
-    ROWS, COLUMNS = 512, 4096
+    ROWS, COLUMNS = 128, 1024
 
     def __init__(self, ids: list[int], sets: list[np.ndarray], percent: int) -> None:
         self.ids, self.percent, self.radius = ids, percent, 1 - percent / 100
