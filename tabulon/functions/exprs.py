@@ -55,7 +55,7 @@ def number_in(value: Any) -> float | None:
 def matches(v: Column, kind: Column, op: str, value: Any = None) -> Column:
     """Numbers compare as numbers with a tolerance of 1e-9, everything else as case-folded text, dates as ISO text.
 
-    No operator but `missing` holds for an absent value. A numeric field and a text that is no number never match.
+    No operator but `missing` holds for an absent value. Where one side is no number, both compare as text.
     """
     present = has_value(v, kind)
     if op in ("missing", "present"):
@@ -64,7 +64,7 @@ def matches(v: Column, kind: Column, op: str, value: Any = None) -> Column:
     shown = F.lower(F.trim(label_of(v, kind)))
     by_text = {"eq": shown == text, "ne": shown != text, "gt": shown > text, "gte": shown >= text, "lt": shown < text, "lte": shown <= text, "contains": F.contains(shown, F.lit(text))}[op]
     if right is None:
-        by_number = by_text if op in ("eq", "ne", "contains") else F.lit(False)
+        by_number = by_text
     else:
-        by_number = {"eq": F.abs(left - right) <= 1e-9, "ne": F.abs(left - right) > 1e-9, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right, "contains": F.contains(plain_number(left), F.lit(repr(right)))}[op]
+        by_number = {"eq": F.abs(left - right) < 1e-9, "ne": F.abs(left - right) >= 1e-9, "gt": left > right, "gte": left >= right, "lt": left < right, "lte": left <= right, "contains": F.contains(plain_number(left), F.lit(repr(right)))}[op]
     return present & F.coalesce(F.when(left.isNotNull(), by_number).otherwise(by_text), F.lit(False))

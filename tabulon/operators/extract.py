@@ -56,9 +56,12 @@ def extract(lines: DataFrame) -> DataFrame:
 
 
 def document_kind(text: Column) -> Column:
-    """The kind whose words are found most; one in the heading counts ten more. Null without any."""
-    low = F.lower(text)
+    """The kind whose markers are found most, all of them together; one in the heading counts ten more. Ties go to the kind that KINDS names first; `document` without any."""
+    low = F.lower(F.coalesce(text, F.lit("")))
     count = lambda s, m: F.size(F.split(s, m)) - 1
-    scores = [F.struct((count(low, m) + 10 * count(F.substring(low, 1, HEADING), m)).alias("n"), F.lit(-k).alias("o"), F.lit(v).alias("kind")) for k, (m, v) in enumerate(KINDS.items())]
+    scores = []
+    for k, kind in enumerate(dict.fromkeys(KINDS.values())):
+        n = sum((count(low, m) + 10 * count(F.substring(low, 1, HEADING), m) for m, v in KINDS.items() if v == kind), F.lit(0))
+        scores.append(F.struct(n.alias("n"), F.lit(-k).alias("o"), F.lit(kind).alias("kind")))
     best = F.array_max(F.array(*scores))
-    return F.when(best["n"] > 0, best["kind"])
+    return F.when(best["n"] > 0, best["kind"]).otherwise("document")

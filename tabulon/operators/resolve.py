@@ -32,11 +32,13 @@ def types_agree(incoming: Column, existing: Column, currency_default: Column) ->
 
 
 def score_pairs(incoming: DataFrame, schema: DataFrame, t: Thresholds = Thresholds()) -> DataFrame:
-    """Every incoming field (key, label, type, vector) with every field of the schema (at most WIDTH rows, so it is broadcast).
+    """Every incoming field (key, label, type, vector) with every field of the schema, which has WIDTH rows at most and is broadcast; a wider one is an error.
 
     schema: field_key, field_label, field_type, aliases, currency_default, field_vector.
     """
-    pairs = incoming.crossJoin(F.broadcast(schema.limit(WIDTH)))
+    if schema.count() > WIDTH:
+        raise ValueError(f"a schema has at most {WIDTH} fields")
+    pairs = incoming.crossJoin(F.broadcast(schema))
     mine = [fold_label(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in order])) for order in (("key", "label"), ("label", "key"))]
     own = F.array(fold_label(F.col("field_key")), fold_label(F.col("field_label")))
     known = F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: fold_label(a))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -105,20 +106,23 @@ def search(chunks: DataFrame, questions: DataFrame, *, top: int = TOP, floor: fl
     """The best passages of each question, then the digests of their documents.
 
     chunks: chunk_id string, document_id, is_digest, tokens, embedding (of unit length, or null: no signal). questions: question_id long,
-    tokens, embedding; a stated set of at most QUESTIONS, which goes to the tasks as one matrix. A batch gives up at most its `top` rows
-    (and ties) of each question, so the shuffle doesn't grow with the passages of a batch.
+    tokens, embedding; a stated set, taken in blocks of at most QUESTIONS, each of which goes to the tasks as one matrix. A batch gives up
+    at most its `top` rows (and ties) of each question, so the shuffle doesn't grow with the passages of a batch.
     """
+    n = -(-questions.count() // QUESTIONS)
+    if n > 1:
+        blocks = [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(2 * n)) == k) for k in range(2 * n)]
+        return reduce(DataFrame.unionByName, [search(chunks, b, top=top, floor=floor) for b in blocks])
     from pyspark.sql import Window as W
 
-    asked = [(r.question_id, r.tokens, np.array(r.embedding)) for r in questions.where("embedding is not null").limit(QUESTIONS + 1).collect()]
-    if len(asked) > QUESTIONS:
-        raise ValueError(f"at most {QUESTIONS} questions at a time")
+    asked = [(r.question_id, r.tokens, np.array(r.embedding)) for r in questions.where("embedding is not null").collect()]
     rows = chunks.select("chunk_id", "document_id", "is_digest", "tokens", "embedding")
     schema = f"question_id long, chunk_id string, document_id {dict(chunks.dtypes)['document_id']}, is_digest boolean, score double"
     if not asked:
         return chunks.sparkSession.createDataFrame([], schema)
     place = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id"))
     hits = rows.mapInArrow(_score_pairs(asked, top), schema).withColumn("place", place).where(F.col("place") <= top).where(F.col("score") >= floor).drop("place")
+    hits = hits.persist()  # at most `top` rows a question, used four times
     digest = rows.where("is_digest").join(hits.select("document_id").distinct(), "document_id", "left_semi").select(*rows.columns).mapInArrow(_score_pairs(asked, None), schema)
     more = digest.join(hits.select("question_id", "document_id").distinct(), ["question_id", "document_id"], "left_semi")
     more = more.join(hits.select("question_id", "chunk_id"), ["question_id", "chunk_id"], "left_anti")
@@ -131,8 +135,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUESTIO
     A stated query set against all vectors, in blocks of about `block` queries: only one block is broadcast to a join, so what is sent
     doesn't grow with the set. Each task keeps its k best of a query before the shuffle. An empty set gives no rows.
     """
-    from functools import reduce
-
     from pyspark.sql import Window as W
 
     n = max(1, -(-queries.count() // block))

@@ -17,16 +17,17 @@ EXACT = "decimal(38,6)"
 
 
 def wide(records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec]) -> DataFrame:
-    """Every record with a column per field (struct of value type, slots, presence); aliases are folded into their field.
+    """Every record with a column per field (struct of value type, slots, presence); aliases are folded into their field, whose own key goes first.
 
     The keys are a filter below the pivot, so Parquet prunes row groups by them, and records without any of them stay.
     """
     names = {n: f.key for f in fields for n in reversed(f.names())}
     if not names:
         return records.select("record_id")
+    place = F.coalesce(*[F.when(F.col("field_key") == n, F.lit(k)) for f in fields for k, n in enumerate(f.names())])
     canonical = F.coalesce(*[F.when(F.col("field_key").isin(*f.names()), F.lit(f.key)) for f in fields])
-    rows = field_values.where(F.col("field_key").isin(*sorted(names))).select("record_id", canonical.alias("k"), F.struct(F.lit(True).alias("row"), F.col("value_type").alias("t"), "v").alias("c"))
-    cells = rows.groupBy("record_id").agg(*[F.first(F.when(F.col("k") == f.key, F.col("c")), ignorenulls=True).alias(f.key) for f in fields])
+    rows = field_values.where(F.col("field_key").isin(*sorted(names))).select("record_id", canonical.alias("k"), place.alias("place"), F.struct(F.lit(True).alias("row"), F.col("value_type").alias("t"), "v").alias("c"))
+    cells = rows.groupBy("record_id").agg(*[F.min_by("c", F.when(F.col("k") == f.key, F.col("place"))).alias(f.key) for f in fields])
     return records.select("record_id").join(cells, "record_id", "left")
 
 
@@ -34,39 +35,47 @@ def _value(cell: str) -> tuple[Column, Column]:
     return F.col(cell)["v"], F.coalesce(F.col(cell)["t"], F.lit("string"))
 
 
-def plan(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, lineage: bool = True, row_counts: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows of label, value, record_ids; one row of total, unit, currencies, mixed_currency, record_count).
-
-    row_counts: count a field where a record has a row for it, even without a value. Groups that are not stated stay, except on a
-    time axis, which is in its own order. The total covers every group. A field that the schema doesn't have gives no rows.
-    """
+def _base(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], row_counts: bool) -> DataFrame:
+    """(record_id, label, x, ccy) of every record that the filters keep and that has something to measure."""
     by_key = {n: f for f in fields for n in f.names()}
     named = [query.measure_field, query.group_by, *[f.field for f in query.filters]]
-    unknown = [n for n in named if n is not None and n not in by_key]
-    used = list({by_key[n].key: by_key[n] for n in named if n in by_key}.values())
-    base = wide(records, field_values, used)
-    if unknown:
-        base = base.where(F.lit(False))
+    base = wide(records, field_values, list({by_key[n].key: by_key[n] for n in named if n in by_key}.values()))
     key = lambda n: by_key[n].key
-    tests = [matches(*_value(key(f.field)), f.op, f.value) for f in query.filters if f.field in by_key]
+    tests = [matches(*_value(key(f.field)), f.op, f.value) if f.field in by_key else F.lit(f.op == "missing") for f in query.filters]
     base = base.where(reduce(lambda a, b: a & b, tests)) if tests else base
 
-    measure = query.measure_field if query.measure_field in by_key else None
+    measure = query.measure_field
     if measure is None:
-        number, code = F.lit(1.0), F.lit(None).cast("string")
+        number, code = F.lit(1.0) if query.aggregate == "count" else F.lit(None).cast("double"), F.lit(None).cast("string")
+    elif measure not in by_key:
+        number, code = F.lit(None).cast("double"), F.lit(None).cast("string")
     else:
         v, t = _value(key(measure))
         here = F.coalesce(F.col(key(measure))["row"], F.lit(False)) if row_counts else has_value(v, t)
         number = F.when(here, 1.0) if query.aggregate == "count" else numeric_of(v, t)
         code = v["ccy"]
     group = query.group_by if query.group_by in by_key else None
-    label = label_of(*_value(key(group)), query.date_bucket) if group else F.lit(query.aggregate if measure is None else measure)
-    rows = base.select("record_id", label.alias("label"), number.alias("x"), code.alias("ccy")).where("x is not null")
+    label = label_of(*_value(key(group)), query.date_bucket) if group else F.lit(by_key[measure].label if measure in by_key else "Total")
+    return base.select("record_id", label.alias("label"), number.alias("x"), code.alias("ccy")).where("x is not null")
+
+
+def lineage(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True) -> DataFrame:
+    """(label, record_id): the records behind each label of a query, a row each, so that no group is gathered in one row."""
+    rows = _base(query, records, field_values, fields, row_counts)
+    return rows.where(F.col("label") != NOT_STATED).select("label", "record_id") if query.date_bucket else rows.select("label", "record_id")
 
+
+def plan(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows of label and value; one row of total, unit, currencies, mixed_currency, record_count). Their records are in `lineage`.
+
+    row_counts: count a field where a record has a row for it, even without a value; else where it has a value. Groups that are not
+    stated stay, except on a time axis, which is in its own order. The total covers every group. Without a group the label is the
+    measure's, else Total. A field that the schema doesn't have is an absent value in filters, no group, and nothing to measure.
+    """
+    rows = _base(query, records, field_values, fields, row_counts)
     exact = F.sum(F.col("x").cast(EXACT)).cast("double")
     value = {"sum": exact, "count": F.count("x").cast("double"), "avg": exact / F.count("x"), "min": F.min("x"), "max": F.max("x")}[query.aggregate]
-    extra = [F.sort_array(F.collect_list("record_id")).alias("record_ids")] if lineage else []
-    out = rows.groupBy("label").agg(value.alias("value"), *extra)
+    out = rows.groupBy("label").agg(value.alias("value"))
     if query.date_bucket:
         out = out.where(F.col("label") != NOT_STATED).orderBy("label")
     elif query.sort == "label_asc":

@@ -12,7 +12,7 @@ from .functions import values as V
 from .functions.labels import STOP_WORDS, fold_label, label_similarity, lexical_tokens
 from .model import FieldSpec
 from .operators import extract, ground, layout, profile, resolve, retrieve, trust
-from .plans.planner import plan
+from .plans.planner import lineage, plan
 from .spec import DataQuery
 from .streaming import events as ev
 
@@ -66,7 +66,7 @@ with m as (select cast(o_orderkey as varchar) as record_id, o_orderkey as k, o_t
 
 
 def _query(spark: SparkSession, sf_dir: str, *, summary: bool = False, **spec) -> DataFrame:
-    rows, total = plan(DataQuery.of(spec), records(spark, sf_dir), field_values(spark, sf_dir), FIELDS, lineage=False)
+    rows, total = plan(DataQuery.of(spec), records(spark, sf_dir), field_values(spark, sf_dir), FIELDS)
     return total.withColumn("currencies", F.array_join("currencies", ",")) if summary else rows
 
 
@@ -84,8 +84,12 @@ _SPECS: dict[str, tuple[Callable, str]] = {
     "dq_avg_by_group": _dq({"aggregate": "avg", "measure_field": "total", **_BY, "sort": "value_asc"}, f"select {_GROUP} as label, {_SUM} / count(*) as value from m group by 1"),
     "dq_min_by_group": _dq({"aggregate": "min", "measure_field": "total", **_BY, "sort": "label_asc"}, f"select {_GROUP} as label, min(total) as value from m group by 1"),
     "dq_max_by_group": _dq({"aggregate": "max", "measure_field": "total", **_BY}, f"select {_GROUP} as label, max(total) as value from m group by 1"),
-    "dq_count_records": _dq({}, "select 'count' as label, cast(count(*) as double) as value from m"),
-    "dq_count_field": _dq({"measure_field": "segment", "group_by": "priority"}, "select priority as label, cast(count(segment) as double) as value from m where segment is not null group by 1"),
+    "dq_count_records": _dq({}, "select 'Total' as label, cast(count(*) as double) as value from m"),
+    "dq_count_field": _dq({"measure_field": "segment", "group_by": "priority"}, "select priority as label, cast(count(*) as double) as value from m group by 1"),
+    "dq_sum_alone": _dq({"aggregate": "sum", "measure_field": "total"}, f"select 'Total' as label, {_SUM} as value from m"),
+    "dq_unknown_fields": _dq({"aggregate": "sum", "measure_field": "total", "group_by": "no_such", "filters": [{"field": "nor_this", "op": "missing"}, {"field": "segment", "op": "missing"}]}, f"select 'Total' as label, {_SUM} as value from m where segment is null"),
+    "dq_unknown_filter": _dq({"filters": [{"field": "nor_this", "op": "ne", "value": "x"}], **_BY}, "select segment as label, 0.0 as value from m where false"),
+    "dq_text_on_number": _dq({**_BY, "filters": [{"field": "ordered", "op": "present"}, {"field": "segment", "op": "gt", "value": "c"}]}, "select segment as label, cast(count(*) as double) as value from m where lower(segment) > 'c' group by 1"),
     "dq_bucket_month": _dq({"aggregate": "sum", "measure_field": "total", "group_by": "ordered", "date_bucket": "month", "limit": 50}, f"select strftime(ordered, '%Y-%m') as label, {_SUM} as value from m group by 1 order by 1 limit 50"),
     "dq_bucket_quarter": _dq({"aggregate": "sum", "measure_field": "total", "group_by": "ordered", "date_bucket": "quarter", "limit": 50}, f"select strftime(ordered, '%Y') || '-Q' || quarter(ordered) as label, {_SUM} as value from m group by 1 order by 1 limit 50"),
     "dq_bucket_year": _dq({"aggregate": "sum", "measure_field": "total", "group_by": "ordered", "date_bucket": "year"}, f"select strftime(ordered, '%Y') as label, {_SUM} as value from m group by 1 order by 1 limit 20"),
@@ -100,8 +104,15 @@ _SPECS: dict[str, tuple[Callable, str]] = {
 
 
 def dq_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, _ = plan(DataQuery.of({"aggregate": "sum", "measure_field": "total", **_BY}), records(spark, sf_dir), field_values(spark, sf_dir), FIELDS)
-    return rows.select("label", F.size("record_ids").alias("n"), F.md5(F.array_join("record_ids", ",")).alias("ids_md5"))
+    return lineage(DataQuery.of({"aggregate": "sum", "measure_field": "total", **_BY}), records(spark, sf_dir), field_values(spark, sf_dir), FIELDS)
+
+
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of all documents, with notices of an order's priority and comment put in front of every third."""
+    d = _table(spark, sf_dir, "documents")
+    heads = {0: "TAX INVOICE invoice", 1: "Purchase order", 2: "statement of account, opening balance", 3: "receipt receipt"}
+    head = F.element_at(F.create_map(*[F.lit(x) for kv in heads.items() for x in kv]), (F.col("doc_id") % 7).cast("int"))
+    return d.select("doc_id", extract.document_kind(F.concat_ws(" ", head, "text")).alias("kind"))
 
 
 def field_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -328,19 +339,25 @@ def cite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cite(lines, pages)
 
 
-_FUNCTIONS = (visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+_FUNCTIONS = (visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, (f, _) in _SPECS.items()} | {f.__name__: f for f in _FUNCTIONS}
 
 
+_KINDS = {"purchase order": ["purchase order"], "bank statement": ["bank statement", "statement of account", "opening balance"], "credit note": ["credit note"], "invoice": ["tax invoice", "invoice"], "receipt": ["receipt"], "quotation": ["quotation"]}
+_COUNTED = [" + ".join(f"(length({t}) - length(replace({t}, '{m}', ''))) / {len(m)} * {w}" for m in ms for t, w in (("t", 1), ("left(t, 200)", 10))) for ms in _KINDS.values()]
+_KINDS_SQL = f"""with d as (select doc_id, lower(concat_ws(' ', case doc_id % 7 when 0 then 'TAX INVOICE invoice' when 1 then 'Purchase order' when 2 then 'statement of account, opening balance' when 3 then 'receipt receipt' end, text)) as t from documents),
+n as (select doc_id, [{", ".join(f"cast({c} as int)" for c in _COUNTED)}] as s from d)
+select doc_id, case when list_max(s) = 0 then 'document' else [{", ".join(f"'{k}'" for k in _KINDS)}][list_position(s, list_max(s))] end as kind from n"""
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RANKED = "row_number() over (partition by field_key order by n desc, label) as place"
 _SQL = {
     "visual_lines": "with b as (select l_orderkey, cast(l_linenumber as double) as x0, cast(l_quantity as double) as top from lineitem), c as (select *, coalesce(top - 0.5 >= max(top + 3) over (w rows between unbounded preceding and 1 preceding), false)::int as breaks from b window w as (partition by l_orderkey order by top, x0)), d as (select *, sum(breaks) over (partition by l_orderkey order by top, x0 rows unbounded preceding)::int as line from c) select l_orderkey, line, count(*) as n_boxes, min(x0) as x0, min(top) as top, max(x0 + 1) as x1, max(top + 3) as bottom from d group by 1, 2",
     "ocr_lines": "with g as (select l_orderkey as document_id, l_suppkey % 2 as block, string_agg(l_returnflag, ' ' order by l_linenumber, l_returnflag) as text, cast(min(l_linenumber) as double) as x0, cast(min(l_quantity) as double) as top, cast(max(l_linenumber) + 1 as double) as x1, cast(max(l_quantity) + 3 as double) as bottom from lineitem where round(l_discount * 1000) >= 30 group by 1, 2) select document_id, 0 as page_index, (row_number() over (partition by document_id order by top, x0, block) - 1)::int as line_no, text, x0, top, x1, bottom from g",
-    "dq_lineage": _MELT + f"select {_GROUP} as label, count(*)::int as n, md5(string_agg(record_id, ',' order by record_id)) as ids_md5 from m group by 1",
+    "dq_lineage": _MELT + f"select {_GROUP} as label, record_id from m",
+    "document_kinds": _KINDS_SQL,
     "field_profile": _PROFILE,
     "field_topk": _TALL + f"select * from (select *, {_RANKED} from (select field_key, label, count(*) as n from tall where field_key <> 'total' group by 1, 2)) where place <= 5",
     "panel_vet": _TALL + """select field_key, case when count(distinct label) < 2 then 'one row is a metric' when count(distinct label) > 30 then 'too many groups' when count(*) >= 5 and count(*) = count(distinct label) then 'an identifier' else 'fine' end as reason from tall group by 1""",
