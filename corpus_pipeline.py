@@ -12,13 +12,16 @@ from tabulon.llm.store import Scratch
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier scores at least 0.5."""
+    """Rows that the quality classifier scores at least 0.5, each by its own text: null and repeated doc_ids and repeated rows too. An empty table stays empty; other columns pass through."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.score_quality(docs, labels).where("quality_score >= 0.5").select(*docs.columns)
 
 
 def without_site_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines are cut; documents of which nothing is left go. n_chars counts the new text."""
+    """Boilerplate lines are cut; documents of which nothing is left go. n_chars counts the new text.
+
+    A null text stays as it is; a null doc_id orders first and a null source counts as one site. Other columns pass through.
+    """
     cut = line_dedup.drop_site_lines(docs).where("trim(text) <> '' or n_removed = 0")
     return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
@@ -29,11 +32,11 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Each row counts by itself under a key of its own, whether its doc_id is null or repeats. A null doc_id comes after all others, and
     rows of one doc_id by the hash of the text. Rows without words all stay.
     """
-    rows = Scratch(spark, "groups").keyed(docs)
-    place = rows.select("row__key", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), "row__key").alias("place"))
-    groups = jaccard_components(rows, id_col="row__key").select(F.col("doc_id").alias("row__key"), "component_id")
-    first = groups.join(place, "row__key").groupBy("component_id").agg(F.min("place").alias("m")).select("m.row__key")
-    return rows.join(first, "row__key", "left_semi").select(*docs.columns)
+    rows, key = Scratch(spark, "groups").keyed(docs)
+    place = rows.select(F.col(key).alias("k"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("text"), F.col(key).alias("k")).alias("place"))
+    groups = jaccard_components(rows, id_col=key).select(F.col("doc_id").alias("k"), "component_id")
+    first = groups.join(place, "k").groupBy("component_id").agg(F.min("place").alias("m")).select(F.col("m.k").alias(key))
+    return rows.join(first, key, "left_semi").select(*docs.columns)
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +45,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all rows in their sequences; a null or empty text is the end id alone, and null or repeated doc_ids are packed each."""
     return packing.pack_documents(docs, tokenizer=tokenizer_path("word_bpe_49k.json"))
 
 
