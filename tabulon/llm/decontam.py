@@ -219,6 +219,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the rows that repeat an item; rows whose doc_id is null or repeats are judged each by its own text."""
-    rows = Scratch(docs.sparkSession, "leaks").keyed(docs)
-    hits = find_leaks(rows, benchmark, **options | {"id_col": "row__key"}).select(F.col("doc_id").alias("row__key")).distinct()
-    return rows.join(hits, "row__key", "left_anti").select(*docs.columns)
+    rows, key = Scratch(docs.sparkSession, "leaks").keyed(docs)
+    hits = find_leaks(rows, benchmark, **options | {"id_col": key}).select(F.col("doc_id").alias(key)).distinct()
+    return rows.join(hits, key, "left_anti").select(*docs.columns)

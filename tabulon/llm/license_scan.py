@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_texts import TEXTS
+from .store import Scratch
 
 #: Words of a shingle; bands of one MinHash each; share of a template that has to be there.
 SIZE, BANDS, LEAST = 5, 3, 0.8
@@ -115,7 +116,9 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         rows, arrays = _minima(rows, of_windows, step, *keep, *shingles)
         return rows, [(f"s{n}", f"s{n}", 1, 1) for n, w in classes if w == 1] + [(name, f"s{SIZE}", w, by) for name, w, by in arrays]
 
+    scratch = Scratch(spark, "licenses")
     known, arrays = prepared(named, 0, "template", "words")
+    known = scratch.keep(known, "templates")
     tables = []
     for name, whole, window, _ in arrays:
         n = F.size(whole)
@@ -124,7 +127,7 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     keys = tables[0]
     for t in tables[1:]:
         keys = keys.unionByName(t)
-    keys = keys.distinct()
+    keys = scratch.keep(keys.distinct(), "keys")
     keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import Scratch
+from .store import Scratch, free_name
 
 MIN_SITES = 8
 LG_K = 12
@@ -32,6 +32,7 @@ def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     with one doc_id keep or lose the same lines. Other columns pass through; n_lines and n_removed replace columns so named.
     """
     scratch = Scratch(docs.sparkSession, "lines")
+    of_lines, gone_lines = free_name("d__of_lines", docs.columns), free_name("gone__lines", docs.columns)
     rows = docs.select(F.col(id_col).alias("d"), F.coalesce(F.col(site_col).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(F.col(text_col), "\n")).alias("pos", "line"))
     rows = rows.where("trim(line) <> ''").select("d", "site", "pos", F.xxhash64(F.trim("line")).alias("h"))
     rows = scratch.keep(rows, "rows")
@@ -50,16 +51,16 @@ def drop_site_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     found = _with_lines(seen, boilerplate, frequent)
     gone = found.where(~(F.col("d").eqNullSafe(F.col("first.d")) & (F.col("pos") == F.col("first.pos"))))
-    gone = gone.groupBy(F.col("d").alias("d__of_lines")).agg(F.collect_set(F.xxhash64("pos", "h")).alias("gone__lines"))
+    gone = gone.groupBy(F.col("d").alias(of_lines)).agg(F.collect_set(F.xxhash64("pos", "h")).alias(gone_lines))
 
     text = F.col(text_col)
-    marked = docs.join(gone, docs[id_col].eqNullSafe(gone["d__of_lines"]), "left").drop("d__of_lines")
+    marked = docs.join(gone, docs[id_col].eqNullSafe(gone[of_lines]), "left").drop(of_lines)
     lines = F.split(text, "\n")
-    left = F.filter(lines, lambda line, i: ~F.array_contains("gone__lines", F.xxhash64(i, F.xxhash64(F.trim(line)))))
+    left = F.filter(lines, lambda line, i: ~F.array_contains(gone_lines, F.xxhash64(i, F.xxhash64(F.trim(line)))))
     marked = marked.withColumn("n_lines", F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"))
-    kept = F.when(F.col("gone__lines").isNull(), lines).otherwise(left)
-    marked = marked.withColumn("n_removed", F.when(text.isNull() | F.col("gone__lines").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long"))
-    return marked.withColumn(text_col, F.when(F.col("gone__lines").isNull(), text).otherwise(F.array_join(kept, "\n"))).drop("gone__lines")
+    kept = F.when(F.col(gone_lines).isNull(), lines).otherwise(left)
+    marked = marked.withColumn("n_removed", F.when(text.isNull() | F.col(gone_lines).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long"))
+    return marked.withColumn(text_col, F.when(F.col(gone_lines).isNull(), text).otherwise(F.array_join(kept, "\n"))).drop(gone_lines)
 
 
 def oracle(min_sites: int = MIN_SITES) -> str:

@@ -21,6 +21,14 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """`name`, with underscores added until no column is called so in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Written tables of one operator call. `keep` writes a frame and returns it reread; `drop` deletes what is no longer needed."""
 
@@ -33,9 +41,10 @@ class Scratch:
         df.write.mode("overwrite").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def keyed(self, df: DataFrame) -> DataFrame:
-        """`df` with a row__key of each row; written, as the keys of a frame computed twice may differ."""
-        return self.keep(df.withColumn("row__key", F.monotonically_increasing_id()), "keyed")
+    def keyed(self, df: DataFrame) -> tuple[DataFrame, str]:
+        """`df` with a key of each row, and that column's name; written, as the keys of a frame computed twice may differ."""
+        key = free_name("row__key", df.columns)
+        return self.keep(df.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
 
     def drop_but(self, *names: str) -> None:
         """Deletes every table but those named."""

@@ -468,6 +468,44 @@ def test_classifiers_on_held_out_rows(spark, name, truth, cut):
     assert sum(s >= cut for s in neg) <= 0.02 * len(neg)
 
 
+def test_classifiers_score_any_rows(spark):
+    """Null and repeated ids, repeated rows, clashing columns, very long texts and another text column."""
+    where = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    rows = [(None, "a b c"), (None, None), (1, "x y"), (1, "x y"), (2, prose(60000) + "\n" + prose(10)), (3, ""), (4, "\n".join(prose(6) for _ in range(3000)))]
+    odd = spark.createDataFrame(rows, "doc_id long, body string").withColumns({c: F.lit("kept") for c in ("text", "label", "half", "key", "features")})
+    for score, name, fit in ((quality.score_quality, "quality_score", quality.train), (toxicity.score_toxicity, "toxicity", toxicity.train)):
+        model = fit(docs, labels, per_class=100)
+        got = score(odd.withColumn(name, F.lit(9)), labels, text_col="body", model=model)
+        assert set(got.columns) == {*odd.columns, name}
+        found = got.collect()
+        assert collections.Counter((r.doc_id, r.body) for r in found) == collections.Counter(rows)
+        assert all(0 <= r[name] <= 1 and r.text == "kept" for r in found)
+        assert len({r[name] for r in found if r.body == "x y"}) == 1
+
+
+def test_toxicity_misses_few(spark):
+    where = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{where}/documents.parquet"), spark.read.parquet(f"{where}/labels.parquet")
+    rows = toxicity.score_toxicity(docs, labels).join(labels, "doc_id").where(quality.held_out(F.col("doc_id"))).where("toxic = 1").collect()
+    assert len(rows) > 100 and sum(r.toxicity < 0.7 for r in rows) <= 0.12 * len(rows)
+
+
+def test_stages_of_the_pipeline_take_empty_and_odd_tables(spark):
+    import corpus_pipeline as c
+
+    where = "/root/testdata/sf0.001"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row__key string, gone__lines int, d__of_lines int"
+    rows = [(None, None, None, None, None, "k", 1, 1), (1, prose(80), "en", None, None, None, None, None), (1, "", "en", "s", 0, "k", 1, 1)]
+    for given in ([], rows):
+        docs = spark.createDataFrame(given, schema)
+        for name, stage in c.STAGES[:-1]:
+            out = stage(spark, docs, where)
+            assert out.columns == docs.columns, name
+            assert out.count() <= len(given)
+        assert c.packed(spark, docs, where).select("doc_id").distinct().count() == len({r[0] for r in given})
+
+
 def test_null_texts_are_scored():
     column = pa.array([None, "", "you idiot"], pa.string())
     assert toxicity.features(column, np.zeros(0, np.uint64), np.zeros(0)).shape == (3, toxicity.N_FEATURES)
