@@ -80,3 +80,15 @@ def keyset_page(df: DataFrame, time: str, key: str, after: tuple | None, size: i
     if after is not None:
         df = df.where((F.col(time) > F.lit(after[0])) | ((F.col(time) == F.lit(after[0])) & (F.col(key) > F.lit(after[1]))))
     return df.orderBy(time, key).limit(size + 1)
+
+
+def merge_counts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One row of what a merge does: values written, kept from people, in conflict, and how many fresh ones are grounded (column of that name)."""
+    keys = ["record_id", "field_key"]
+    s = stored.select(*keys, F.col("value_type").alias("s_type"), F.col("v").alias("s_v"), F.col("status").isin(*HUMAN).alias("human"))
+    both = fresh.select(*keys, "v", "grounded").join(s, keys, "left").withColumn("human", F.coalesce("human", F.lit(False)))
+    count = lambda test: F.count_if(F.coalesce(test, F.lit(False)))
+    grounded = F.col("grounded")
+    return both.agg(
+        count(~F.col("human")).alias("written"), count(F.col("human")).alias("protected"), count(F.col("human") & differs(F.col("s_v"), F.col("v"), F.col("s_type"))).alias("conflicts"),
+        count(grounded).alias("grounded"), count(~F.coalesce(grounded, F.lit(False))).alias("ungrounded"))

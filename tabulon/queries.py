@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from .functions import values as V
 from .functions.labels import STOP_WORDS, fold_label, label_similarity, lexical_tokens
 from .model import FieldSpec
-from .operators import extract, ground, layout, profile, resolve, retrieve, trust
+from .operators import drift, extract, ground, guided, layout, profile, resolve, retrieve, trust, views
 from .plans.planner import lineage, plan
 from .spec import DataQuery
+from .streaming import answers
 from .streaming import events as ev
 
 FIELDS = (
@@ -339,7 +340,73 @@ def cite_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cite(lines, pages)
 
 
-_FUNCTIONS = (visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+def merge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = field_values(spark, sf_dir).where("field_key = 'total'")
+    return trust.merge_counts(stored, _fresh(spark, sf_dir).withColumn("grounded", F.col("record_id").cast("long") % 4 != 0))
+
+
+_GUIDE = (FieldSpec("order_number", "Order Number", "number"), FieldSpec("issued", "Date of signature", "date"), FieldSpec("urgency", "Urgency", "string", aliases=("priority",)))
+
+
+def guided_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A schema that orders fit in part: by likeness, not at all, by alias; every ninth order has no text."""
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"))
+    found = extract.extract(_lines(spark, sf_dir)).where("document_id % 9 <> 0")
+    return guided.guided(o, found, _GUIDE).select("document_id", "field_key", "value_text", "value_type", "extra")
+
+
+def _extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_lines(spark, sf_dir)).withColumnRenamed("value_type", "type")
+
+
+def drift_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.assess(_extras(spark, sf_dir), FIELDS, most=1).select("document_id", "key", "verdict", "target", "why", "nearest", F.round("score", 6).alias("score"))
+
+
+def drift_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.summaries(drift.assess(_extras(spark, sf_dir), FIELDS))
+
+
+def recent_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last two turns of each conversation; every eleventh failed."""
+    c = _table(spark, sf_dir, "conversations")
+    status = F.when((F.col("conv_id") + F.col("turn")) % 11 == 0, "failed").otherwise("done")
+    m = c.select(F.col("conv_id").alias("workspace_id"), F.floor(F.col("turn") / 2).alias("created_at"), F.col("turn").alias("id"), "role", F.col("text").alias("content"), status.alias("status"))
+    return answers.recent_turns(m, 2).select("workspace_id", "id", "role", "content", F.col("place").cast("long").alias("place"))
+
+
+def answer_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as answers: each turn is a token and a citation, every third is delivered twice, and even ones end."""
+    c = _table(spark, sf_dir, "conversations")
+    event = lambda at, kind, text, n=None: F.struct((F.col("turn") * 3 + at).alias("seq"), F.lit(kind).alias("type"), text.alias("text"), F.lit(None).cast("long").alias("n") if n is None else n.alias("n"))
+    end = F.col("conv_id") % 2 == 0
+    three = F.array(event(0, "token", F.col("text")), event(1, "citation", F.col("role"), F.col("turn") % 3), F.struct((F.col("turn") * 3 + 2).alias("seq"), F.when(end, "done").otherwise("status").alias("type"), F.col("role").alias("text"), F.lit(None).cast("long").alias("n")))
+    log = c.select(F.col("conv_id").alias("message_id"), "turn", F.inline(three))
+    out = answers.fold_answers(log.unionByName(log.where("turn % 3 = 0")).drop("turn"))
+    return out.select("message_id", F.sha2("text", 256).alias("text_sha"), "stage", F.array_join(F.transform("citations", lambda x: F.concat_ws(":", x["n"].cast("string"), x["text"])), ",").alias("cited"))
+
+
+def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as its pages; every fifth is blank, every second recognised; 600 characters."""
+    c = _table(spark, sf_dir, "conversations")
+    pages = c.select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_index"), F.when((F.col("conv_id") + F.col("turn")) % 5 != 0, F.col("text")).alias("text"), F.when(F.col("turn") % 3 == 1, "Sheet").alias("locator"), (F.col("turn") % 2 == 1).alias("ocr_applied"))
+    return views.page_blocks(pages, 600).select("document_id", F.sha2("prompt", 256).alias("prompt_sha"), F.col("pages").cast("long").alias("pages"))
+
+
+def record_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of one workspace with their values; those of the other, and orders of unknown customers, are left out."""
+    o = _table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 4 == 0, "x").otherwise("w").alias("workspace_id"), F.col("o_orderkey").cast("string").alias("record_id"), F.col("o_custkey").alias("document_id"))
+    names = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("filename"))
+    rows = views.with_document(views.record_values(views.in_workspace(o, "w"), field_values(spark, sf_dir)), names)
+    return rows.select("record_id", "filename", F.col("shown")["segment"].alias("segment"), F.col("shown")["ordered"].alias("ordered"), F.size("shown").cast("long").alias("n"))
+
+
+def vector_space(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select(F.col("source").alias("workspace_id"), F.when(F.col("doc_id") % 6 != 0, F.col("lang")).alias("embedding_model"))
+    return views.vector_space(d)
+
+
+_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -354,6 +421,15 @@ select doc_id, case when list_max(s) = 0 then 'document' else [{", ".join(f"'{k}
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RANKED = "row_number() over (partition by field_key order by n desc, label) as place"
 _SQL = {
+    "merge_counts": "select count(*) filter (k % 5 <> 0) as written, count(*) filter (k % 5 = 0) as protected, count(*) filter (k % 10 = 0) as conflicts, count(*) filter (k % 4 <> 0) as grounded, count(*) filter (k % 4 = 0) as ungrounded from (select o_orderkey as k from orders where o_orderkey % 11 <> 0)",
+    "guided_fields": "with o as (select o_orderkey as document_id, o_orderkey % 9 <> 0 as has, cast(o_orderkey as varchar) as no, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderpriority as p from orders) select document_id, 'order_number' as field_key, case when has then no end as value_text, 'number' as value_type, false as extra from o union all select document_id, 'issued', null, 'date', false from o union all select document_id, 'urgency', case when has then p end, 'string', false from o union all select document_id, 'issue_date', day, 'date', true from o where has",
+    "drift_assess": "select o_orderkey as document_id, v.* from orders, (values ('order_no', 'add', 'order_no', 'borderline', 'ordered', round(10 / 12, 6)), ('issue_date', 'drop', null, 'too_many', 'ordered', 0.6), ('priority', 'map', 'priority', null, 'priority', 1.0)) v(key, verdict, target, why, nearest, score)",
+    "drift_summaries": "select o_orderkey as document_id, 'Kept apart issue_date from ordered, order_no from ordered.' as summary from orders",
+    "recent_turns": "with r as (select *, row_number() over (partition by conv_id order by turn // 2 desc, turn desc) as r from conversations where (conv_id + turn) % 11 <> 0) select conv_id as workspace_id, turn as id, role, text as content, row_number() over (partition by conv_id order by r desc) as place from r where r <= 4 and text <> ''",
+    "answer_fold": "with n as (select conv_id, turn % 3 as n, min(turn) as place, arg_max(role, turn) as role from conversations group by 1, 2), c as (select conv_id, string_agg(n || ':' || role, ',' order by place) as cited from n group by 1) select conv_id as message_id, sha256(coalesce(string_agg(text, '' order by turn), '')) as text_sha, case when conv_id % 2 = 0 then 'done' else arg_max(role, turn) end as stage, any_value(cited) as cited from conversations join c using (conv_id) group by 1",
+    "page_blocks": "with b as (select conv_id, turn, '=== PAGE ' || turn || case when turn % 3 = 1 then ' (Sheet)' else '' end || case when turn % 2 = 1 then ' [text recognised from a scan]' else '' end || ' ===' || chr(10) || case when (conv_id + turn) % 5 = 0 or trim(coalesce(text, ''), ' ' || chr(10)) = '' then '[no readable text on this page]' else trim(text, ' ' || chr(10)) end as block from conversations), u as (select *, sum(length(block)) over w <= 600 or row_number() over w = 1 as fits from b window w as (partition by conv_id order by turn)) select conv_id as document_id, sha256(string_agg(block, chr(10) || chr(10) order by turn) filter (fits) || case when bool_and(fits) then '' else chr(10) || chr(10) || '[Later pages of this document are not shown.]' end) as prompt_sha, count(*) filter (fits) as pages from u group by 1",
+    "record_values": "select cast(o_orderkey as varchar) as record_id, c_name as filename, case when o_orderkey % 7 <> 0 then c_mktsegment else 'Not stated' end as segment, strftime(o_orderdate, '%Y-%m-%d') as ordered, 5::bigint as n from orders join customer on o_custkey = c_custkey where o_orderkey % 4 <> 0",
+    "vector_space": "select workspace_id, embedding_model from (select source as workspace_id, lang as embedding_model, row_number() over (partition by source order by count(*) desc, lang) as r from documents where doc_id % 6 <> 0 and lang is not null group by 1, 2) where r = 1",
     "visual_lines": "with b as (select l_orderkey, cast(l_linenumber as double) as x0, cast(l_quantity as double) as top from lineitem), c as (select *, coalesce(top - 0.5 >= max(top + 3) over (w rows between unbounded preceding and 1 preceding), false)::int as breaks from b window w as (partition by l_orderkey order by top, x0)), d as (select *, sum(breaks) over (partition by l_orderkey order by top, x0 rows unbounded preceding)::int as line from c) select l_orderkey, line, count(*) as n_boxes, min(x0) as x0, min(top) as top, max(x0 + 1) as x1, max(top + 3) as bottom from d group by 1, 2",
     "ocr_lines": "with g as (select l_orderkey as document_id, l_suppkey % 2 as block, string_agg(l_returnflag, ' ' order by l_linenumber, l_returnflag) as text, cast(min(l_linenumber) as double) as x0, cast(min(l_quantity) as double) as top, cast(max(l_linenumber) + 1 as double) as x1, cast(max(l_quantity) + 3 as double) as bottom from lineitem where round(l_discount * 1000) >= 30 group by 1, 2) select document_id, 0 as page_index, (row_number() over (partition by document_id order by top, x0, block) - 1)::int as line_no, text, x0, top, x1, bottom from g",
     "dq_lineage": _MELT + f"select {_GROUP} as label, record_id from m",
