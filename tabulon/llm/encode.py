@@ -16,7 +16,7 @@ from array import array
 import numpy as np
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Distinct pieces kept by a worker; the memory is given back when they are so many.
+#: Distinct pieces kept by a worker where nothing else is said; the memory is given back when they are so many.
 KEPT = 200_000
 #: Pieces of characters below this one are cut here; Unicode versions agree on them.
 LATIN_END = "ɐ"
@@ -61,13 +61,14 @@ class PieceEncoder:
         cuts = [p["pattern"]["Regex"] for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if p["type"] == "Split"]
         self.find = regex.compile(cuts[0] if cuts else BYTE_LEVEL).findall
         self.leading = self._whole([" a"]) != self._whole(["a"])
-        self.direct = True
+        self.most, self.direct = KEPT, True
         self.direct = all(self._direct(p) in (None, w) for p, w in zip(PROBES, self._whole(PROBES), strict=True))
 
     @classmethod
-    def of(cls, path: str) -> PieceEncoder:
+    def of(cls, path: str, most: int = KEPT) -> PieceEncoder:
         if path not in _ENCODERS:
             _ENCODERS[path] = cls(path)
+        _ENCODERS[path].most = most
         return _ENCODERS[path]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -116,7 +117,7 @@ class PieceEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, little-endian, of `kind`."""
         for cache in (self.kept, self.words):
-            if len(cache) > KEPT:
+            if len(cache) > self.most:
                 cache.clear()
         kept, heads, lead, out = self.kept, {}, " " if self.leading else "", []
         for text in texts:

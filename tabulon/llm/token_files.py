@@ -25,6 +25,8 @@ from .encode import PieceEncoder
 
 END_ID = 2
 _U = np.uint64
+#: Distinct pieces that a worker keeps: a task holds little else beside them.
+KEPT = 400_000
 READ = 4 << 20
 
 
@@ -125,7 +127,7 @@ def _write(uri: str, tokenizer: str, end_id: int):
         shard = TaskContext.get().partitionId()
         fs, folder = pafs.FileSystem.from_uri(uri)
         fs.create_dir(folder, recursive=True)
-        encoder = PieceEncoder.of(tokenizer)
+        encoder = PieceEncoder.of(tokenizer, KEPT)
         end = np.array([end_id], dtype=encoder.kind).tobytes()
         attempt = f"{folder}/.{shard}-{uuid.uuid4().hex}"
         keys, keyed, sizes = [], [], []
