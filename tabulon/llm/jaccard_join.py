@@ -133,15 +133,16 @@ def _regions_of_keys(cells: DataFrame, scratch: Scratch, name: str, *also: str)
 def _by_pivots(big: DataFrame, sets: DataFrame, percent: int, scratch: Scratch, level: int) -> tuple[DataFrame, DataFrame]:
     """Links with pivots, and the regions (region, x) of the pivots' cells and windows.
 
-    big: (region, x, k, blocks). About PIVOTS documents of each region, by a hash, are its pivots; they go to each block of the region,
-    so no task holds more than a block. A document goes to the cell of its nearest pivot, and as boundary to every later one whose
+    big: (region, x, k, blocks). The PIVOTS documents of each region with the least hashes are its pivots, so every region has one; they go to each
+    block of the region, so no task holds more than a block. A document goes to the cell of its nearest pivot, and as boundary to every later one whose
     window it is in. Those within the radius of their pivot are one component, so of them only those stay that another member of the
     region, farther from the pivot, may reach. A region that its windows would make half as large again stays whole.
     """
     radius = 1 - percent / 100
     rows = big.join(sets, "x").withColumn("block", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
-    chosen = F.pmod(F.xxhash64("x", F.lit(level)), F.greatest(F.expr(f"k div {PIVOTS}"), F.lit(1))) == 0
-    pivots = rows.where(chosen).select("region", F.col("x").alias("p"), F.col("tokens").alias("pivot_tokens"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    rank = F.row_number().over(W.partitionBy("region").orderBy(F.xxhash64("x", F.lit(level)), "x"))  # a limit per region, taken before the shuffle
+    chosen = scratch.keep(big.select("region", "x", "blocks", rank.alias("r")).where(F.col("r") <= PIVOTS).drop("r"), f"chosen-{level}")
+    pivots = chosen.join(sets, "x").select("region", F.col("x").alias("p"), F.col("tokens").alias("pivot_tokens"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     common = F.size(F.array_intersect("tokens", "pivot_tokens"))
     met = rows.join(pivots, ["region", "block"]).select("region", "x", "p", common.alias("o"), (F.size("tokens") + F.size("pivot_tokens") - common).alias("u"))
     met = met.select("region", "x", "p", (1 - F.col("o") / F.col("u")).alias("d"), F.expr(f"100 * o >= {percent} * u").alias("near"))
