@@ -57,22 +57,31 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
     Top down, a node with more than WIDE children merges the variable ones into one wildcard: those with fewer labels than the prior's
     PRIOR pages, and those whose labelled rate does not differ from that of all siblings by Z standard errors. Labelled children that
-    differ stay. Bottom up, all siblings that do not differ merge. Levels go on until no two paths share a longer one. The purity is
+    differ stay. Bottom up, all siblings that do not differ merge. Levels go on until no two paths share a longer one. Below DEPTH levels
+    a run of segments that all paths of a node share is one level, so levels follow branchings and not the length of paths. The purity is
     the rate of bad labels, smoothed by PRIOR pages at the global rate. Each level is written, so the next one does not compute it
     twice. A template has DEPTH levels at least; of the deeper ones, closing wildcards are left out.
     """
-    tree, g = scratch.keep(pages, "shapes"), []
+    tree, g = scratch.keep(pages.withColumn("rest", F.col("shapes")), "shapes"), []
     while True:
         above, own = ["host", *g], f"g{len(g) + 1}"
         g.append(own)
-        tree = tree.withColumn(own, F.coalesce(F.get("shapes", F.lit(len(g) - 1)), F.lit("")))
+        if len(g) > DEPTH:
+            # what the first and the last path in order share, all share
+            ends = tree.groupBy(*above).agg(F.min("rest").alias("lo"), F.max("rest").alias("hi"))
+            parted = F.array_position(F.zip_with("lo", "hi", lambda a, b: a.eqNullSafe(b)), False)
+            run = F.when(parted > 0, parted - 1).otherwise(F.size("lo")).cast("int")
+            tree = tree.join(ends.select(*above, F.greatest(run, F.lit(1)).alias("run")), above)
+        else:
+            tree = tree.withColumn("run", F.lit(1))
+        tree = tree.withColumn(own, F.array_join(F.slice("rest", F.lit(1), F.col("run")), "/")).withColumn("rest", F.slice("rest", F.col("run") + 1, F.greatest(F.size("rest"), F.lit(1)))).drop("run")
         node = tree.groupBy(*above, own).agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
         whole = node.groupBy(*above).agg(F.count("*").alias("width"), F.sum("l").alias("la"), F.sum("b").alias("ba")).where(F.col("width") > WIDE)
         wild = node.join(whole, above).where((F.col("l") < PRIOR) | _alike()).select(*above, own, F.lit("*").alias("m"))
         tree = scratch.keep(tree.join(wild, [*above, own], "left").withColumn(own, F.coalesce("m", own)).drop("m"), f"wide-{len(g)}")
         # paths of one template so far go on only if one of them has more segments; a path alone has no siblings below
-        shared = tree.groupBy("host", *g).agg(F.count("*").alias("paths"), F.max(F.size("shapes")).alias("longest"))
-        if len(g) >= DEPTH and shared.where((F.col("paths") > 1) & (F.col("longest") > len(g))).isEmpty():
+        shared = tree.groupBy("host", *g).agg(F.count("*").alias("paths"), F.max(F.size("rest")).alias("longest"))
+        if len(g) >= DEPTH and shared.where((F.col("paths") > 1) & (F.col("longest") > 0)).isEmpty():
             break
     for k in range(len(g), 0, -1):
         above = ["host", *g[: k - 1]]
