@@ -64,7 +64,7 @@ def layout_pages(docs: DataFrame) -> DataFrame:
 
 
 def spans_of(words: list, lines: list) -> list[tuple[int, int | None, int | None]]:
-    """(line, first word, end word) by a cursor in reading order; lines without words have no range, words beside the cursor's line are left out."""
+    """(line, first word, end word) by a cursor in reading order; lines after the last one with words have no range, words beside the cursor's line are left out; the first line needs words."""
     found: dict[int, list[int]] = {}
     at = 0
     for i, w in enumerate(words):
@@ -73,7 +73,7 @@ def spans_of(words: list, lines: list) -> list[tuple[int, int | None, int | None
         if at == len(lines):
             break
         found.setdefault(at, [i, i])[1] = i + 1
-    tail = max(found, default=-1)
+    tail = max(found, default=0)
     ranges = [(k, *found[k]) for k in sorted(found)]
     return ranges + [(k, None, None) for k in range(tail + 1, len(lines)) if at < len(lines) and (lines[k]["text"] or "").strip()]
 
@@ -109,6 +109,7 @@ def cite(chunks: DataFrame, pages: DataFrame) -> DataFrame:
     """chunks (chunk_id, document_id, page_index, text, word_start, word_end) with their page's words: chunk_id, document_id, page_index,
     excerpt and boxes, one per visual line, at most MOST_BOXES from the top. A chunk without a range or page has no boxes.
     """
+    chunks = chunks.select("chunk_id", "document_id", "page_index", "text", "word_start", "word_end")
     near = chunks.join(pages.select("document_id", "page_index", "words"), ["document_id", "page_index"], "left")
     length = F.col("word_end") - F.col("word_start")
     cut = near.select("chunk_id", F.explode(F.when(length > 0, F.slice("words", F.col("word_start") + 1, length))).alias("w")).select("chunk_id", *[F.col(f"w.{c}").alias(c) for c in BOX])

@@ -2,70 +2,88 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.labels import lexical_tokens
 from ..functions.vectors import cosine, lexical_vector
+from .layout import spans_of
 
 TARGET, LONGEST, OVERLAP, RUNT = 110, 160, 1, 25
 TOP, FLOOR, BOOST, MOST_BOOST, QUESTIONS = 8, 0.25, 0.02, 0.1, 10_000
 
 
-def fold_lines(lines: list[str]) -> list[tuple[str, int, int]]:
-    """(text, first line, end line) of passages of about TARGET words; a passage begins with the last line of the one before."""
-    out: list[tuple[list[int], int]] = []
-    held: list[int] = []
-    counts = [len(line.split()) for line in lines]
-
-    def flush() -> None:
-        nonlocal held
-        out.append((held, sum(counts[i] for i in held)))
-        held = held[-OVERLAP:]
-
-    fresh = False
-    for i, n in enumerate(counts):
-        if fresh and sum(counts[j] for j in held) + n > LONGEST:
-            flush()
-            fresh = False
-        held = [*held, i]
-        fresh = True
-        if sum(counts[j] for j in held) >= TARGET:
-            flush()
-            fresh = False
-    if fresh:
-        out.append((held, sum(counts[i] for i in held)))
-    merged: list[list[int]] = []
-    for rows, n in out:
-        if merged and n < RUNT:
-            merged[-1] = merged[-1] + [i for i in rows if i not in merged[-1]]
+def cut_lines(counts: list[int]) -> list[tuple[int, int]]:
+    """(first line, end line) of passages over lines of so many words each.
+
+    From the running totals of the words: a passage ends with the line that brings it to TARGET words, or before the line that
+    would bring it beyond LONGEST, and takes one new line at least. The next one begins with the last OVERLAP lines again.
+    """
+    total = [0, *accumulate(counts)]
+    out, first, fresh = [], 0, 0
+    while fresh < len(counts):
+        enough, most = bisect_left(total, total[first] + TARGET), bisect_right(total, total[first] + LONGEST) - 1
+        end = min(len(counts), max(fresh + 1, min(enough, most)))
+        out.append((first, end))
+        first, fresh = max(0, end - OVERLAP), end
+    return out
+
+
+def passages_of(spans: list[tuple[str, int | None, int | None]]) -> list[tuple[str, int, int, int | None, int | None]]:
+    """(text, first line, end line, first word, end word) of a page's lines (text, first word, end word).
+
+    A last passage under TARGET that says nothing beyond the one before it is left out; one under RUNT words joins the one before it, the
+    repeated line included. Words run from the first line that has a range to the last.
+    """
+    lines = [s for s in spans if s[0].strip()]
+    counts = [(b - a if a is not None else 0) or len(text.split()) for text, a, b in lines]
+    out: list[list] = []
+    for first, end in cut_lines(counts):
+        text = "\n".join(x[0] for x in lines[first:end]).strip()
+        if out and end == len(lines) and sum(counts[first:end]) < TARGET and text in out[-1][0]:
+            continue
+        placed = [x for x in lines[first:end] if x[1] is not None]
+        out.append([text, first, end, placed[0][1] if placed else None, placed[-1][2] if placed else None])
+    merged: list[list] = []
+    for p in out:
+        if merged and len(p[0].split()) < RUNT:
+            last = merged[-1]
+            merged[-1] = [f"{last[0]}\n{p[0]}", last[1], p[2], p[3] if last[3] is None else last[3], last[4] if p[4] is None else p[4]]
         else:
-            merged.append(rows)
-    return [("\n".join(lines[i] for i in rows), rows[0], rows[-1] + 1) for rows in merged]
+            merged.append(p)
+    return [tuple(p) for p in merged]
 
 
 def chunk_pages(pages: DataFrame) -> DataFrame:
-    """pages (document_id, page_index, lines array<string>) -> (document_id, page_index, ordinal, text, line_start, line_end, words).
+    """(document_id, page_index, ordinal, text, line_start, line_end, word_start, word_end, words); ordinals count through the document.
 
-    A page's passages depend on that page alone, so this is one pass without a shuffle; ordinals count within the page.
+    pages: document_id, page_index and either lines, an array of texts, or words and lines with boxes, as of operators.layout; then a
+    passage has the range of its words on the page, which operators.layout.cite takes. A page's passages depend on that page
+    alone, so they are one pass; the ordinals are one shuffle by document. Blank lines are left out of line numbers.
     """
-    kind = dict(pages.dtypes)["document_id"]
+    kind, boxed = dict(pages.dtypes)["document_id"], "words" in pages.columns
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for r in frame.itertuples():
-                lines = [x for x in (r.lines if r.lines is not None else []) if x and x.strip()]
-                rows += [(r.document_id, r.page_index, k, text, a, b, len(text.split())) for k, (text, a, b) in enumerate(fold_lines(lines))]
-            yield pd.DataFrame(rows, columns=["document_id", "page_index", "ordinal", "text", "line_start", "line_end", "words"])
+                lines = list(r.lines) if r.lines is not None else []
+                spans = [(lines[k]["text"], a, b) for k, a, b in spans_of(list(r.words) if r.words is not None else [], lines)] if boxed else [(x, None, None) for x in lines if x]
+                rows += [(r.document_id, r.page_index, k, *p, len(p[0].split())) for k, p in enumerate(passages_of(spans))]
+            yield pd.DataFrame(rows, columns=["document_id", "page_index", "k", "text", "line_start", "line_end", "word_start", "word_end", "words"]).astype({"word_start": "Int32", "word_end": "Int32"})
 
-    return pages.select("document_id", "page_index", "lines").mapInPandas(run, f"document_id {kind}, page_index int, ordinal int, text string, line_start int, line_end int, words int")
+    cut = pages.select("document_id", "page_index", "lines", *(["words"] if boxed else [])).mapInPandas(run, f"document_id {kind}, page_index int, k int, text string, line_start int, line_end int, word_start int, word_end int, words int")
+    ordinal = F.row_number().over(W.partitionBy("document_id").orderBy("page_index", "k")) - 1
+    return cut.select("document_id", "page_index", ordinal.alias("ordinal"), "text", "line_start", "line_end", "word_start", "word_end", "words")
 
 
 def digests(values: DataFrame) -> DataFrame:
@@ -113,8 +131,6 @@ def search(chunks: DataFrame, questions: DataFrame, *, top: int = TOP, floor: fl
     if n > 1:
         blocks = [questions.where(F.pmod(F.xxhash64("question_id"), F.lit(2 * n)) == k) for k in range(2 * n)]
         return reduce(DataFrame.unionByName, [search(chunks, b, top=top, floor=floor) for b in blocks])
-    from pyspark.sql import Window as W
-
     asked = [(r.question_id, r.tokens, np.array(r.embedding)) for r in questions.where("embedding is not null").collect()]
     rows = chunks.select("chunk_id", "document_id", "is_digest", "tokens", "embedding")
     schema = f"question_id long, chunk_id string, document_id {dict(chunks.dtypes)['document_id']}, is_digest boolean, score double"
@@ -135,8 +151,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = QUESTIO
     A stated query set against all vectors, in blocks of about `block` queries: only one block is broadcast to a join, so what is sent
     doesn't grow with the set. Each task keeps its k best of a query before the shuffle. An empty set gives no rows.
     """
-    from pyspark.sql import Window as W
-
     n = max(1, -(-queries.count() // block))
     parts = [queries] if n == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
     score = cosine(F.col("embedding"), F.col("query")).alias("score")

@@ -27,6 +27,12 @@ def with_document(rows: DataFrame, documents: DataFrame) -> DataFrame:
     return rows.join(documents.select("document_id", "filename"), "document_id")
 
 
+def one_passage(chunks: DataFrame, documents: DataFrame, workspace_id: str, document_id: object, ordinal: int) -> DataFrame:
+    """A cited passage with its document's name, if it is of that workspace; the filters reach the scan, so a stored table is pruned."""
+    found = in_workspace(chunks, workspace_id).where((F.col("document_id") == F.lit(document_id)) & (F.col("ordinal") == ordinal))
+    return with_document(found, in_workspace(documents, workspace_id).where(F.col("document_id") == F.lit(document_id)))
+
+
 def record_values(records: DataFrame, field_values: DataFrame) -> DataFrame:
     """Each record with its values as a map by field (a record's fields are unique and few); an empty map without any."""
     shown = F.struct("field_key", label_of(F.col("v"), F.col("value_type")).alias("shown"))
@@ -71,3 +77,19 @@ def table_order(v: Column, kind: Column, descending: bool = False) -> list[Colum
 def locator_of(lines: Column, box: Column) -> Column:
     """The locator of the first line that has one and lies beside the box."""
     return F.get(F.filter(lines, lambda line: line["locator"].isNotNull() & overlaps_vertically(line["box"], box, 1.0)), F.lit(0))["locator"]
+
+
+def workspace_names(documents: DataFrame) -> DataFrame:
+    """(workspace_id, name): after the first word that all its file names share, else the number and kind of its files. documents: workspace_id, filename."""
+    base = F.substring_index(F.trim("filename"), "/", -1)
+    dot = F.length(base) - F.instr(F.reverse(base), ".")  # characters before the last dot
+    suffixed = (F.instr(F.reverse(base), ".") > 1) & (dot > 0)
+    stem = F.when(suffixed, F.substr(base, F.lit(1), dot)).otherwise(base)
+    kind = F.when(suffixed, F.upper(F.substr(base, dot + 2)))
+    first = F.when(stem != "", F.split(F.regexp_replace(stem, "_", "-"), "-")[0])
+    of = documents.where("trim(filename) <> ''").groupBy("workspace_id").agg(F.count("*").alias("n"), F.min(first).alias("least"), F.max(first).alias("most"), F.min(kind).alias("kind"), F.max(kind).alias("last_kind"))
+    shared = F.when((F.col("least") == F.col("most")) & (F.col("least") != ""), F.concat(F.initcap("least"), F.lit(" documents")))
+    one = F.when(F.col("kind") == F.col("last_kind"), F.concat_ws(" ", F.col("n").cast("string"), "kind", F.lit("documents")))
+    every = documents.select("workspace_id").distinct().join(of, "workspace_id", "left")
+    name = F.when(F.col("n").isNull(), "New collection").otherwise(F.coalesce(shared, one, F.concat(F.col("n").cast("string"), F.lit(" mixed business documents"))))
+    return every.select("workspace_id", name.alias("name"))

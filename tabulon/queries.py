@@ -8,6 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_workspaces
 from .functions import values as V
 from .functions.labels import STOP_WORDS, fold_label, label_similarity, lexical_tokens
 from .model import FieldSpec
@@ -255,7 +256,14 @@ def ground_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("document_id"), F.lit(0).alias("page_index"), F.split("text", "\n").alias("lines"))
-    return retrieve.chunk_pages(pages)
+    return retrieve.chunk_pages(pages).drop("word_start", "word_end")
+
+
+def cite_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of the laid out documents, cited by the boxes of its words."""
+    pages = _pages(spark, sf_dir)
+    chunks = retrieve.chunk_pages(pages).withColumn("chunk_id", F.concat_ws("-", "document_id", "ordinal"))
+    return layout.cite(chunks, pages)
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -406,11 +414,11 @@ def vector_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.vector_space(d)
 
 
-_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, cite_passages, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {n: f for n, (f, _) in _SPECS.items()} | {f.__name__: f for f in _FUNCTIONS}
+    return {n: f for n, (f, _) in _SPECS.items()} | {f.__name__: f for f in _FUNCTIONS} | queries_workspaces.queries()
 
 
 _KINDS = {"purchase order": ["purchase order"], "bank statement": ["bank statement", "statement of account", "opening balance"], "credit note": ["credit note"], "invoice": ["tax invoice", "invoice"], "receipt": ["receipt"], "quotation": ["quotation"]}
@@ -420,6 +428,19 @@ n as (select doc_id, [{", ".join(f"cast({c} as int)" for c in _COUNTED)}] as s f
 select doc_id, case when list_max(s) = 0 then 'document' else [{", ".join(f"'{k}'" for k in _KINDS)}][list_position(s, list_max(s))] end as kind from n"""
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RANKED = "row_number() over (partition by field_key order by n desc, label) as place"
+_WORDS = "len(regexp_extract_all({t}, '[^\\s\\x0b\\x1c-\\x1f\\x85\\xa0\\p{{Z}}]+'))"
+_CHUNKS = f"""with recursive
+d as (select doc_id, list_filter(string_split(text, chr(10)), lambda x: {_WORDS.format(t="x")} > 0) as lines from documents where text is not null),
+p as (select doc_id, lines, len(lines) as n, list_transform(range(0, len(lines) + 1), lambda e: coalesce(list_sum(list_transform(lines[1:e], lambda x: {_WORDS.format(t="x")})), 0)::int) as total from d where len(lines) > 0),
+step as (
+  select doc_id, n, total, 0 as k, 0 as first, 0 as fresh, least(n, greatest(1, least(len(list_filter(total, lambda x: x < 110)), len(list_filter(total, lambda x: x <= 160)) - 1))) as stop from p
+  union all
+  select doc_id, n, total, k + 1, stop - 1, stop, least(n, greatest(stop + 1, least(len(list_filter(total, lambda x: x < total[stop] + 110)), len(list_filter(total, lambda x: x <= total[stop] + 160)) - 1))) from step where stop < n),
+t as (select s.doc_id, k, first, stop, stop = s.n and s.total[stop + 1] - s.total[first + 1] < 110 as tail, regexp_replace(array_to_string(lines[first + 1:stop], chr(10)), '^\\s+|\\s+$', '', 'g') as text from step s join p using (doc_id)),
+u as (select *, lag(text) over (partition by doc_id order by k) as before from t),
+v as (select *, {_WORDS.format(t="text")} < 25 and k > 0 as runt from u where not (tail and coalesce(contains(before, text), false))),
+w as (select *, sum((not runt)::int) over (partition by doc_id order by k)::int - 1 as ordinal from v)
+select doc_id as document_id, 0 as page_index, ordinal, string_agg(text, chr(10) order by k) as text, min(first)::int as line_start, max(stop)::int as line_end, {_WORDS.format(t="string_agg(text, chr(10) order by k)")}::int as words from w group by doc_id, ordinal"""
 _SQL = {
     "merge_counts": "select count(*) filter (k % 5 <> 0) as written, count(*) filter (k % 5 = 0) as protected, count(*) filter (k % 10 = 0) as conflicts, count(*) filter (k % 4 <> 0) as grounded, count(*) filter (k % 4 = 0) as ungrounded from (select o_orderkey as k from orders where o_orderkey % 11 <> 0)",
     "guided_fields": "with o as (select o_orderkey as document_id, o_orderkey % 9 <> 0 as has, cast(o_orderkey as varchar) as no, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderpriority as p from orders) select document_id, 'order_number' as field_key, case when has then no end as value_text, 'number' as value_type, false as extra from o union all select document_id, 'issued', null, 'date', false from o union all select document_id, 'urgency', case when has then p end, 'string', false from o union all select document_id, 'issue_date', day, 'date', true from o where has",
@@ -448,6 +469,7 @@ _SQL = {
     "upsert_protected": _MELT + "select record_id, case when k % 11 <> 0 and k % 10 = 0 and k % 5 <> 0 then total + 1 else total end as n, case when k % 11 = 0 then 'medium' when k % 5 = 0 and k % 10 = 0 then 'conflict' when k % 5 = 0 then 'verified' else 'low' end as tier, case when k % 5 = 0 then 'human_verified' else 'model' end as status, case when k % 11 <> 0 and k % 10 = 0 then total + 1 end as model_n, case when k % 11 <> 0 and k % 10 = 0 then '2024-01-01' end as model_value_at from m",
     "merge_fields": "select 'priority' as field_key, count(*) as n, count(*) as n_records from orders union all select 'segment', count(*), count(*) from orders",
     "trust_tally": "select cast(o_orderkey as varchar) as record_id, round(5 * case when o_orderkey % 5 = 0 then 0 else (2 * (1 - (o_orderkey % 100) / 100)) * case when o_orderkey % 100 < 60 then 1.5 else 1 end end, 4) as impact, case when o_orderkey % 100 < 60 then 'unverified' when o_orderkey % 100 < 85 then 'review' else 'high' end as trust, 5::bigint as n_values from orders",
+    "chunk_documents": _CHUNKS,
     "vector_topk": "select query_id, vec_id, place, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from (select q.vec_id as query_id, e.vec_id, greatest(0, least(1, list_cosine_similarity(e.embedding::double[], q.embedding::double[]))) as score from embeddings e, embeddings q where q.vec_id % 20 = 0)) where place <= 5",
     "lexical_overlap": f"with d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), b as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark) select doc_id, item_id, count(*) as shared from d join b using (w) where w not in ({_STOP}) group by 1, 2 having count(*) >= 10",
     "event_sequence": "select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events",
@@ -458,4 +480,4 @@ _SQL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for n, (_, sql) in _SPECS.items()} | _SQL
+    return {n: sql for n, (_, sql) in _SPECS.items()} | _SQL | queries_workspaces.oracle_sql()

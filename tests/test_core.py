@@ -149,11 +149,67 @@ def test_ground_quotes_query(spark):
     assert any(r.match_page for r in by["late"]) and any(85 <= r.match_score < 100 for r in by["edited"])
 
 
-@given(st.lists(st.integers(0, 60), max_size=40))
-def test_chunks_cover_every_line(counts):
-    lines = [" ".join(["w"] * max(1, n)) for n in counts]
-    chunks = retrieve.fold_lines(lines)
-    assert {i for _, a, b in chunks for i in range(a, b)} == set(range(len(lines)))
+@settings(max_examples=300)
+@given(st.lists(st.integers(0, 200), max_size=40))
+def test_cuts_equal_taking_line_after_line(counts):
+    want, held, new = [], [], False
+    for i, n in enumerate(counts):
+        if new and sum(counts[j] for j in held) + n > retrieve.LONGEST:
+            want.append((held[0], held[-1] + 1))
+            held, new = held[-1:], False
+        held, new = [*held, i], True
+        if sum(counts[j] for j in held) >= retrieve.TARGET:
+            want.append((held[0], held[-1] + 1))
+            held, new = held[-1:], False
+    if new:
+        want.append((held[0], held[-1] + 1))
+    assert retrieve.cut_lines(counts) == want
+
+
+def test_passages_merge_runts_and_leave_out_what_is_said():
+    line = lambda n, w="w": " ".join([w] * n)
+    spans = [(line(100), 0, 100), (" ", None, None), (line(15, "x"), 100, 115), (line(5, "y"), None, None)]
+    assert retrieve.passages_of(spans) == [("\n".join([line(100), line(15, "x"), line(15, "x"), line(5, "y")]), 0, 3, 0, 115)]
+    same = [(line(120), 0, 120), (line(2), 120, 122)]
+    assert retrieve.passages_of(same)[-1][1:] == (0, 2, 0, 122)  # 122 words are no runt, and new
+    assert retrieve.passages_of([(line(60), 0, 60), (line(60), 60, 120), ("", None, None)]) == [(line(60) + "\n" + line(60), 0, 2, 0, 120)]
+    assert retrieve.passages_of([]) == []
+
+
+def test_passages_of_documents(spark):
+    """Ordinals run through a document; word ranges cover each word, and cite the boxes of their lines."""
+    from tabulon.operators import layout, views
+
+    rnd = random.Random(3)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(f"w{rnd.randrange(999)}" for _ in range(rnd.randrange(30))) for _ in range(rnd.randrange(150)))) for i in range(12)] + [(99, None)], "document_id long, text string")
+    pages = layout.layout_pages(docs)
+    chunks = retrieve.chunk_pages(pages)
+    words = {(r.document_id, r.page_index): r.words for r in pages.collect()}
+    by = {}
+    for r in chunks.collect():
+        by.setdefault(r.document_id, []).append(r)
+    assert 99 not in by
+    for doc, rows in by.items():
+        rows.sort(key=lambda r: r.ordinal)
+        assert [r.ordinal for r in rows] == list(range(len(rows))) and [r.page_index for r in rows] == sorted(r.page_index for r in rows)
+        for page in {r.page_index for r in rows}:
+            covered = set()
+            for r in rows:
+                if r.page_index == page:
+                    covered |= set(range(r.word_start, r.word_end))
+                    assert set(r.text.split()) == {w.text for w in words[doc, page][r.word_start : r.word_end]}
+            assert covered == set(range(len(words[doc, page])))
+    cited = layout.cite(chunks.withColumn("chunk_id", F.concat_ws("-", "document_id", "ordinal")), pages).collect()
+    assert len(cited) == sum(map(len, by.values()))
+    for r in cited:
+        doc, k = map(int, r.chunk_id.split("-"))
+        c = by[doc][k]
+        tops = sorted({w.top for w in words[doc, c.page_index][c.word_start : c.word_end]})
+        assert [b.top for b in r.boxes] == tops[:40]
+    names = spark.createDataFrame([("w", 3, "c.txt"), ("x", 4, "d.txt")], "workspace_id string, document_id long, filename string")
+    marked = chunks.withColumn("workspace_id", F.lit("w"))
+    assert [(r.filename, r.text) for r in views.one_passage(marked, names, "w", 3, 0).collect()] == [("c.txt", by[3][0].text)]
+    assert views.one_passage(marked, names, "x", 3, 0).count() == 0 and views.one_passage(marked, names, "w", 4, 0).count() == 0
 
 
 @settings(max_examples=60)
