@@ -15,6 +15,7 @@ from .model import FieldSpec
 from .operators import drift, extract, ground, guided, layout, profile, resolve, retrieve, trust, views
 from .plans.planner import lineage, plan
 from .spec import DataQuery
+from .sources import files
 from .streaming import answers
 from .streaming import events as ev
 
@@ -266,6 +267,17 @@ def cite_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.cite(chunks, pages)
 
 
+def pdf_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A PDF file of two lines for each order, read back as lines with boxes and numbers of words."""
+    text = F.concat(F.lit("BT /F1 10 Tf 40 700 Td (Order "), F.col("o_orderkey").cast("string"), F.lit(") Tj 0 -20 Td (Priority "), F.col("o_orderpriority"), F.lit(") Tj ET"))
+    head = "%PDF-1.4\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj 2 0 obj <</Kids [3 0 R] /MediaBox [0 0 600 800]>> endobj 3 0 obj <</Type /Page /Contents 4 0 R /Resources <</Font <</F1 <</BaseFont /Courier>>>>>>>> endobj 4 0 obj <</Length "
+    content = F.concat(F.lit(head), F.length(text).cast("string"), F.lit(">> stream\n"), text, F.lit("\nendstream endobj trailer <</Root 1 0 R>>"))
+    found = _table(spark, sf_dir, "orders").select(F.lit("o.pdf").alias("filename"), F.col("o_orderkey").cast("string").alias("content_hash"), content.cast("binary").alias("content"))
+    pages = files.pdf_pages(found)
+    lines = pages.select("document_id", "page_index", F.size("words").alias("n_words"), F.posexplode("lines").alias("line_no", "l"))
+    return lines.select("document_id", "page_index", "n_words", "line_no", "l.text", *[F.round(f"l.{c}", 3).alias(c) for c in layout.BOX])
+
+
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     queries = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
@@ -305,8 +317,18 @@ def batch_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("message_id"), F.col("turn").alias("position"), F.concat(F.coalesce("text", F.lit("")), F.lit(" [^note")).alias("text"))
-    return ev.rewrite_answers(c, c.select("message_id", F.lit("none").alias("chunk_id")).where("false"))
+    """Turns as an answer, cut every nine letters, each with one of three chunks, of which those whose sum with conv_id is divisible by four are unknown, and two figures."""
+    c = _table(spark, sf_dir, "conversations")
+    chunk = lambda conv, k: F.concat(F.lpad(conv.cast("string"), 8, "0"), F.lit("-0000-0000-0000-"), F.lpad(k.cast("string"), 12, "0"))
+    marked = F.concat(F.coalesce("text", F.lit("")), F.lit(" [^chunk:"), chunk(F.col("conv_id"), F.col("turn") % 3), F.lit("] of {{result.total}} usd [^note] {{ none }}[^chunk:x]."))
+    whole = c.select(F.col("conv_id").alias("message_id"), "turn", marked.alias("text"))
+    at = F.posexplode(F.sequence(F.lit(1), F.length("text"), F.lit(9))).alias("k", "from")
+    deltas = whole.select("message_id", "turn", "text", at).select("message_id", (F.col("turn") * 1_000_000 + F.col("k")).alias("position"), F.substring("text", F.col("from"), F.lit(9)).alias("text"))
+    messages = c.select(F.col("conv_id").alias("message_id")).distinct()
+    known = messages.select("message_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")).where((F.col("message_id") + F.col("k")) % 4 != 0)
+    figures = messages.select("message_id", F.lit("result.total").alias("path"), F.concat(F.col("message_id").cast("string"), F.lit(".50 USD")).alias("text"), F.lit("USD").alias("unit"))
+    out = ev.rewrite_answers(deltas, known.select("message_id", chunk(F.col("message_id"), F.col("k")).alias("chunk_id")), figures)
+    return out.select("message_id", F.sha2("text", 256).alias("text_sha"), F.length("text").alias("length"), F.array_join("cited", ",").alias("cited"))
 
 
 def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -414,7 +436,7 @@ def vector_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.vector_space(d)
 
 
-_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, cite_passages, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, cite_passages, pdf_lines, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -469,12 +491,18 @@ _SQL = {
     "upsert_protected": _MELT + "select record_id, case when k % 11 <> 0 and k % 10 = 0 and k % 5 <> 0 then total + 1 else total end as n, case when k % 11 = 0 then 'medium' when k % 5 = 0 and k % 10 = 0 then 'conflict' when k % 5 = 0 then 'verified' else 'low' end as tier, case when k % 5 = 0 then 'human_verified' else 'model' end as status, case when k % 11 <> 0 and k % 10 = 0 then total + 1 end as model_n, case when k % 11 <> 0 and k % 10 = 0 then '2024-01-01' end as model_value_at from m",
     "merge_fields": "select 'priority' as field_key, count(*) as n, count(*) as n_records from orders union all select 'segment', count(*), count(*) from orders",
     "trust_tally": "select cast(o_orderkey as varchar) as record_id, round(5 * case when o_orderkey % 5 = 0 then 0 else (2 * (1 - (o_orderkey % 100) / 100)) * case when o_orderkey % 100 < 60 then 1.5 else 1 end end, 4) as impact, case when o_orderkey % 100 < 60 then 'unverified' when o_orderkey % 100 < 85 then 'review' else 'high' end as trust, 5::bigint as n_values from orders",
+    "pdf_lines": "with l as (select o_orderkey, o_orderpriority, unnest([0, 1]) as k from orders), t as (select *, case k when 0 then 'Order ' || o_orderkey else 'Priority ' || o_orderpriority end as text from l) select o_orderkey::varchar as document_id, 0 as page_index, 4 + (o_orderpriority like '% %')::int as n_words, k as line_no, text, 40.0::double as x0, (92 + 20 * k)::double as top, (40 + 6 * length(text))::double as x1, (102 + 20 * k)::double as bottom from t",
     "chunk_documents": _CHUNKS,
     "vector_topk": "select query_id, vec_id, place, round(score, 5) as score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from (select q.vec_id as query_id, e.vec_id, greatest(0, least(1, list_cosine_similarity(e.embedding::double[], q.embedding::double[]))) as score from embeddings e, embeddings q where q.vec_id % 20 = 0)) where place <= 5",
     "lexical_overlap": f"with d as (select distinct doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from documents), b as (select distinct item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from benchmark) select doc_id, item_id, count(*) as shared from d join b using (w) where w not in ({_STOP}) group by 1, 2 having count(*) >= 10",
     "event_sequence": "select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq from events",
     "event_resume": "select user_id, event_id, seq from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as seq, count(*) over (partition by user_id) as n from events) where seq > n // 2",
     "event_latest": "select user_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as seq from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
+    "token_rewrite": """with t as (select *, turn % 3 as k, lpad(conv_id::varchar, 8, '0') || '-0000-0000-0000-' || lpad((turn % 3)::varchar, 12, '0') as chunk, (conv_id + turn % 3) % 4 <> 0 as known from conversations),
+f as (select conv_id, k, chunk, row_number() over (partition by conv_id order by min(turn)) as n from t where known group by 1, 2, 3),
+c as (select conv_id, string_agg(chunk, ',' order by n) as cited from f group by 1),
+x as (select t.conv_id, string_agg(coalesce(text, '') || ' ' || case when known then '[^' || n || ']' else '' end || ' of ' || t.conv_id || '.50 USD [^note] .', '' order by turn) as s from t left join f on t.conv_id = f.conv_id and t.k = f.k group by 1)
+select x.conv_id as message_id, sha256(s) as text_sha, length(s)::int as length, coalesce(cited, '') as cited from x left join c using (conv_id)""",
     "batch_barrier": "select conv_id, count(*) as documents from conversations group by 1 having count(*) filter (conv_id % 3 = 0 and turn = 1) = 0",
 }
 

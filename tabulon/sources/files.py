@@ -1,4 +1,4 @@
-"""Files as lines: what a file is, and readers for text, CSV, XLSX and DOCX. Each runs on `binaryFile` rows."""
+"""Files as lines: what a file is, and readers for text, CSV, XLSX, DOCX and PDF. Each runs on `binaryFile` rows."""
 
 from __future__ import annotations
 
@@ -14,7 +14,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pdf
+
 HEAD, ROWS, COLUMNS, LINES = 128 * 1024, 2000, 40, 20_000
+#: Words of PDF pages that a task gathers before it hands them on.
+WORDS_HELD = 100_000
 # First bytes of the formats.
 MAGIC = {b"%PDF-": "pdf", b"\x89PNG\r\n\x1a\n": "image", b"\xff\xd8\xff": "image", b"GIF8": "image", b"II*\x00": "image", b"MM\x00*": "image"}
 EXTENSIONS = {"pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image", "gif": "image", "tif": "image", "tiff": "image", "docx": "docx", "xlsx": "xlsx", "csv": "csv", "tsv": "csv", "txt": "text", "md": "text"}
@@ -163,6 +167,18 @@ def read_docx(data: bytes) -> list[tuple[str, str]]:
     return out
 
 
+def read_pdf(data: bytes) -> list[tuple[str, str]]:
+    """Lines of all pages; a PDF without any text is reported, as its pages would have to be recognised."""
+    try:
+        pages = pdf.read_pages(data)
+    except pdf.PdfError as e:
+        raise SourceError(str(e)) from e
+    out = [(line["text"], f"page {k}") for k, (_, _, _, lines) in enumerate(pages, 1) for line in lines]
+    if not out:
+        raise SourceError("no text was found in this PDF; it may be a scan")
+    return out
+
+
 def _absent(what: str) -> Callable[[bytes], list[tuple[str, str]]]:
     def read(data: bytes) -> list[tuple[str, str]]:
         raise SourceError(f"{what} needs a library that isn't installed")
@@ -171,7 +187,7 @@ def _absent(what: str) -> Callable[[bytes], list[tuple[str, str]]]:
 
 
 #: Readers by format; others can be put in.
-READERS: dict[str, Callable[[bytes], list[tuple[str, str]]]] = {"text": read_text, "csv": read_csv, "xlsx": read_xlsx, "docx": read_docx, "pdf": _absent("PDF"), "image": _absent("text in images")}
+READERS: dict[str, Callable[[bytes], list[tuple[str, str]]]] = {"text": read_text, "csv": read_csv, "xlsx": read_xlsx, "docx": read_docx, "pdf": read_pdf, "image": _absent("text in images")}
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -200,6 +216,39 @@ def parse(found: DataFrame) -> DataFrame:
     return found.select("filename", "content_hash", "content").mapInPandas(run, "filename string, content_hash string, source_format string, mismatch boolean, line_no int, text string, locator string, error string")
 
 
+_BOXES = "array<struct<text:string,x0:double,top:double,x1:double,bottom:double>>"
+
+
+def pdf_pages(found: DataFrame) -> DataFrame:
+    """(document_id, page_index, width, height, words, lines, needs_ocr, error): a row per page of the PDF files of `files`, as operators.layout takes them.
+
+    document_id is the content's hash. A page of fewer than five words needs recognition: words recognised elsewhere can
+    take its place through operators.layout.ocr_lines. A file that can't be read is one row with its error. One pass, no shuffle.
+    """
+
+    columns = ["document_id", "page_index", "width", "height", "words", "lines", "needs_ocr", "error"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        held = 0
+        for frame in frames:
+            for r in frame.itertuples():
+                if sniff(bytes(r.content[:HEAD]), r.filename)[0] != "pdf":
+                    continue
+                try:
+                    pages = pdf.read_pages(bytes(r.content))
+                    rows += [(r.content_hash, k, w, h, words, lines, len(words) < pdf.FEW_WORDS, None) for k, (w, h, words, lines) in enumerate(pages)]
+                    held += sum(len(p[2]) for p in pages)
+                except pdf.PdfError as e:
+                    rows.append((r.content_hash, None, None, None, None, None, None, str(e)))
+                if held > WORDS_HELD:  # so that what is held doesn't grow with the number of files
+                    yield pd.DataFrame(rows, columns=columns).astype({"page_index": "Int32"})
+                    rows, held = [], 0
+        yield pd.DataFrame(rows, columns=columns).astype({"page_index": "Int32"})
+
+    return found.select("filename", "content_hash", "content").mapInPandas(run, f"document_id string, page_index int, width double, height double, words {_BOXES}, lines {_BOXES}, needs_ocr boolean, error string")
+
+
 def byte_range(content: F.Column, first: int, last: int) -> F.Column:
     """Bytes first..last, both included."""
     return F.substring(content, first + 1, last - first + 1)

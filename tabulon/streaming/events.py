@@ -157,15 +157,25 @@ class Rewriter:
         self._text(out, f"[^{self.notes[m[1]]}]")
 
 
-def rewrite_answers(deltas: DataFrame, known_chunks: DataFrame) -> DataFrame:
-    """deltas (message_id, position, text) to the finished text of each message and its notes; known chunks are joined per message."""
+def rewrite_answers(deltas: DataFrame, known_chunks: DataFrame, figures: DataFrame | None = None) -> DataFrame:
+    """(message_id, text, cited): the finished text of each message and the chunks that its notes cite, in their order.
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        known = set(frame["chunks"].iloc[0] if frame["chunks"].iloc[0] is not None else [])
-        w = Rewriter(lambda c: c if c in known else None, {})
-        events = [e for text in frame.sort_values("position")["text"] for e in w.feed(text)] + w.flush()
+    deltas: message_id, position, text; known_chunks: message_id, chunk_id; figures: message_id, path, text, unit. What a message may cite
+    and quote comes beside its deltas, once, and not with each of them; an answer has some thousand deltas at most. A null text is empty.
+    """
+    none = F.lit(None).cast("string")
+    source = known_chunks.select("message_id", F.col("chunk_id").alias("name"), none.alias("text"), none.alias("unit"), F.lit(False).alias("figure"))
+    if figures is not None:
+        source = source.unionByName(figures.select("message_id", F.col("path").alias("name"), "text", "unit", F.lit(True).alias("figure")))
+
+    def run(key: tuple, said: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if said.empty:
+            return pd.DataFrame([], columns=["message_id", "text", "cited"])
+        chunks = set(known.loc[~known["figure"].astype(bool), "name"])
+        shown = {r.name: (r.text, r.unit) for r in known[known["figure"].astype(bool)].itertuples(index=False, name="Figure")} if len(known) else {}
+        w = Rewriter(lambda c: c if c in chunks else None, shown)
+        events = [e for text in said.sort_values("position")["text"] for e in w.feed(text or "")] + w.flush()
         return pd.DataFrame([(key[0], "".join(x for kind, x in events if kind == "token"), [x[1] for kind, x in events if kind == "citation"])], columns=["message_id", "text", "cited"])
 
-    chunks = known_chunks.groupBy("message_id").agg(F.collect_set("chunk_id").alias("chunks"))
     kind = dict(deltas.dtypes)["message_id"]
-    return deltas.join(chunks, "message_id", "left").groupBy("message_id").applyInPandas(run, f"message_id {kind}, text string, cited array<string>")
+    return deltas.select("message_id", "position", "text").groupBy("message_id").cogroup(source.groupBy("message_id")).applyInPandas(run, f"message_id {kind}, text string, cited array<string>")

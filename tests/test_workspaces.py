@@ -271,8 +271,13 @@ def test_rewritten_text_does_not_depend_on_micro_batches(spark, tmp_path):
     batches[2] = batches[2] + batches[0][:9]  # delivered twice
     feed(spark, tmp_path / "in", PARTS, batches)
     stream = spark.readStream.schema(PARTS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = rewrite_stream(stream).writeStream.format("memory").queryName("rewritten").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    q = rewrite_stream(stream).writeStream.format("memory").queryName("rewritten").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:  # timers keep a stream going, so there is no end to wait for
+        end = time.time() + 90
+        while spark.table("rewritten").agg(F.sum(F.length("text"))).first()[0] != sum(len(t) + sum(len(c) for _, c in cited) for t, cited in wanted.values()) and time.time() < end:
+            time.sleep(0.5)
+    finally:
+        q.stop()
     got = {}
     for r in spark.table("rewritten").orderBy("message_id", "seq").collect():
         got.setdefault(int(r.message_id), []).append(r)
