@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import ask, dashboard, profile, views
+from .functions import results
+from .operators import ask, dashboard, profile, versions, views
 from .plans.shared import evaluate
 
 #: position, key, label, type, currency, aliases, and the rule by nation for which workspaces have it.
@@ -124,7 +125,46 @@ def stale_dashboards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboard.mark_stale(boards, e.where("event_type <> 'view'").select("workspace_id", F.col("event_id").alias("changed_at")))
 
 
-_FUNCTIONS = (workspace_profile, dashboard_panels, dashboard_rows, question_plans, question_answers, suggested_questions, workspace_names, stale_dashboards)
+def _totals(spark: SparkSession, sf_dir: str, schema: DataFrame) -> DataFrame:
+    """The total by segment of each workspace."""
+    return evaluate(_one_query(schema, "sum", "total", "segment", 20), records(spark, sf_dir), field_values(spark, sf_dir), schema)
+
+
+def _one_query(schema: DataFrame, aggregate: str, measure: str | None, group: str, limit: int) -> DataFrame:
+    none = F.lit(None).cast("string")
+    return schema.select("workspace_id").distinct().select(
+        "workspace_id", F.lit("q").alias("query_id"), F.lit(aggregate).alias("aggregate"), F.lit(measure).cast("string").alias("measure_field"), F.lit(group).alias("group_by"), none.alias("date_bucket"),
+        F.array().cast(ask.FILTERS).alias("filters"), F.lit("value_desc").alias("sort"), F.lit(limit).alias("limit"))
+
+
+def result_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every figure that may be quoted of each workspace's total by segment, out of its JSON."""
+    found = results.result_json(_totals(spark, sf_dir, fields(spark, sf_dir)))
+    rows = found.select("workspace_id", results.at_pointer(F.col("result"), "/rows/0/label").alias("first"), F.inline(results.figures(results.result_paths(F.col("result"), F.lit(True), F.lit(None).cast("string")))))
+    return rows.select("workspace_id", "first", "path", "text", F.coalesce("unit", F.lit("")).alias("unit"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each workspace: the rename of its segments by two writers of version 1, the merge of its customers into them, a merge of other types, and the removal of a field."""
+    log = [(1, "rename", 1, "segment", "market", "Market"), (2, "rename", 1, "segment", "branch", "Branch"), (3, "merge", 2, "customer_name", "market", None), (4, "merge", None, "urgent", "rank", None), (5, "remove", None, "urgent", None, None)]
+    kinds = {"place": "long", "action": "string", "expected": "int", "from_key": "string", "to_key": "string", "label": "string"}
+    rows = F.array(*[F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(r, kinds.items(), strict=True)]) for r in log])
+    return fields(spark, sf_dir).select("workspace_id").distinct().select("workspace_id", F.inline(rows)).withColumn("author", F.lit("user"))
+
+
+def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = versions.versions(fields(spark, sf_dir), _changes(spark, sf_dir))
+    return log.select("workspace_id", F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("version", F.lit(0)).alias("version"), F.coalesce("summary", "refused").alias("told"), F.array_join(F.flatten("fields.names"), ",").alias("names"))
+
+
+def renamed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by market, whose values are still stored as segments and customers, at the latest version; a segment counts before a customer."""
+    schema = versions.fields_at(versions.versions(fields(spark, sf_dir), _changes(spark, sf_dir)))
+    found = evaluate(_one_query(schema, "count", None, "market", 5), records(spark, sf_dir), field_values(spark, sf_dir), schema)
+    return found.where("place > 0").select("workspace_id", "place", "label", "value")
+
+
+_FUNCTIONS = (result_figures, schema_versions, renamed_fields, workspace_profile, dashboard_panels, dashboard_rows, question_plans, question_answers, suggested_questions, workspace_names, stale_dashboards)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -175,7 +215,23 @@ x as (
 l as (select w, position, label, cast(sum(cast(v as decimal(38, 6))) as double) as value, row_number() over (partition by w, position order by value desc, label) as place from x group by 1, 2, 3),
 o as (select l.w, l.position, label, value, case when kind = 'line' then row_number() over (partition by l.w, l.position order by label) else place end as place from l join q on l.w = q.w and l.position = q.position where kind <> 'line' or label is not null)"""
 _ASK = """, c as (select 'n' || c_nationkey as w, c_custkey as id, c_custkey % 8 as a, c_nationkey % 5 <> 3 as money, c_nationkey % 3 <> 2 as dated, c_custkey % 11 <> 0 as ok from customer)"""
+_SHOWN = "case when {v} = round({v}) then format('{{:,.0f}}', {v}) else format('{{:,.2f}}', {v}) end"
 _SQL = {
+    "result_figures": _T + f""", g as (select w, nk, coalesce(segment, 'Not stated') as label, cast(sum(cast(total as decimal(38, 6))) as double) as v from t where total is not null group by 1, 2, 3),
+r as (select *, row_number() over (partition by w order by v desc, label) - 1 as i from g),
+c as (select w, cast(sum(cast(total as decimal(38, 6))) as double) as v, count(*) as k, case when count(distinct ccy) = 1 then min(ccy) end as u from t where total is not null group by 1),
+x as (
+  select n.w, 'result.total' as path, {_SHOWN.format(v="coalesce(v, 0)")} || coalesce(' ' || u, '') as text, coalesce(u, '') as unit from n left join c on n.w = c.w union all
+  select n.w, 'result.record_count', format('{{:,}}', coalesce(k, 0)), '' from n left join c on n.w = c.w union all select w, 'result.unit', u, '' from c where u is not null union all
+  select r.w, 'result.rows.' || i || '.value', {_SHOWN.format(v="r.v")} || coalesce(' ' || c.u, ''), coalesce(c.u, '') from r join c on r.w = c.w union all select w, 'result.rows.' || i || '.label', label, '' from r)
+select x.w as workspace_id, r.label as first, path, text, unit from x left join r on x.w = r.w and r.i = 0""",
+    "schema_versions": _T + """, f as (select w, nk % 5 <> 3 as money, nk % 3 <> 2 as dated from n),
+a as (select w, case when money then 'total,amount_due,' else '' end || 'rank,' as head, case when dated then 'ordered,' else '' end || 'priority,prio' as mid from f)
+select w as workspace_id, v.place::bigint as place, v.version, v.told, case v.place when 0 then head || 'segment,customer_name,' || mid || ',urgent' when 1 then head || 'market,segment,customer_name,' || mid || ',urgent' when 3 then head || 'market,segment,customer_name,' || mid || ',urgent'
+  when 5 then head || 'market,segment,customer_name,' || mid end as names
+from a, (values (0, 1, 'First schema.'), (1, 2, 'You renamed ''Market segment'' to ''Market''.'), (2, 0, 'version 1 is not the latest, 2 is'), (3, 3, 'You merged ''Customer name'' into ''Market''.'), (4, 0, '''Urgent'' holds boolean values and ''Priority number'' holds number'), (5, 4, 'You removed ''Urgent''.')) v(place, version, told)""",
+    "renamed_fields": _T + """, g as (select w, coalesce(segment, customer) as label, count(*)::double as value from t group by 1, 2)
+select w as workspace_id, (row_number() over (partition by w order by value desc, label))::int as place, label, value from g qualify row_number() over (partition by w order by value desc, label) <= 5""",
     "workspace_profile": _S + " select w as workspace_id, key as field_key, pos as position, present, dist as \"distinct\", total as numeric_sum, date_max, codes as currencies, coverage, groupable from s",
     "dashboard_panels": _B + """, e as (select w, position, sum(cast(v as decimal(38, 6))) as total, string_agg(distinct ccy, ',' order by ccy) as codes from x group by 1, 2),
 c as (select w, position, count(*) filter (place <= 20) as n from o group by 1, 2)
