@@ -8,11 +8,14 @@ from dataclasses import replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..model import FieldSpec, is_field_key
 from .resolve import ADDITIONS, WIDTH, Thresholds, _fold, _indel, _words
 
+#: Most names that a field gathers from documents.
+ALIASES = 200
 ASSESSED = "key string, label string, type string, verdict string, target string, why string, nearest string, score double"
 
 
@@ -89,20 +92,30 @@ def assess(extras: DataFrame, schema: Sequence[FieldSpec], vectors: Mapping[str,
     return extras.select(*cols).groupBy("document_id").applyInPandas(run, f"document_id {kind}, {ASSESSED}")
 
 
-def merged_schema(schema: Sequence[FieldSpec], assessed: DataFrame) -> list[FieldSpec]:
-    """The schema with the mapped keys as aliases and the added fields behind, the most frequent first, to WIDTH fields.
+def decisions(schema: Sequence[FieldSpec], assessed: DataFrame) -> DataFrame:
+    """(verdict, key, target, n, label, type, place, kept): what documents decided, each once, the most frequent first.
 
-    Aggregated before it is read, so what comes back is a row for each distinct decision, not for each document.
+    Of the added fields those are kept that fit in a schema of WIDTH, of the keys mapped to a field ALIASES; what isn't kept has a row that
+    says so. Counts are aggregated before they are ranked.
     """
+    known = [f.key for f in schema]
     made = assessed.where("verdict <> 'drop'").groupBy("verdict", "key", "target").agg(F.count("*").alias("n"), F.mode("label", True).alias("label"), F.mode("type", True).alias("type"))
+    made = made.where(~((F.col("verdict") == "add") & F.col("key").isin(known)) & ~((F.col("verdict") == "map") & (F.col("key") == F.col("target"))))
+    # adds have one rank, mappings one for each target: keys are many, so the limit is taken before the shuffle
+    group = F.when(F.col("verdict") == "map", F.col("target"))
+    ranked = made.withColumn("place", F.row_number().over(W.partitionBy("verdict", group).orderBy(F.desc("n"), "key", "target")))
+    return ranked.withColumn("kept", F.col("place") <= F.when(F.col("verdict") == "add", max(0, WIDTH - len(known))).otherwise(ALIASES))
+
+
+def merged_schema(schema: Sequence[FieldSpec], assessed: DataFrame) -> list[FieldSpec]:
+    """The schema with the mapped keys as aliases and the added fields behind, the most frequent first. What comes back are `decisions` that are kept: at most WIDTH fields of ALIASES names."""
     fields = {f.key: f for f in schema}
-    rows = made.orderBy(F.desc("n"), "key", "target").collect()
-    for r in rows:
-        if r.verdict == "add" and r.key not in fields and len(fields) < WIDTH:
-            fields[r.key] = FieldSpec(r.key, r.label, r.type, currency_default="USD" if r.type == "currency" else None)
-    for r in rows:
-        f = fields.get(r.target)
-        if r.verdict == "map" and f is not None and r.key not in f.names():
+    made = decisions(schema, assessed)
+    added = made.where("verdict = 'add' and kept").orderBy("place").collect()
+    fields |= {r.key: FieldSpec(r.key, r.label, r.type, currency_default="USD" if r.type == "currency" else None) for r in added}
+    for r in made.where((F.col("verdict") == "map") & F.col("kept") & F.col("target").isin(list(fields))).orderBy("target", "place").collect():
+        f = fields[r.target]
+        if r.key not in f.names():
             fields[r.target] = replace(f, aliases=(*f.aliases, r.key))
     return list(fields.values())
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -59,41 +58,41 @@ def ground(fields: DataFrame, pages: DataFrame) -> DataFrame:
     """fields (document_id, field_key, quote, page_index) with pages (document_id, page_index, words array<string>).
 
     Adds match_score (one decimal), match_page, word_start, word_end and failure. The cited page comes first, then its neighbours, then
-    the rest; a page replaces the best so far only if it is strictly better, and a full match ends the search. Pages of a document come
-    together in one row, as a document has few.
+    the rest; a page replaces the best so far only if it is strictly better, and a full match ends the search. A document's quotes and
+    pages meet in one group, each once; a document has some dozen fields.
     """
-    text = pages.select("document_id", F.struct("page_index", folded("words").alias("w")).alias("p")).groupBy("document_id").agg(F.sort_array(F.collect_list("p")).alias("pages"))
-    rows = fields.join(text, "document_id", "left").withColumn("q", F.array_join(F.filter(F.transform(F.split(F.coalesce("quote", F.lit("")), r"\s+"), lambda w: fold_token(w)), lambda w: w != ""), " "))
-    plain = rows.select("document_id", "field_key", "page_index", "q", "pages")
+    sheets = pages.select("document_id", "page_index", folded("words").alias("w"))
+    said = F.array_join(F.filter(F.transform(F.split(F.coalesce("quote", F.lit("")), r"\s+"), lambda w: fold_token(w)), lambda w: w != ""), " ")
+    plain = fields.select("document_id", "field_key", "page_index", said.alias("q"))
+    columns = ["document_id", "field_key", "match_score", "match_page", "word_start", "word_end", "failure"]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for r in frame.itertuples():
-                found = [(p["page_index"], list(p["w"])) for p in (r.pages if r.pages is not None else [])]
-                cited = None if pd.isna(r.page_index) else int(r.page_index)
-                score, page, a, b, failure = 0.0, None, None, None, None
-                if not r.q:
-                    failure = "no_quote"
-                elif not any(w for _, w in found):
-                    failure = "no_text_layer"
-                else:
-                    far = lambda k: 2 if cited is None else min(2, abs(k - cited))
-                    for k, words in sorted(found, key=lambda x: (far(x[0]), x[0])):
-                        s, i, j = best_window(r.q, " ".join(words))
-                        if s > score:
-                            score, page, at, a, b = s, k, 0, None, None
-                            for n, w in enumerate(words):
-                                if at < j and i < at + len(w):
-                                    a, b = (n if a is None else a), n + 1
-                                at += len(w) + 1
-                        if score >= ENOUGH:
-                            break
-                    if score < LEAST:
-                        failure = "page_out_of_range" if cited is not None and cited not in {k for k, _ in found} else "quote_not_found"
-                        page = a = b = None
-                out.append((r.document_id, r.field_key, round(score, 1), page, a, b, failure))
-            yield pd.DataFrame(out, columns=["document_id", "field_key", "match_score", "match_page", "word_start", "word_end", "failure"]).astype({"match_page": "Int32", "word_start": "Int32", "word_end": "Int32"})
+    def run(quotes: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
+        found = [(k, list(w), " ".join(w)) for k, w in zip(of["page_index"], of["w"], strict=True)]
+        out = []
+        for r in quotes.itertuples():
+            cited = None if pd.isna(r.page_index) else int(r.page_index)
+            score, page, a, b, failure = 0.0, None, None, None, None
+            if not r.q:
+                failure = "no_quote"
+            elif not any(w for _, w, _ in found):
+                failure = "no_text_layer"
+            else:
+                far = lambda k: 2 if cited is None else min(2, abs(k - cited))
+                for k, words, text in sorted(found, key=lambda x: (far(x[0]), x[0])):
+                    s, i, j = best_window(r.q, text)
+                    if s > score:
+                        score, page, at, a, b = s, k, 0, None, None
+                        for n, w in enumerate(words):
+                            if at < j and i < at + len(w):
+                                a, b = (n if a is None else a), n + 1
+                            at += len(w) + 1
+                    if score >= ENOUGH:
+                        break
+                if score < LEAST:
+                    failure = "page_out_of_range" if cited is not None and cited not in {k for k, _, _ in found} else "quote_not_found"
+                    page = a = b = None
+            out.append((r.document_id, r.field_key, round(score, 1), page, a, b, failure))
+        return pd.DataFrame(out, columns=columns).astype({"match_page": "Int32", "word_start": "Int32", "word_end": "Int32"})
 
     kind = dict(fields.dtypes)["document_id"]
-    return plain.mapInPandas(run, f"document_id {kind}, field_key string, match_score double, match_page int, word_start int, word_end int, failure string")
+    return plain.groupBy("document_id").cogroup(sheets.groupBy("document_id")).applyInPandas(run, f"document_id {kind}, field_key string, match_score double, match_page int, word_start int, word_end int, failure string")

@@ -35,8 +35,10 @@ def _value(cell: str) -> tuple[Column, Column]:
     return F.col(cell)["v"], F.coalesce(F.col(cell)["t"], F.lit("string"))
 
 
-def _base(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], row_counts: bool) -> DataFrame:
+def _base(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], row_counts: bool, workspace_id: str | None) -> DataFrame:
     """(record_id, label, x, ccy) of every record that the filters keep and that has something to measure."""
+    if workspace_id is not None:
+        records, field_values = (t.where(F.col("workspace_id") == workspace_id) for t in (records, field_values))
     by_key = {n: f for f in fields for n in f.names()}
     named = [query.measure_field, query.group_by, *[f.field for f in query.filters]]
     base = wide(records, field_values, list({by_key[n].key: by_key[n] for n in named if n in by_key}.values()))
@@ -59,20 +61,21 @@ def _base(query: DataQuery, records: DataFrame, field_values: DataFrame, fields:
     return base.select("record_id", label.alias("label"), number.alias("x"), code.alias("ccy")).where("x is not null")
 
 
-def lineage(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True) -> DataFrame:
+def lineage(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True, workspace_id: str | None = None) -> DataFrame:
     """(label, record_id): the records behind each label of a query, a row each, so that no group is gathered in one row."""
-    rows = _base(query, records, field_values, fields, row_counts)
+    rows = _base(query, records, field_values, fields, row_counts, workspace_id)
     return rows.where(F.col("label") != NOT_STATED).select("label", "record_id") if query.date_bucket else rows.select("label", "record_id")
 
 
-def plan(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True) -> tuple[DataFrame, DataFrame]:
+def plan(query: DataQuery, records: DataFrame, field_values: DataFrame, fields: Sequence[FieldSpec], *, row_counts: bool = True, workspace_id: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows of label and value; one row of total, unit, currencies, mixed_currency, record_count). Their records are in `lineage`.
 
     row_counts: count a field where a record has a row for it, even without a value; else where it has a value. Groups that are not
     stated stay, except on a time axis, which is in its own order. The total covers every group. Without a group the label is the
     measure's, else Total. A field that the schema doesn't have is an absent value in filters, no group, and nothing to measure.
+    workspace_id: the only workspace whose records and values are read, a filter that reaches both scans; None for tables of one workspace.
     """
-    rows = _base(query, records, field_values, fields, row_counts)
+    rows = _base(query, records, field_values, fields, row_counts, workspace_id)
     exact = F.sum(F.col("x").cast(EXACT)).cast("double")
     value = {"sum": exact, "count": F.count("x").cast("double"), "avg": exact / F.count("x"), "min": F.min("x"), "max": F.max("x")}[query.aggregate]
     out = rows.groupBy("label").agg(value.alias("value"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.model import FieldSpec
-from tabulon.operators import ask, dashboard, profile, views
+from tabulon.operators import ask, dashboard, profile
 from tabulon.plans import shared
 from tabulon.plans.planner import plan
 from tabulon.spec import DataQuery
@@ -88,7 +88,7 @@ def test_many_queries_equal_single_ones(spark, tenants, few, monkeypatch):
     for i, q in enumerate(specs):
         spec = {**q, "filters": [{**f, "value": True if f["value"] == "true" else f["value"]} for f in q["filters"]]}
         for w in ("a", "b", "c") if i < 6 else ("a",):
-            out, total = plan(DataQuery.of(spec), views.in_workspace(records, w), views.in_workspace(values, w), SPECS)
+            out, total = plan(DataQuery.of(spec), records, values, SPECS, workspace_id=w)
             mine, t = got[w, str(i)], total.first()
             want = [(r.label, r.value) for r in out.collect()]
             found = [mine[p][:2] for p in sorted(mine) if p]
