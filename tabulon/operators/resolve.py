@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,6 +76,7 @@ def observations(extracted: DataFrame) -> DataFrame:
     return docs.join(labels, "key").join(types, "key")
 
 
+@lru_cache(maxsize=1 << 16)
 def _indel(a: str, b: str) -> float:
     if not a and not b:
         return 1.0
@@ -87,6 +89,7 @@ def _indel(a: str, b: str) -> float:
     return 2 * last[-1] / (len(a) + len(b))
 
 
+@lru_cache(maxsize=1 << 16)
 def _words(label: str) -> str:
     from ..functions.labels import FILLER
 
@@ -94,6 +97,7 @@ def _words(label: str) -> str:
     return " ".join(sorted([w for w in words if w not in FILLER] or words))
 
 
+@lru_cache(maxsize=1 << 16)
 def _fold(label: str) -> str:
     return "_".join("".join(c if c.isalnum() else " " for c in label.lower()).split())
 

@@ -386,7 +386,10 @@ def guided_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _extras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.extract(_lines(spark, sf_dir)).withColumnRenamed("value_type", "type")
+    """Fields of each order beyond its schema, by its key: unlike ones, an alias, near ones of the same and of another type, a known one, and one that can't be a key."""
+    rows = ((1, "order_no", "Order No", "number"), (2, "issue_date", "Issue date", "date"), (3, "prio", "prio", "string"), (5, "totals", "Totals", "currency"), (7, "segment", "Segment", "number"), (11, "select", "Select", "string"), (13, "urgents", "Urgents", "string"))
+    one = lambda n, key, label, kind: F.when(F.col("o_orderkey") % n == 0, F.struct(F.lit(n).alias("line_no"), F.lit(key).alias("key"), F.lit(label).alias("label"), F.lit(kind).alias("type")))
+    return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.lit(0).alias("page_index"), F.inline(F.array_compact(F.array(*[one(*r) for r in rows]))))
 
 
 def drift_assess(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -466,8 +469,8 @@ select doc_id as document_id, 0 as page_index, ordinal, string_agg(text, chr(10)
 _SQL = {
     "merge_counts": "select count(*) filter (k % 5 <> 0) as written, count(*) filter (k % 5 = 0) as protected, count(*) filter (k % 10 = 0) as conflicts, count(*) filter (k % 4 <> 0) as grounded, count(*) filter (k % 4 = 0) as ungrounded from (select o_orderkey as k from orders where o_orderkey % 11 <> 0)",
     "guided_fields": "with o as (select o_orderkey as document_id, o_orderkey % 9 <> 0 as has, cast(o_orderkey as varchar) as no, strftime(o_orderdate, '%Y-%m-%d') as day, o_orderpriority as p from orders) select document_id, 'order_number' as field_key, case when has then no end as value_text, 'number' as value_type, false as extra from o union all select document_id, 'issued', null, 'date', false from o union all select document_id, 'urgency', case when has then p end, 'string', false from o union all select document_id, 'issue_date', day, 'date', true from o where has",
-    "drift_assess": "select o_orderkey as document_id, v.* from orders, (values ('order_no', 'add', 'order_no', 'borderline', 'ordered', round(10 / 12, 6)), ('issue_date', 'drop', null, 'too_many', 'ordered', 0.6), ('priority', 'map', 'priority', null, 'priority', 1.0)) v(key, verdict, target, why, nearest, score)",
-    "drift_summaries": "select o_orderkey as document_id, 'Kept apart issue_date from ordered, order_no from ordered.' as summary from orders",
+    "drift_assess": "select o_orderkey as document_id, v.* exclude (n) from orders join (values (1, 'order_no', 'add', 'order_no', 'borderline', 'ordered', round(10 / 12, 6)), (2, 'issue_date', 'drop', null, 'too_many', 'ordered', 0.6), (3, 'prio', 'map', 'priority', null, 'priority', 1.0), (5, 'totals', 'map', 'total', null, 'total', round(10 / 11, 6)), (7, 'segment', 'map', 'segment', null, 'segment', 1.0), (11, 'select', 'drop', null, 'unusable_key', null, 0.0), (13, 'urgents', 'drop', null, 'too_many', 'urgent', round(12 / 13, 6))) v(n, key, verdict, target, why, nearest, score) on o_orderkey % n = 0",
+    "drift_summaries": "with s as (select o_orderkey as k, concat_ws(', ', case when o_orderkey % 3 = 0 then 'prio to priority' end, case when o_orderkey % 5 = 0 then 'totals to total' end) as m, concat_ws(', ', case when o_orderkey % 2 = 0 then 'issue_date from ordered' end, 'order_no from ordered', case when o_orderkey % 13 = 0 then 'urgents from urgent' end) as a from orders) select k as document_id, case when m <> '' then 'Mapped ' || m || '; kept apart ' else 'Kept apart ' end || a || case when k % 11 = 0 then '; left out select' else '' end || '.' as summary from s",
     "recent_turns": "with r as (select *, row_number() over (partition by conv_id order by turn // 2 desc, turn desc) as r from conversations where (conv_id + turn) % 11 <> 0) select conv_id as workspace_id, turn as id, role, text as content, row_number() over (partition by conv_id order by r desc) as place from r where r <= 4 and text <> ''",
     "answer_fold": "with n as (select conv_id, turn % 3 as n, min(turn) as place, arg_max(role, turn) as role from conversations group by 1, 2), c as (select conv_id, string_agg(n || ':' || role, ',' order by place) as cited from n group by 1) select conv_id as message_id, sha256(coalesce(string_agg(text, '' order by turn), '')) as text_sha, case when conv_id % 2 = 0 then 'done' else arg_max(role, turn) end as stage, any_value(cited) as cited from conversations join c using (conv_id) group by 1",
     "page_blocks": "with b as (select conv_id, turn, '=== PAGE ' || turn || case when turn % 3 = 1 then ' (Sheet)' else '' end || case when turn % 2 = 1 then ' [text recognised from a scan]' else '' end || ' ===' || chr(10) || case when (conv_id + turn) % 5 = 0 or trim(coalesce(text, ''), ' ' || chr(10)) = '' then '[no readable text on this page]' else trim(text, ' ' || chr(10)) end as block from conversations), u as (select *, sum(length(block)) over w <= 600 or row_number() over w = 1 as fits from b window w as (partition by conv_id order by turn)) select conv_id as document_id, sha256(string_agg(block, chr(10) || chr(10) order by turn) filter (fits) || case when bool_and(fits) then '' else chr(10) || chr(10) || '[Later pages of this document are not shown.]' end) as prompt_sha, count(*) filter (fits) as pages from u group by 1",

@@ -59,6 +59,17 @@ def test_drift_in_order_and_capped(spark):
     assert fields[1].aliases == ("seller",)
 
 
+def test_decisions_beyond_the_width_have_rows(spark):
+    names = [f"{a}{b}" * 5 for a in "abcdefgh" for b in "klmnopqr"]
+    rows = [(f"d{i}", 0, 0, n, n, "string") for i, n in enumerate(names)] + [("again", 0, 0, names[9], names[9], "string")]
+    assessed = drift.assess(spark.createDataFrame(rows, "document_id string, page_index int, line_no int, key string, label string, type string"), SCHEMA)
+    made = drift.decisions(SCHEMA, assessed).where("verdict = 'add'").collect()
+    assert len(made) == len(names) and sum(r.kept for r in made) == 40 - len(SCHEMA)
+    assert min(made, key=lambda r: r.place).key == names[9]
+    fields = drift.merged_schema(SCHEMA, assessed)
+    assert {f.key for f in fields} == {f.key for f in SCHEMA} | {r.key for r in made if r.kept}
+
+
 def test_drift_with_vectors_and_without_a_schema(spark):
     one = extras(spark, [("colour", "Colour", "string"), ("far", "Far", "string")]).withColumn("vector", F.when(F.col("key") == "colour", F.array(F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))))
     got = drift.assess(one, [FieldSpec("hue", "Hue", "string")], {"hue": [1.0, 0.01]}).orderBy("key").collect()
