@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabulon.model import FieldSpec
 from tabulon.operators import drift, guided, views
-from tabulon.sources import sinks
+from tabulon.sources import blobs, sinks
 from tabulon.streaming import answers
 
 SCHEMA = (FieldSpec("total_due", "Total Due", "currency", currency_default="USD"), FieldSpec("vendor", "Vendor Name", "string", aliases=("seller",)))
@@ -19,21 +19,66 @@ def rows_of(spark, path):
 def test_documents_are_replaced_and_deleted(spark, tmp_path):
     path = f"file://{tmp_path}/chunks"
     make = lambda rows: spark.createDataFrame(rows, "document_id string, ordinal int, text string")
-    sinks.delete_documents(make([("a", 0, "x")]), path, 4)  # no table yet
+    sinks.delete_documents(make([("a", 0, "x")]), path)  # no table yet
     first = make([("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z"), (None, 0, "lost")])
     for _ in range(2):
-        sinks.replace_documents(first, path, buckets=4)
+        sinks.replace_documents(first, path)
         assert rows_of(spark, path) == [("a", 0, "x"), ("a", 1, "y"), ("b", 0, "z")]
-    sinks.replace_documents(make([("a", 0, "new")]), path, buckets=4)
+    sinks.replace_documents(make([("a", 0, "new")]), path)
     assert rows_of(spark, path) == [("a", 0, "new"), ("b", 0, "z")]
-    sinks.replace_documents(make([("b", 7, "w")]).limit(0), path, make([("b", 0, "")]).select("document_id"), 4)  # re-extracted to nothing
+    sinks.replace_documents(make([("b", 7, "w")]).limit(0), path, make([("b", 0, "")]).select("document_id"))  # re-extracted to nothing
     assert rows_of(spark, path) == [("a", 0, "new")]
-    sinks.delete_documents(make([("a", 0, ""), ("unknown", 0, "")]), path, 4)
+    sinks.delete_documents(make([("a", 0, ""), ("unknown", 0, "")]), path)
     assert rows_of(spark, path) == []
-    sinks.replace_documents(make([(str(i), i, "t") for i in range(50)]), path, buckets=4)
+    sinks.replace_documents(make([(str(i), i, "t") for i in range(50)]), path)
     assert len(rows_of(spark, path)) == 50
 
 
+def test_broken_writes_and_compaction(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    make = lambda rows: spark.createDataFrame(rows, "document_id string, ordinal int, text string")
+    sinks.replace_documents(make([("a", i, "x") for i in range(40)] + [("b", 0, "y")]), path)
+    sinks.replace_documents(make([("b", 1, "z"), ("c", 0, "w")]).withColumn("page", F.lit(3)), path)
+    want = rows_of(spark, path)
+    assert want == sorted([("a", i, "x") for i in range(40)] + [("b", 1, "z"), ("c", 0, "w")])
+    make([("a", 99, "lost")]).write.parquet(f"{path}/rows/write=3")  # a job that died before its commit
+    assert rows_of(spark, path) == want
+    make([("a", 99, "lost")]).select("document_id").write.parquet(f"{path}/commits/write=3")
+    (tmp_path / "chunks/commits/write=3/_SUCCESS").unlink()
+    assert rows_of(spark, path) == want
+    sinks.compact(spark, path)
+    assert rows_of(spark, path) == want and sinks.vacuum(spark, path) == 6
+    assert rows_of(spark, path) == want and sinks.vacuum(spark, path) == 0
+    assert {r.page for r in sinks.read_documents(spark, path).where("document_id = 'c'").collect()} == {3}
+    sinks.replace_documents(sinks.read_documents(spark, path).where("document_id = 'a' and ordinal < 2"), path)  # from the table itself
+    assert rows_of(spark, path) == [("a", 0, "x"), ("a", 1, "x"), ("b", 1, "z"), ("c", 0, "w")]
+
+
+def test_blobs_by_key_range_and_prefix(spark, tmp_path):
+    path = f"file://{tmp_path}/blobs"
+    data = {"w/d1/file.pdf": bytes(range(256)) * 5, "w/d1/page-0.png": b"0123456789", "w/d2/file": b"", "w/d10": b"abc"}
+    odd = [("../etc/passwd", b"x"), ("/abs", b"x"), ("a//b", b"x"), ("a/.hidden", b"x"), ("a b", b"x"), ("end/", b"x"), ("line\n", b"x"), ("/".join("abcdefghi"), b"x"), (None, b"x"), ("empty", None)]
+    objects = spark.createDataFrame([*data.items(), ("w/d10", b"abc"), *odd], "key string, content binary")
+    blobs.put(objects, path, block=7)
+    assert blobs.refused(objects).count() == len(odd)
+    assert {r.key: r.length for r in blobs.listing(spark, path).collect()} == {k: len(v) for k, v in data.items()}
+    names = spark.createDataFrame([(k,) for k in [*data, "unknown"]], "key string")
+    assert {r.key: bytes(r.content) for r in blobs.get(spark, path, names).collect()} == data
+    asked = [(k, f, t) for k in [*data, "unknown"] for f in (None, 0, 6, 7, 13, 500, 5000) for t in (None, 0, 6, 7, 20, 1279, 9000)]
+    want = {}
+    for k, f, t in asked:
+        if k in data:
+            end = len(data[k]) - 1
+            first = max(min(f or 0, end), 0)
+            last = end if end < 0 else max(min(end if t is None else t, end), first)
+            want[k, first, last] = data[k][first : last + 1]
+    got = blobs.ranges(spark, path, spark.createDataFrame(asked, "key string, first long, last long")).collect()
+    assert {(r.key, r.first, r.last): bytes(r.content) for r in got} == want and len(got) == len(want)
+    blobs.put(spark.createDataFrame([("w/d10", b"newer")], "key string, content binary"), path)
+    blobs.delete_prefix(spark, path, "w/d1/")
+    assert {r.key: bytes(r.content) for r in blobs.get(spark, path, names).collect()} == {"w/d2/file": b"", "w/d10": b"newer"}
+
+
 def test_pages_keep_their_boxes(spark, tmp_path):
     path = f"file://{tmp_path}/pages"
     pages = spark.sql("select 'd' as document_id, 0 as page_index, array(struct('w' as text, struct(1d as x0, 2d as top, 3d as x1, 4d as bottom) as box)) as words")
