@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,6 +84,37 @@ def keyset_page(df: DataFrame, time: str, key: str, after: tuple | None, size: i
     return df.orderBy(time, key).limit(size + 1)
 
 
+def cursor_of(time: Column, key: Column) -> Column:
+    """An opaque mark of a place in the order of (time, key): the base64 of both, safe in an address."""
+    return F.translate(F.base64(F.concat_ws("|", time.cast("string"), key.cast("string")).cast("binary")), "+/\r\n", "-_")
+
+
+def read_cursor(cursor: str | None) -> tuple[str, str] | None:
+    """(time, key) as text; None, which is the first page, for what no cursor_of made."""
+    try:
+        time, bar, key = base64.b64decode((cursor or "").encode(), b"-_", validate=True).decode().partition("|")
+    except ValueError:
+        return None
+    return (time, key) if bar and time and key else None
+
+
+def page(df: DataFrame, time: str, key: str, cursor: str | None, size: int) -> DataFrame:
+    """The `size` rows after a cursor; where more follow, the last has the next page's cursor in `next_cursor`.
+
+    Places are values, not counts, so rows that come in meanwhile move none. A cursor of other types than the columns' is none.
+    Only size + 1 rows leave the tasks that sort.
+    """
+    after = read_cursor(cursor)
+    if after is not None:
+        kinds = [df.schema[c].dataType.simpleString() for c in (time, key)]
+        typed = df.sparkSession.range(1).select(*[F.lit(a).try_cast(t).alias(n) for a, t, n in zip(after, kinds, "tk", strict=True)]).first()
+        after = None if any(a is None for a in typed) else tuple(typed)
+    probe = keyset_page(df, time, key, after, size)
+    place = F.row_number().over(W.orderBy(time, key))  # over size + 1 rows
+    rows = probe.withColumns({"place__": place, "all__": F.count("*").over(W.partitionBy())}).where(F.col("place__") <= size)
+    return rows.withColumn("next_cursor", F.when((F.col("place__") == size) & (F.col("all__") > size), cursor_of(F.col(time), F.col(key)))).drop("place__", "all__")
+
+
 def merge_counts(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """One row of what a merge does: values written, kept from people, in conflict, and how many fresh ones are grounded (column of that name)."""
     keys = ["record_id", "field_key"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -15,7 +16,7 @@ from .model import FieldSpec
 from .operators import drift, extract, ground, guided, layout, profile, resolve, retrieve, trust, views
 from .plans.planner import lineage, plan
 from .spec import DataQuery
-from .sources import files
+from .sources import blobs, files, scratch, sinks
 from .streaming import answers
 from .streaming import events as ev
 
@@ -150,6 +151,42 @@ def keyset_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trust.keyset_page(o, "at", "o_orderkey", (820454400, 0), 25)
 
 
+def record_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two pages of the orders by time, the second after the first one's cursor."""
+    o = _table(spark, sf_dir, "orders").select(F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"), "o_orderkey")
+    first = trust.page(o, "at", "o_orderkey", None, 40)
+    kept = first.where("next_cursor is not null").select("next_cursor").first()  # one row
+    return first.unionByName(trust.page(o, "at", "o_orderkey", kept[0] if kept else None, 60))
+
+
+def _stored(spark: SparkSession, name: str) -> str:
+    return f"{scratch.shared_root(spark)}/tabulon/{name}-{uuid.uuid4().hex}"
+
+
+def blob_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as objects: stored, some put again, some folders deleted; a range of each of those left, with its SHA-256."""
+    d = _table(spark, sf_dir, "documents").where("text is not null")
+    key = F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string"), F.lit("/"), F.col("doc_id").cast("string"))
+    path = _stored(spark, "blobs")
+    blobs.put(d.select(key.alias("key"), F.col("text").cast("binary").alias("content")), path, block=1000)
+    blobs.put(d.where("doc_id % 5 = 0").select(key.alias("key"), F.concat(F.lit("again "), "text").cast("binary").alias("content")), path, block=4096)
+    blobs.delete_prefix(spark, path, "s3/")
+    asked = d.select(key.alias("key"), (F.col("doc_id") % 90).alias("first"), F.when(F.col("doc_id") % 11 != 0, F.col("doc_id") % 90 + F.col("doc_id") % 3000).alias("last"))
+    return blobs.ranges(spark, path, asked).select("key", "first", "last", F.sha2("content", 256).alias("content_sha256"))
+
+
+def stored_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders by document: stored, some documents extracted again, some deleted, the table compacted; what is left."""
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber", F.col("l_quantity").alias("quantity"))
+    path = _stored(spark, "documents")
+    sinks.replace_documents(rows, path)
+    sinks.replace_documents(rows.where("document_id % 6 = 0 and l_linenumber % 2 = 1").withColumn("quantity", F.col("quantity") + 100), path, rows.where("document_id % 6 = 0").select("document_id"))
+    sinks.compact(spark, path)
+    sinks.delete_documents(rows.where("document_id % 10 = 1").select("document_id"), path)
+    sinks.replace_documents(rows.where("document_id % 30 = 1").limit(0), path, rows.where("document_id % 12 = 0").select("document_id"))
+    return sinks.read_documents(spark, path).groupBy("document_id").agg(F.count("*").alias("n_lines"), F.sum("quantity").alias("quantity"))
+
+
 def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
     return trust.latest(e, ["user_id"], "event_id")
@@ -439,7 +476,7 @@ def vector_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.vector_space(d)
 
 
-_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, cite_passages, pdf_lines, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
+_FUNCTIONS = (merge_counts, guided_fields, drift_assess, drift_summaries, recent_turns, answer_fold, page_blocks, record_values, vector_space, visual_lines, ocr_lines, page_layout, line_word_spans, cite_lines, dq_lineage, document_kinds, field_profile, field_topk, panel_vet, keyset_page, record_pages, blob_ranges, stored_documents, latest_version, content_dedup, coerce_number, coerce_currency, coerce_date, extract_labelled, extract_table, upsert_protected, merge_fields, trust_tally, label_similarity_pairs, propose_schema, ground_quotes, chunk_documents, cite_passages, pdf_lines, vector_topk, lexical_overlap, search_passages, event_sequence, event_resume, event_latest, batch_barrier, token_rewrite)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -484,6 +521,12 @@ _SQL = {
     "field_topk": _TALL + f"select * from (select *, {_RANKED} from (select field_key, label, count(*) as n from tall where field_key <> 'total' group by 1, 2)) where place <= 5",
     "panel_vet": _TALL + """select field_key, case when count(distinct label) < 2 then 'one row is a metric' when count(distinct label) > 30 then 'too many groups' when count(*) >= 5 and count(*) = count(distinct label) then 'an identifier' else 'fine' end as reason from tall group by 1""",
     "keyset_page": "select cast(epoch(o_orderdate) as bigint) as \"at\", o_orderkey from orders where epoch(o_orderdate) > 820454400 or (epoch(o_orderdate) = 820454400 and o_orderkey > 0) order by 1, 2 limit 26",
+    "record_pages": "with p as (select cast(epoch(o_orderdate) as bigint) as t, o_orderkey, row_number() over (order by epoch(o_orderdate), o_orderkey) as place, count(*) over () as n from orders) select t as \"at\", o_orderkey, case when place in (40, 100) and n > place then replace(replace(to_base64(encode(t || '|' || o_orderkey)), '+', '-'), '/', '_') end as next_cursor from p where place <= 100",
+    "blob_ranges": """with d as (select doc_id, 's' || doc_id % 7 || '/' || doc_id as key, hex(encode(case when doc_id % 5 = 0 then 'again ' else '' end || text)) as h, doc_id % 90 as f, case when doc_id % 11 <> 0 then doc_id % 90 + doc_id % 3000 end as l from documents where text is not null and doc_id % 7 <> 3),
+e as (select key, h, length(h) // 2 - 1 as fin, greatest(least(f, length(h) // 2 - 1), 0) as "first", l from d),
+r as (select key, h, "first", case when fin < 0 then fin else greatest(least(coalesce(l, fin), fin), "first") end as "last" from e)
+select key, "first", "last", sha256(unhex(substr(h, (2 * "first" + 1)::bigint, (2 * ("last" - "first" + 1))::bigint))) as content_sha256 from r""",
+    "stored_documents": "select l_orderkey as document_id, count(*) as n_lines, sum(case when l_orderkey % 6 = 0 then l_quantity + 100 else l_quantity end) as quantity from lineitem where l_orderkey % 10 <> 1 and l_orderkey % 12 <> 0 and (l_orderkey % 6 <> 0 or l_linenumber % 2 = 1) group by 1",
     "latest_version": "select user_id, event_id, event_type, value from events qualify row_number() over (partition by user_id order by event_id desc) = 1",
     "content_dedup": "select sha256(text) as content_hash, min(doc_id) as doc_id, count(*) as copies from documents where text is not null group by 1",
     "coerce_number": "select o_orderkey as k, case o_orderkey % 4 when 3 then null when 2 then -round(o_totalprice, 2) else round(o_totalprice, 2) end as n, case o_orderkey % 4 when 0 then 'exact' when 3 then 'failed' when 2 then 'normalised' else case when o_totalprice >= 1000 then 'normalised' else 'exact' end end as how from orders",

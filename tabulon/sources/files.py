@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import datetime as dt
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -30,7 +31,7 @@ class SourceError(ValueError):
 
 def decode(data: bytes) -> str | None:
     """Text by its mark, else UTF-8, else cp1252; None for what looks binary."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
+    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe\0\0", "utf-32"), (b"\0\0\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
         if data.startswith(mark):
             return data.decode(name, errors="replace")
     if b"\0" in data[:4096]:
@@ -58,12 +59,19 @@ def is_table(text: str) -> bool:
     return len(lines) >= 2 and len(widths) == 1 and widths.pop() >= 2
 
 
+def _entries(head: bytes) -> list[bytes]:
+    """Names of the zip entries that begin in the first bytes of a file."""
+    found = re.finditer(rb"PK\x03\x04.{22}(..)..", head, re.DOTALL)
+    return [head[m.end() : m.end() + int.from_bytes(m[1], "little")] for m in found]
+
+
 def sniff(head: bytes, name: str) -> tuple[str | None, bool]:
     """(format, whether the name says otherwise); the content decides."""
     said = EXTENSIONS.get(name.rsplit(".", 1)[-1].lower()) if "." in name else None
     kind = next((k for m, k in MAGIC.items() if head.startswith(m)), None)
     if kind is None and head.startswith(b"PK\x03\x04"):
-        kind = "docx" if b"word/" in head else "xlsx" if b"xl/" in head else None
+        names = _entries(head)
+        kind = next((k for folder, k in ((b"word/", "docx"), (b"xl/", "xlsx")) if any(n.startswith(folder) for n in names)), None)
         return kind, kind != said
     if kind is None and (text := decode(head)) is not None:
         kind = "csv" if is_table(text) else "text"
@@ -75,28 +83,35 @@ def show_cell(value: object) -> str:
     if value is None:
         return ""
     if isinstance(value, dt.datetime):
-        return value.date().isoformat() if value.time() == dt.time() else value.isoformat(sep=" ")
+        return value.date().isoformat() if value.time() == dt.time() else value.isoformat(sep=" ", timespec="minutes")
     if isinstance(value, float) and value.is_integer():
         return str(int(value))
     return re.sub(r"\s+", " ", str(value)).strip()
 
 
-def _table_lines(rows: list[list[str]], sheet: str) -> list[tuple[str, str]]:
+def _table_lines(rows: list[list[str]], sheet: str, more: bool = False) -> list[tuple[str | None, str]]:
+    """Lines of a sheet's first rows and columns. more: the sheet goes on; a last line without text says what wasn't read."""
+    more = more or any(any(r) for r in rows[ROWS:])
+    wider = any(any(r[COLUMNS:]) for r in rows[:ROWS])
     rows = [r[:COLUMNS] for r in rows[:ROWS]]
     while rows and not any(rows[-1]):
         rows.pop()
     wide = max((i + 1 for r in rows for i, c in enumerate(r) if c), default=0)
-    return [(" | ".join((r + [""] * wide)[:wide]), f"{sheet}!row {k}") for k, r in enumerate(rows, 1) if any(r)]
+    lines: list[tuple[str | None, str]] = [(" | ".join((r + [""] * wide)[:wide]), f"{sheet}!row {k}") for k, r in enumerate(rows, 1) if any(r)]
+    cut = [f"{ROWS} rows"] * more + [f"{COLUMNS} columns"] * wider
+    return lines + [(None, f"only the first {' and '.join(cut)} of {sheet} were read")] * bool(cut)
 
 
-def read_text(data: bytes) -> list[tuple[str, str]]:
+def read_text(data: bytes) -> list[tuple[str | None, str]]:
     text = decode(data)
     if text is None:
         raise SourceError("not a text file")
-    return [(line, f"line {k}") for k, line in enumerate(re.split("\r?\n", text)[:LINES], 1) if line.strip()]
+    lines = re.split("\r?\n", text)
+    cut = any(line.strip() for line in lines[LINES:])
+    return [(line, f"line {k}") for k, line in enumerate(lines[:LINES], 1) if line.strip()] + [(None, f"only the first {LINES} lines were read")] * cut
 
 
-def read_csv(data: bytes) -> list[tuple[str, str]]:
+def read_csv(data: bytes) -> list[tuple[str | None, str]]:
     text = decode(data)
     if text is None:
         raise SourceError("not a text file")
@@ -111,37 +126,89 @@ _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
 
-def read_xlsx(data: bytes) -> list[tuple[str, str]]:
-    """Stored values of every sheet."""
+_LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+# The number formats of the standard that are dates or times.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _shows_date(code: str) -> bool:
+    """Whether a number format has a part of a date or time outside quotes, escapes and brackets (but for elapsed time, as in [h])."""
+    return re.search(r"[dmyhs]", re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?![hms]+\])[^\]]*\]', "", code.lower().partition(";")[0])) is not None
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId", -1)): _shows_date(f.get("formatCode", "")) for f in styles.iter(f"{_MAIN}numFmt")}
+    used = [int(x.get("numFmtId", 0)) for x in styles.findall(f"{_MAIN}cellXfs/{_MAIN}xf")]
+    return {i for i, n in enumerate(used) if own.get(n, n in DATE_FORMATS)}
+
+
+def _sheets(z: zipfile.ZipFile, book: ElementTree.Element) -> list[tuple[str, str]]:
+    """(name, file) of the sheets in the order of the workbook, by its relationships; where it has none, by the numbers in the files' names."""
+    if "xl/_rels/workbook.xml.rels" not in z.namelist():
+        numbered = sorted((int(m[1]), m[0]) for n in z.namelist() if (m := re.fullmatch(r"xl/worksheets/sheet(\d+)\.xml", n)))
+        return [(s.get("name", ""), file) for s, (_, file) in zip(book.iter(f"{_MAIN}sheet"), numbered, strict=False)]
+    links = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
+    targets = [(s.get("name", ""), links.get(s.get(_LINK), "")) for s in book.iter(f"{_MAIN}sheet")]
+    files_of = [(name, t[1:] if t.startswith("/") else posixpath.normpath(f"xl/{t}")) for name, t in targets]
+    return [(name, file) for name, file in files_of if file in z.namelist() and "/chartsheets/" not in file]
+
+
+def _cell(c: ElementTree.Element, shared: list[str], dates: set[int], start: dt.datetime) -> str:
+    kind, raw = c.get("t", "n"), c.findtext(f"{_MAIN}v")
+    if kind == "inlineStr":
+        return show_cell("".join(t.text or "" for t in c.iter(f"{_MAIN}t")))
+    if not raw:
+        return ""
+    if kind == "s":
+        return show_cell(shared[int(raw)])
+    if kind == "b":
+        return str(raw == "1")
+    if kind != "n":
+        return show_cell(raw)
+    number = float(raw)
+    if int(c.get("s", 0)) not in dates:
+        return show_cell(number)
+    try:
+        moment = start + dt.timedelta(days=number + (start.year == 1899 and number < 60))  # its calendar has a day too many, 29 February 1900
+    except OverflowError:
+        return show_cell(number)
+    moment = (moment + dt.timedelta(microseconds=500_000)).replace(microsecond=0)
+    return show_cell(moment) if number >= 1 else moment.time().isoformat()
+
+
+def read_xlsx(data: bytes) -> list[tuple[str | None, str]]:
+    """Stored values of every sheet; numbers in a date format are dates."""
     try:
         z = zipfile.ZipFile(io.BytesIO(data))
         book = ElementTree.fromstring(z.read("xl/workbook.xml"))
+        sheets, dates = _sheets(z, book), _date_styles(z)
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as e:
         raise SourceError("not a readable workbook") from e
     shared = []
     if "xl/sharedStrings.xml" in z.namelist():
         shared = ["".join(t.text or "" for t in s.iter(f"{_MAIN}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
-    names = [s.get("name", "") for s in book.iter(f"{_MAIN}sheet")]
-    files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
+    from_1904 = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_MAIN}workbookPr"))
+    start = dt.datetime(1904, 1, 1) if from_1904 else dt.datetime(1899, 12, 30)
     out = []
-    for name, file in zip(names, files, strict=False):
+    for name, file in sheets:
         rows: list[list[str]] = []
+        more = False
         for row in ElementTree.fromstring(z.read(file)).iter(f"{_MAIN}row"):
             number = int(row.get("r", len(rows) + 1))
             if number > ROWS:
-                break
+                more = more or any(_cell(c, shared, dates, start) for c in row.iter(f"{_MAIN}c"))
+                continue
             rows += [[] for _ in range(number - len(rows))]
             for c in row.iter(f"{_MAIN}c"):
-                letters = re.match(r"[A-Z]+", c.get("r", "A1"))[0]
-                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters))) - 1
-                raw = c.findtext(f"{_MAIN}v")
-                value: object = shared[int(raw)] if c.get("t") == "s" and raw else "".join(t.text or "" for t in c.iter(f"{_MAIN}t")) if c.get("t") == "inlineStr" else raw
-                if c.get("t") in (None, "n") and raw:
-                    value = float(raw)
-                if at < COLUMNS:
-                    rows[-1] += [""] * (at + 1 - len(rows[-1]))
-                    rows[-1][at] = show_cell(value)
-        out += _table_lines(rows, name)
+                letters = re.match(r"[A-Z]+", c.get("r", ""))
+                at = sum((ord(x) - 64) * 26**k for k, x in enumerate(reversed(letters[0]))) - 1 if letters else len(rows[-1])
+                rows[-1] += [""] * (at + 1 - len(rows[-1]))
+                rows[-1][at] = _cell(c, shared, dates, start)
+        out += _table_lines(rows, name, more)
     return out
 
 
@@ -187,7 +254,7 @@ def _absent(what: str) -> Callable[[bytes], list[tuple[str, str]]]:
 
 
 #: Readers by format; others can be put in.
-READERS: dict[str, Callable[[bytes], list[tuple[str, str]]]] = {"text": read_text, "csv": read_csv, "xlsx": read_xlsx, "docx": read_docx, "pdf": read_pdf, "image": _absent("text in images")}
+READERS: dict[str, Callable[[bytes], list[tuple[str | None, str]]]] = {"text": read_text, "csv": read_csv, "xlsx": read_xlsx, "docx": read_docx, "pdf": read_pdf, "image": _absent("text in images")}
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
@@ -198,7 +265,10 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse(found: DataFrame) -> DataFrame:
-    """(filename, content_hash, source_format, mismatch, line_no, text, locator, error); a file that fails is one row with its error."""
+    """(filename, content_hash, source_format, mismatch, line_no, text, locator, error); a file that fails is one row with its error.
+
+    A file of which a part wasn't read, as it has more rows, columns or lines than are taken, ends with a row that says so in `error`.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -208,7 +278,8 @@ def parse(found: DataFrame) -> DataFrame:
                 try:
                     if kind is None:
                         raise SourceError("unknown format")
-                    rows += [(r.filename, r.content_hash, kind, mismatch, k, text, where, None) for k, (text, where) in enumerate(READERS[kind](bytes(r.content)), 1)]
+                    for k, (text, where) in enumerate(READERS[kind](bytes(r.content)), 1):
+                        rows.append((r.filename, r.content_hash, kind, mismatch, *((None, None, None, where) if text is None else (k, text, where, None))))
                 except SourceError as e:
                     rows.append((r.filename, r.content_hash, kind, mismatch, None, None, None, str(e)))
             yield pd.DataFrame(rows, columns=["filename", "content_hash", "source_format", "mismatch", "line_no", "text", "locator", "error"]).astype({"line_no": "Int32"})
