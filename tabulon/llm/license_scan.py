@@ -12,8 +12,8 @@ from .store import Scratch
 SIZE, BANDS, LEAST = 5, 3, 0.8
 #: Shingles of the longest window; shorter templates have windows of a lesser power of two.
 WINDOW = 16
-#: Template keys that are sent to every executor; beyond, windows and keys meet by a shuffle.
-BROADCAST_KEYS = 1_000_000
+#: Rows of 24 bytes, a template's key each, and bytes of templates' shingles that are sent to every executor; beyond, they meet by a shuffle.
+BROADCAST_KEYS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
 def template_table(spark: SparkSession, texts=TEXTS) -> DataFrame:
@@ -81,7 +81,7 @@ def _minima(rows: DataFrame, windows: set[int], step: int, *keep: str) -> tuple[
     return rows, [(n, w, by) for n, w, by in arrays if w in windows and int(n.split("_")[1]) < _bands(w)]
 
 
-def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: DataFrame | None = None, least: float = LEAST, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """One row per document and template found: doc_id, template, containment, first_word.
 
     `templates` (template, text) are whole notices; the default ones are TEXTS. A text is cut into overlapping windows of W shingles
@@ -94,7 +94,8 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     At each collision, the share of the template's shingles in the stretch of its length on both sides is computed exactly; the best of
     at least `least` is returned with the first window that led to it. A hit carries that stretch alone, so texts of many notices stay
-    linear. Template keys are broadcast up to BROADCAST_KEYS of them. Built-in functions only.
+    linear. Template keys hold no shingles; they are broadcast up to `broadcast_keys` of them, and the shingles, once a template, up to
+    BROADCAST_BYTES. Beyond, a window is shuffled as its place and key alone, and what it met goes back to its text. Built-in functions only.
 
     A null or wordless text has no row, nor has a null or wordless template; a null doc_id is reported as null; repeated rows are
     reported once; templates that repeat a name count each. Other columns are ignored.
@@ -118,27 +119,38 @@ def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     scratch = Scratch(spark, "licenses")
     known, arrays = prepared(named, 0, "template", "words")
-    known = scratch.keep(known, "templates")
-    tables = []
+    known = scratch.keep(known.withColumn("no", F.monotonically_increasing_id()), "templates")
+    tables, owns = [], []
     for name, whole, window, _ in arrays:
         n = F.size(whole)
         fits = (F.least(F.col("words"), F.lit(SIZE)) == int(whole[1:])) & (n >= (1 if window == 1 else 3 * window // 2 - 1)) & (F.lit(True) if window == WINDOW else n < max(2, 3 * window - 1))
-        tables.append(known.where(fits).select("template", F.array_distinct(whole).alias("own"), F.lit(int(whole[1:])).alias("size"), F.explode(name).alias("key")))
-    keys = tables[0]
+        tables.append(known.where(fits).select("no", F.lit(int(whole[1:])).alias("size"), F.size(F.array_distinct(whole)).alias("n_own"), F.explode(name).alias("key")))
+    for k in sizes:
+        owns.append(known.where(F.least(F.col("words"), F.lit(SIZE)) == k).select("no", "template", F.array_distinct(f"s{k}").alias("own")))
+    keys, own = tables[0], owns[0]
     for t in tables[1:]:
         keys = keys.unionByName(t)
-    keys = scratch.keep(keys.distinct(), "keys")
-    keys = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    for t in owns[1:]:
+        own = own.unionByName(t)
+    keys, own = scratch.keep(keys.distinct(), "keys"), scratch.keep(own, "own")
+    few = keys.count() <= broadcast_keys
+    if (own.agg(F.sum(8 * F.size("own") + F.octet_length("template") + 64)).first()[0] or 0) <= BROADCAST_BYTES:
+        own = F.broadcast(own)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows, arrays = prepared(rows, 1, "doc_id")
+    rows, at = (rows, []) if few else (scratch.keep(rows.withColumn("at", F.monotonically_increasing_id()), "rows"), ["at"])
+    rows, arrays = prepared(rows, 1, "doc_id", *at)
     ends = [" + ".join(f"size({name})" for name, *_ in arrays[: k + 1]) for k in range(len(arrays))]
-    rows = _settled(rows.select("doc_id", *shingles, F.concat(*[name for name, *_ in arrays]).alias("keys"), F.array(*[F.expr(e) for e in ends]).alias("ends")), "doc_id", *shingles, "keys", "ends")
-    met = rows.select("doc_id", *shingles, "ends", F.posexplode("keys").alias("pos", "key")).join(keys, "key")
+    rows = _settled(rows.select("doc_id", *at, *shingles, F.concat(*[name for name, *_ in arrays]).alias("keys"), F.array(*[F.expr(e) for e in ends]).alias("ends")), "doc_id", *at, *shingles, "keys", "ends")
+    if few:
+        met = rows.select("doc_id", *shingles, "ends", F.posexplode("keys").alias("pos", "key")).join(F.broadcast(keys), "key")
+    else:
+        met = rows.select("at", F.posexplode("keys").alias("pos", "key")).join(keys, "key").join(rows.select("at", "doc_id", *shingles, "ends"), "at")
     steps = [f"when pos < ends[{k}] then (pos - {f'ends[{k - 1}]' if k else 0}) * {by}" for k, (_, _, _, by) in enumerate(arrays)]
     met = met.withColumn("i", F.expr(f"case {' '.join(steps)} end"))
     whole = "case size " + " ".join(f"when {n} then s{n}" for n in sizes) + " end"
-    around = F.expr(f"slice({whole}, greatest(i + 1 - size(own), 1), 2 * size(own) + {WINDOW})")
-    found = met.select("doc_id", "template", "i", (F.size(F.array_intersect("own", around)) / F.size("own")).cast("double").alias("containment"))
+    around = F.expr(f"slice({whole}, greatest(i + 1 - n_own, 1), 2 * n_own + {WINDOW})")
+    met = met.select("doc_id", "no", "i", around.alias("around")).join(own, "no")
+    found = met.select("doc_id", "template", "i", (F.size(F.array_intersect("own", "around")) / F.size("own")).cast("double").alias("containment"))
     found = found.where(F.col("containment") >= least)
     return found.groupBy("doc_id", "template").agg(F.max("containment").alias("containment"), F.min("i").alias("first_word"))

@@ -205,3 +205,67 @@ def read_token_files(spark: SparkSession, uri: str, shards: list[tuple[int, int]
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = spark.createDataFrame(shards, "shard long, before long").repartition(len(shards))
     return rows.mapInArrow(_read(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+def _bounds(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for number in batch.column("shard").to_pylist():
+                shard = Shard(fs, f"{folder}/part-{number}")
+                keys = shard.keys[shard.keyed]
+                if len(keys):
+                    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (number, int(keys[0]), int(keys[-1]))], names=["shard", "lo", "hi"])
+
+    return run
+
+
+def _routed(shards: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("doc_id").to_numpy()
+            first, end = np.searchsorted(hi, keys, side="left"), np.searchsorted(lo, keys, side="right")
+            n = np.maximum(end - first, 0)  # a doc_id of many rows may lie in several shards
+            place = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, n)), pa.array(shards[place])], names=["doc_id", "shard"])
+
+    return run
+
+
+def _fetch(uri: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(uri)
+        shard = number = None
+        for batch in batches:
+            asked, of = batch.column("doc_id").to_numpy(), batch.column("shard").to_numpy()
+            for a, b in zip(cuts := [0, *(np.flatnonzero(np.diff(of)) + 1).tolist()], [*cuts[1:], len(of)], strict=True):
+                if a == b:
+                    continue
+                if number != of[a]:
+                    number = int(of[a])
+                    shard = Shard(fs, f"{folder}/part-{number}")
+                for key, record in zip(asked[a:b].tolist(), shard.find(asked[a:b]).tolist(), strict=True):
+                    while 0 <= record < len(shard.keys) and shard.keyed[record] and shard.keys[record] == key:
+                        yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([number]), pa.array([record]), pa.array([shard.ids(record).astype(np.int64)])], names=["doc_id", "shard", "record", "ids"])
+                        record += 1
+
+    return run
+
+
+def lookup(keys: DataFrame, uri: str, shards: list[tuple[int, int]], *, id_col: str = "doc_id", spread: int = 8) -> DataFrame:
+    """The rows of the given doc_ids: doc_id, shard, record, ids. Keyed access: of a shard the index and the ids asked for are read, no others.
+
+    A key goes to the shard whose doc_ids lie around it (their bounds, two numbers a shard, go through the driver), finds its slot by
+    the perfect hash, and is compared by fingerprint, then by the key itself. A doc_id that no shard holds has no row, nor has null; one asked
+    for twice is answered once; one of several rows has them all. Keys of one shard are spread over `spread` tasks.
+    """
+    spark = keys.sparkSession
+    out = "doc_id long, shard long, record long, ids array<long>"
+    found = spark.createDataFrame([(n,) for n, _ in shards], "shard long").repartition(max(1, len(shards))).mapInArrow(_bounds(uri), "shard long, lo long, hi long").collect() if shards else []
+    if not found:
+        return spark.createDataFrame([], out)
+    table = np.array(sorted(tuple(r) for r in found), dtype=np.int64)
+    asked = keys.select(F.col(id_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    routed = asked.mapInArrow(_routed(table[:, 0], table[:, 1], table[:, 2]), "doc_id long, shard long")
+    dealt = routed.repartition("shard", F.pmod(F.xxhash64("doc_id"), F.lit(spread))).sortWithinPartitions("shard", "doc_id")
+    return dealt.mapInArrow(_fetch(uri), out)

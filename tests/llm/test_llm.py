@@ -349,6 +349,23 @@ def test_licenses_against_every_stretch(spark):
     assert set(got) <= set(want) and len(missed) <= 0.02 * len(want), missed
     assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
     assert license_scan.scan_licenses(docs, templates=license_scan.template_table(spark, [("none", "")])).count() == 0
+    shuffled = license_scan.scan_licenses(docs, templates=license_scan.template_table(spark, templates), broadcast_keys=0)
+    assert sorted(map(repr, shuffled.collect())) == sorted(map(repr, rows_))
+
+
+def test_licenses_at_the_least_containment(spark):
+    rnd = random.Random(8)
+    long = {name: re.sub(r"[^A-Za-z0-9]+", " ", t).split() for name, t in license_scan.TEXTS if len(t.split()) > 60}
+    rows, want = [], set()
+    for name, words in long.items():
+        for n in range(40):
+            edits = int(0.2 * (len(words) - 4)) // 5  # each spoils five shingles at most
+            at = set(rnd.sample(range(len(words)), edits))
+            rows.append((len(rows), name, " ".join(f"edit{rnd.randint(0, 999)}" if i in at else w for i, w in enumerate(words))))
+            want.add((rows[-1][0], name))
+    found = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id long, text string"))
+    got = {(r.doc_id, r.template) for r in found.collect()}
+    assert len(want & got) >= 0.95 * len(want), (len(want & got), len(want))
 
 
 def edited_words(words, edits, rnd, even=False):
