@@ -353,6 +353,22 @@ def test_licenses_against_every_stretch(spark):
     assert sorted(map(repr, shuffled.collect())) == sorted(map(repr, rows_))
 
 
+def test_lookup_by_doc_id(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    rnd, path = random.Random(3), tokenizer_path("byte_bpe_50k.json")
+    rows = [(7 * i - 300, prose(rnd.randint(0, 30), rnd)) for i in range(90)] + [(0, "x y"), (None, "no id"), (-300, None), *[(330, f"copy {i}") for i in range(60)]]
+    docs, uri = spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/ids"
+    shards = token_files.write_token_files(docs, uri, tokenizer=path, shards=5)
+    asked = [-300, 0, 1, 7, 330, 330, 323, 10**12, -(2**63), None, *range(-299, 300, 13)]
+    keys = spark.createDataFrame([(k, "?") for k in asked], "doc_id long, ids string")
+    got = sorted((r.doc_id, tuple(r.ids)) for r in token_files.lookup(keys, uri, shards).collect())
+    whole = Tokenizer.from_file(path)
+    want = sorted((d, (*whole.encode(t or "", add_special_tokens=False).ids, 2)) for d, t in rows if d is not None and d in asked)
+    assert got == want and len({d for d, _ in got}) > 6
+    assert token_files.lookup(keys.limit(0), uri, shards).count() == 0 and token_files.lookup(keys, uri, []).count() == 0
+
+
 def test_licenses_at_the_least_containment(spark):
     rnd = random.Random(8)
     long = {name: re.sub(r"[^A-Za-z0-9]+", " ", t).split() for name, t in license_scan.TEXTS if len(t.split()) > 60}
