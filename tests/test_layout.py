@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tabulon.operators import layout, retrieve
@@ -75,3 +76,28 @@ def test_nearest_in_blocks(spark):
     once = pick(retrieve.nearest(vectors, asked, 4))
     assert len(once) == 24 * 4 and pick(retrieve.nearest(vectors, asked, 4, block=5)) == once
     assert retrieve.nearest(vectors, asked.where("false"), 4).count() == 0
+
+
+class Caught:
+    """A frame of (document_id, text) that keeps what is mapped over it, so that a task's batches can be counted."""
+
+    dtypes = (("document_id", "bigint"), ("text", "string"))
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_pages_are_given_up_in_parts(monkeypatch):
+    monkeypatch.setattr(layout, "WORDS_HELD", 1000)
+    run = layout.layout_pages(Caught())
+    texts = ["word " * 300, None, "", "x " * 30_000]
+    docs = pa.RecordBatch.from_pydict({"document_id": pa.array(range(400), pa.int64()), "text": [texts[i % 4] for i in range(400)]})
+    words, pages = [], 0
+    for batch in run(iter([docs, docs.slice(0, 0)])):
+        words.append(len(batch.column("words").flatten()))
+        pages += batch.num_rows
+    assert sum(words) == 100 * 30_300 and max(words) <= 1000 + layout.LINES * layout.COLUMNS
+    assert pages > 300
