@@ -101,3 +101,15 @@ def test_pages_are_given_up_in_parts(monkeypatch):
         pages += batch.num_rows
     assert sum(words) == 100 * 30_300 and max(words) <= 1000 + layout.LINES * layout.COLUMNS
     assert pages > 300
+
+
+def test_spans_of_a_batch_in_parts(monkeypatch):
+    monkeypatch.setattr(layout, "ROWS_HELD", 3)
+    rng = random.Random(7)
+    box = lambda top: {"text": "t", "top": float(top), "bottom": float(top + rng.randint(3, 9))}
+    pages = [([box(k * rng.randint(5, 12)) for k in range(rng.randint(0, 30))], [box(k * 10) for k in range(rng.randint(0, 20))]) for _ in range(50)]
+    pages[4] = (None, None)
+    of = lambda side, c: [None if p[side] is None else [b[c] for b in p[side]] for p in pages]
+    batch = pa.RecordBatch.from_pydict({"document_id": list(range(50)), "page_index": [0] * 50, "wt": of(0, "top"), "wb": of(0, "bottom"), "lt": of(1, "top"), "lb": of(1, "bottom"), "text": of(1, "text")})
+    got = {doc: spans for doc, _, _, spans in layout.spanned(batch.slice(2))}
+    assert got == {i: layout.spans_of(w or [], n or []) for i, (w, n) in enumerate(pages) if i >= 2}
