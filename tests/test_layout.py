@@ -113,3 +113,18 @@ def test_spans_of_a_batch_in_parts(monkeypatch):
     batch = pa.RecordBatch.from_pydict({"document_id": list(range(50)), "page_index": [0] * 50, "wt": of(0, "top"), "wb": of(0, "bottom"), "lt": of(1, "top"), "lb": of(1, "bottom"), "text": of(1, "text")})
     got = {doc: spans for doc, _, _, spans in layout.spanned(batch.slice(2))}
     assert got == {i: layout.spans_of(w or [], n or []) for i, (w, n) in enumerate(pages) if i >= 2}
+
+
+def test_boxes_of_a_range_without_a_shuffle(spark):
+    rng = random.Random(11)
+    rows = []
+    for key in range(60):
+        boxes = [(rng.randint(0, 50) / 2, top := rng.randint(0, 60) / 2, 60.0, top + rng.randint(0, 5)) for _ in range(rng.randint(0, 12))]
+        rows.append((key, boxes + boxes[:2]))
+    df = spark.createDataFrame(rows, "k int, b array<struct<x0:double,top:double,x1:double,bottom:double>>")
+    got = df.select("k", layout.line_boxes(F.col("b")).alias("l")).collect()
+    assert {r.k: [tuple(b) for b in r.l] for r in got} == {k: plain_lines(b) for k, b in rows}
+    pages = df.select(F.col("k").alias("document_id"), F.lit(0).alias("page_index"), F.col("b").alias("words"))
+    chunks = df.select(F.col("k").alias("chunk_id"), F.col("k").alias("document_id"), F.lit(0).alias("page_index"), F.lit("t").alias("text"), F.lit(0).alias("word_start"), F.size("b").alias("word_end"))
+    plan = layout.cite(chunks, pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 0 and plan.count("Join") == 1  # pages meet their chunks once, no box is shuffled
