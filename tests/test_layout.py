@@ -7,6 +7,7 @@ import random
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tabulon.functions.vectors import cosine
 from tabulon.operators import layout, retrieve
 
 
@@ -128,3 +129,23 @@ def test_boxes_of_a_range_without_a_shuffle(spark):
     chunks = df.select(F.col("k").alias("chunk_id"), F.col("k").alias("document_id"), F.lit(0).alias("page_index"), F.lit("t").alias("text"), F.lit(0).alias("word_start"), F.size("b").alias("word_end"))
     plan = layout.cite(chunks, pages)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 0 and plan.count("Join") == 1  # pages meet their chunks once, no box is shuffled
+
+
+def test_nearest_of_odd_vectors(spark):
+    """As every pair by the expression: copies, lengths, nulls, zeros, negatives, extremes; and no pair is made in the plan."""
+    rng = random.Random(9)
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0], [float("nan"), 1.0, 0.0, 0.0], [float("inf"), 1.0, 0.0, 0.0], [1e-200, 0.0, 0.0, 0.0], [-1.0, -1.0, -1.0, -1.0], [1e200, 1e200, 0.0, 0.0]]
+    rows = [(i, odd[i % 10] if i % 7 == 0 else [1.0, 2.0, 3.0, 4.0] if i % 3 == 0 else [rng.uniform(-1, 1) for _ in range(4)]) for i in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    every = vectors.crossJoin(asked).select("query_id", "vec_id", cosine(F.col("embedding"), F.col("query")).alias("score"))
+    want = {}
+    for r in every.collect():
+        want.setdefault(r.query_id, []).append((-r.score, r.vec_id))
+    found = retrieve.nearest(vectors, asked, 6, block=40, part=70)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append((r.place, -r.score, r.vec_id))
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == {q: sorted(v)[:6] for q, v in want.items()}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "Join Inner" not in plan
