@@ -70,10 +70,14 @@ def classify(pairs: DataFrame, keys: list[str], t: Thresholds = Thresholds()) ->
 def observations(extracted: DataFrame) -> DataFrame:
     """Of each raw key: in how many documents, its most frequent label, and its type (ties go to the more specific)."""
     rank = F.coalesce(*[F.when(F.col("value_type") == s, F.lit(-k)) for k, s in enumerate(SPECIFICITY)])
-    types = extracted.groupBy("key", "value_type").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("value_type", F.struct("n", rank)).alias("type"))
-    labels = extracted.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("label"))
-    docs = extracted.groupBy("key").agg(F.countDistinct("document_id").alias("documents"))
-    return docs.join(labels, "key").join(types, "key")
+    # what documents say of a key is much alike, so equal ones are counted first and the rest of the work is on few rows
+    said = extracted.where("key is not null").groupBy("document_id", "key").agg(F.sort_array(F.collect_list(F.struct("label", "value_type"))).alias("said"))
+    alike = said.groupBy("key", "said").agg(F.count("document_id").alias("documents"), F.count("*").alias("n"))
+    rows = alike.select("key", "documents", "n", F.posexplode("said").alias("place", "s")).select("key", "n", "s.label", "s.value_type", F.when(F.col("place") == 0, F.col("documents")).alias("documents"))
+    counts = rows.groupingSets([["key", "label"], ["key", "value_type"], ["key"]], "key", "label", "value_type").agg(F.grouping("label").alias("no_label"), F.grouping("value_type").alias("no_type"), F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+    by = lambda c, test, order: F.max_by(c, F.when(test, order))
+    labelled, typed = F.col("no_label") == 0, F.col("no_type") == 0
+    return counts.groupBy("key").agg(F.max(F.when(~labelled & ~typed, F.col("documents"))).alias("documents"), by("label", labelled, F.struct("n", "label")).alias("label"), by("value_type", typed, F.struct(F.col("n"), rank)).alias("type"))
 
 
 @lru_cache(maxsize=1 << 16)
