@@ -38,3 +38,14 @@ def test_matches_sql(spark, duck, name):
     want = [tuple(plain(r[names.index(c)]) for c in cols) for r in found.fetchall()]
     got = [tuple(plain(x) for x in r) for r in df.select(*cols).collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_visual_lines_with_ties(spark):
+    """At sf0.1 thousands of orders have equal boxes: the SQL leaves none of them to chance."""
+    big = DATA.parent / "sf0.1"
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from read_parquet('{big}/lineitem.parquet')")
+    cols = ["l_orderkey", "line", "n_boxes", "x0", "top", "x1", "bottom"]
+    want = con.execute(f"select {', '.join(cols)} from ({core.oracle_sql()['visual_lines']})").fetchall()
+    got = [tuple(r) for r in core.queries()["visual_lines"](spark, str(big)).select(*cols).toPandas().itertuples(index=False, name=None)]
+    assert sorted(got) == sorted(want)
