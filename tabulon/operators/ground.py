@@ -54,6 +54,76 @@ def best_window(quote: str, page: str) -> tuple[float, int, int]:
     return best
 
 
+def alike(quote: str, page: str, above: float = 0.0) -> tuple[float, int, int]:
+    """As best_window for a quote that the page doesn't hold as it is, if that finds LEAST at least and more than `above`; else 0.
+
+    Each letter of the quote that a common subsequence leaves out breaks up two of its pairs of neighbours at most, each letter of the stretch
+    between them one. So a stretch with L common letters has 3 L - (both lengths) - 1 pairs of the quote at least, counted by one running
+    total; few stretches elsewhere on a page have so many, and without one the page is done.
+    """
+    n, size = len(quote), len(page)
+    codes = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    own = np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    pairs = np.isin(codes[:-1] * (1 << 21) + codes[1:], np.unique(own[:-1] * (1 << 21) + own[1:]))
+    before = np.concatenate([[0], np.cumsum(pairs)])
+    places = np.arange(1 - n, size)
+    begin, end = np.maximum(places, 0), np.minimum(places + n, size)
+    both = n + end - begin
+    most = np.minimum((before[np.maximum(end - 1, begin)] - before[begin] + both + 1) // 3, np.minimum(n, end - begin))
+    bounds = 200 * most / both
+    maybe = np.flatnonzero((bounds >= LEAST) & (bounds > above))
+    if not len(maybe):
+        return 0.0, 0, 0
+    common, masks = np.zeros(len(maybe), np.int64), {}
+    for c, k in Counter(quote).items():
+        seen = np.concatenate([[0], np.cumsum(codes == ord(c))])
+        common += np.minimum(k, seen[end[maybe]] - seen[begin[maybe]])
+        masks[c] = sum(1 << i for i, x in enumerate(quote) if x == c)
+    bounds = 200 * np.minimum(common, most[maybe]) / both[maybe]
+    best, first, full = (0.0, 0, 0), size, (1 << n) - 1
+    for j in np.argsort(-bounds, kind="stable"):
+        if bounds[j] < max(best[0], LEAST) or bounds[j] <= above:
+            break
+        i = int(maybe[j])
+        a, b, row = int(begin[i]), int(end[i]), full
+        for y in page[a:b]:
+            u = row & masks.get(y, 0)
+            row = ((row + u) | (row - u)) & full
+        ratio = 200 * (n - row.bit_count()) / (n + b - a)
+        if ratio > best[0] or (ratio == best[0] and i < first):
+            best, first = (ratio, a, b), i
+    return best if best[0] >= LEAST and best[0] > above else (0.0, 0, 0)
+
+
+def search(quote: str, pages: list[tuple[int, str]]) -> tuple[float, int | None, int, int]:
+    """(score, page, first, end letter) of the best page, of equals the first; one of ENOUGH ends the search.
+
+    A page that holds the quote as it is, is found first: a page before it counts only from ENOUGH on, which a short quote can't reach in part.
+    Only if no page has LEAST the best of what is less is looked for.
+    """
+    n = len(quote)
+    whole = next((i for i, (_, text) in enumerate(pages) if quote in text), None)
+    if whole is not None:
+        if 200 * (n - 1) / (2 * n - 1) >= ENOUGH:
+            for k, text in pages[:whole]:
+                found = alike(quote, text)
+                if found[0] >= ENOUGH:
+                    return found[0], k, found[1], found[2]
+        at = pages[whole][1].find(quote)
+        return 100.0, pages[whole][0], at, at + n
+    for way in (alike, lambda q, text, _: best_window(q, text)):
+        best: tuple = (0.0, None, 0, 0)
+        for k, text in pages:
+            s, i, j = way(quote, text, best[0]) if text else (0.0, 0, 0)
+            if s > best[0]:
+                best = (s, k, i, j)
+            if best[0] >= ENOUGH:
+                break
+        if best[0] >= LEAST:
+            break
+    return best
+
+
 def ground(fields: DataFrame, pages: DataFrame) -> DataFrame:
     """fields (document_id, field_key, quote, page_index) with pages (document_id, page_index, words array<string>).
 
@@ -78,16 +148,13 @@ def ground(fields: DataFrame, pages: DataFrame) -> DataFrame:
                 failure = "no_text_layer"
             else:
                 far = lambda k: 2 if cited is None else min(2, abs(k - cited))
-                for k, words, text in sorted(found, key=lambda x: (far(x[0]), x[0])):
-                    s, i, j = best_window(r.q, text)
-                    if s > score:
-                        score, page, at, a, b = s, k, 0, None, None
-                        for n, w in enumerate(words):
-                            if at < j and i < at + len(w):
-                                a, b = (n if a is None else a), n + 1
-                            at += len(w) + 1
-                    if score >= ENOUGH:
-                        break
+                placed = sorted(found, key=lambda x: (far(x[0]), x[0]))
+                score, page, i, j = search(r.q, [(k, text) for k, _, text in placed])
+                at = 0
+                for n, w in enumerate(next((words for k, words, _ in placed if k == page), ())):
+                    if at < j and i < at + len(w):
+                        a, b = (n if a is None else a), n + 1
+                    at += len(w) + 1
                 if score < LEAST:
                     failure = "page_out_of_range" if cited is not None and cited not in {k for k, _, _ in found} else "quote_not_found"
                     page = a = b = None

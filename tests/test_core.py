@@ -277,3 +277,25 @@ def test_a_line_is_matched_once(spark):
     assert [(r.key, r.label, r.value_text, r.value_type, r.line_no) for r in found.collect()] == [("total_due", "Total Due", "$5", "currency", 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("A-Za-z0-9 /&") <= 2 and plan.count("[^a-z0-9]+") == 1
+
+
+def test_search_of_pages_as_page_by_page():
+    """The best page by every stretch of every page, in order, for quotes that are there, edited, absent, long and repeated."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randint(1, 7)))
+    for trial in range(300):
+        pages = [(k, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(rng.randint(1, 5))]
+        held = rng.choice(pages)[1]
+        at = rng.randint(0, max(0, len(held) - 5))
+        quote = list(held[at : at + rng.choice((1, 2, 9, 30, 60, 150))] or "ab")
+        for _ in range(rng.randint(0, 1 + len(quote) // 8)):
+            quote[rng.randrange(len(quote))] = rng.choice(("", "z", "et"))
+        quote = "".join(quote).strip() or "q"
+        best = (0.0, None, 0, 0)
+        for k, text in pages:
+            s, i, j = ground.best_window(quote, text)
+            if s > best[0]:
+                best = (s, k, i, j)
+            if best[0] >= ground.ENOUGH:
+                break
+        assert ground.search(quote, pages) == best, (trial, quote, pages)
