@@ -57,12 +57,14 @@ def plan_questions(questions: DataFrame, fields: DataFrame, *, slots: bool = Fal
     field. Where the question asks for gaps, records without the first mentioned field are counted; without a measure,
     records; else the measure is summed. With `slots` the question's words also choose average, highest or lowest, and the bucket of a date.
 
-    Questions are joined with their workspace's schema, a row, so no question is compared with another workspace's fields.
+    Questions are joined with their workspace's schema, a row, so no question is compared with another workspace's fields. A text is
+    read once for each workspace that asks it, however often.
     A null question mentions nothing. A question of a workspace without fields is answerable and asks for no figure.
     """
     found = F.coalesce(F.col("passages") > 0, F.lit(True)) if "passages" in questions.columns else F.lit(True)
     text = F.lower(F.coalesce("question", F.lit("")))
-    rows = questions.select("workspace_id", "question_id", text.alias("text"), found.alias("answerable")).join(schemas(fields), "workspace_id", "left")
+    every = questions.select("workspace_id", "question_id", text.alias("text"), found.alias("answerable"))
+    rows = every.select("workspace_id", "text", "answerable").distinct().join(schemas(fields), "workspace_id", "left")
     rows = rows.withColumn("schema", F.coalesce("schema", F.array().cast(dict(schemas(fields).dtypes)["schema"]))).withColumn("asked", _words(F.col("text")))
     rows = rows.withColumn("named", F.filter("schema", lambda f: F.arrays_overlap(f["words"], "asked")))
     money, number = (lambda f: f["type"] == "currency"), (lambda f: f["type"].isin("currency", "number"))
@@ -70,7 +72,7 @@ def plan_questions(questions: DataFrame, fields: DataFrame, *, slots: bool = Fal
     group = _first(F.col("named"), lambda f: f["type"].isin("string", "enum", "date"))
     gap = F.when(_holds(F.col("text"), GAP_HINTS), F.get("named", F.lit(0)))
     figure = F.col("answerable") & (F.size("schema") > 0) & _holds(F.col("text"), FIGURE_HINTS)
-    rows = rows.select("workspace_id", "question_id", "answerable", "asked", figure.alias("figure"), measure.alias("m"), group.alias("g"), gap.alias("gap"))
+    rows = rows.select("workspace_id", "text", "answerable", "asked", figure.alias("figure"), measure.alias("m"), group.alias("g"), gap.alias("gap"))
 
     m, g, missing = F.col("m"), F.col("g"), F.col("gap").isNotNull()
     chosen, bucket = F.lit("sum"), F.lit(None).cast("string")
@@ -89,11 +91,13 @@ def plan_questions(questions: DataFrame, fields: DataFrame, *, slots: bool = Fal
     count = missing | m.isNull()
     only = lambda c: F.when(F.col("figure"), c)
     filters = F.when(missing, F.array(F.struct(F.col("gap.key").alias("field"), F.lit("missing").alias("op"), F.lit(None).cast("string").alias("value")))).otherwise(F.array().cast(FILTERS))
-    return rows.select(
-        "workspace_id", "question_id", "answerable",
+    planned = rows.select(
+        F.col("workspace_id").alias("of"), F.col("text").alias("said"), F.col("answerable").alias("found"),
         only(F.when(missing | g.isNull(), "metric").when(bucket.isNotNull(), "line").otherwise("bar")).alias("kind"), only(title).alias("title"), only(F.when(~count, m["currency_default"])).alias("unit_hint"),
         only(F.when(count, "count").otherwise(chosen)).alias("aggregate"), only(F.when(~count, m["key"])).alias("measure_field"), only(F.when(~missing, g["key"])).alias("group_by"), only(F.when(~missing, bucket)).alias("date_bucket"),
         only(filters).cast(FILTERS).alias("filters"), only(F.lit("value_desc")).alias("sort"), only(F.lit(20)).alias("limit"))
+    same = F.col("workspace_id").eqNullSafe(F.col("of")) & (F.col("text") == F.col("said")) & (F.col("answerable") == F.col("found"))
+    return every.join(planned, same).drop("text", "of", "said", "found")
 
 
 SPEC = ("aggregate", "measure_field", "group_by", "date_bucket", "filters", "sort", "limit")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import io
 import random
 import re
 import time
@@ -9,6 +11,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tabulon import queries_workspaces
 from tabulon.model import FieldSpec
 from tabulon.operators import ask, dashboard, profile
 from tabulon.plans import shared
@@ -285,3 +288,32 @@ def test_rewritten_text_does_not_depend_on_micro_batches(spark, tmp_path):
         assert "".join(r.text for r in got[m] if r.type == "token") == text
         assert [(r.n, r.text) for r in got[m] if r.type == "citation"] == cited
         assert [r.seq for r in got[m]] == list(range(1, len(got[m]) + 1))
+
+
+def test_work_of_a_row_is_no_method_too_long_for_the_jvm(spark):
+    """Methods of more than 8,000 bytes are interpreted, which makes a row some ten times slower."""
+    said = io.StringIO()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # an adaptive plan has no code before it runs
+    try:
+        with contextlib.redirect_stdout(said):
+            queries_workspaces.queries()["question_answers"](spark, "/root/testdata/sf0.001").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_text_is_planned_once_and_answers_each_question(spark):
+    """Of 4,000 questions with three texts in two workspaces, and of odd ones, each gets its own row, and few rows are planned."""
+    fields = spark.createDataFrame([("a", 0, "total", "Total", "currency", "USD", ["total"]), ("a", 1, "segment", "Segment", "string", None, ["segment"]), ("b", 0, "segment", "Segment", "string", None, ["segment"])], shared.FIELD)
+    texts = ("What is the total by segment?", "WHAT IS THE TOTAL BY SEGMENT?", "How many are missing a segment?")
+    rows = [("ab"[k % 2], k, texts[k % 3], k % 5) for k in range(4000)] + [("a", 4000, None, None), (None, 4001, texts[0], 1), ("c", 4002, texts[0], 1)]
+    asked = spark.createDataFrame(rows, "workspace_id string, question_id long, question string, passages int")
+    got = ask.plan_questions(asked, fields).collect()
+    assert sorted(r.question_id for r in got) == list(range(4003))
+    of = {r.question_id: r for r in got}
+    for w, k, text, passages in rows:
+        (alone,) = ask.plan_questions(spark.createDataFrame([(w, 0, text, passages)], asked.schema), fields).collect() if k < 30 and k % 7 == 0 or k >= 4000 else [of[k % 30]]
+        assert (of[k].answerable, of[k].aggregate, of[k].title, of[k].filters) == (alone.answerable, alone.aggregate, alone.title, alone.filters)
+    planned = ask.plan_questions(asked, fields)._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[workspace_id#\d+, text#\d+, answerable#\d+\]", planned)
