@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.labels import fold_token
+from ..functions.labels import fold_text, fold_token
 
 LEAST, ENOUGH = 85.0, 99.5
+#: Letters of pages that are searched at once, and stretches that are scored before common letters are counted.
+LETTERS_HELD, FIRST_SCORED = 1 << 17, 16
 
 
 def folded(words: str) -> F.Column:
@@ -54,45 +59,137 @@ def best_window(quote: str, page: str) -> tuple[float, int, int]:
     return best
 
 
-def alike(quote: str, page: str, above: float = 0.0) -> tuple[float, int, int]:
-    """As best_window for a quote that the page doesn't hold as it is, if that finds LEAST at least and more than `above`; else 0.
+class Stretches:
+    """The stretches of some pages, none of them empty, that a quote is compared with, and bounds of how alike they can be.
 
-    Each letter of the quote that a common subsequence leaves out breaks up two of its pairs of neighbours at most, each letter of the stretch
-    between them one. So a stretch with L common letters has 3 L - (both lengths) - 1 pairs of the quote at least, counted by one running
-    total; few stretches elsewhere on a page have so many, and without one the page is done.
+    Pages are laid out in one text, with one letter less than the quote's between them, of a kind that the quote hasn't. So every place of that
+    text is one stretch of one page, what a stretch holds is the difference of two running totals, and the order of places is that of the pages.
     """
-    n, size = len(quote), len(page)
-    codes = np.frombuffer(page.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    own = np.frombuffer(quote.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    pairs = np.isin(codes[:-1] * (1 << 21) + codes[1:], np.unique(own[:-1] * (1 << 21) + own[1:]))
-    before = np.concatenate([[0], np.cumsum(pairs)])
-    places = np.arange(1 - n, size)
-    begin, end = np.maximum(places, 0), np.minimum(places + n, size)
-    both = n + end - begin
-    most = np.minimum((before[np.maximum(end - 1, begin)] - before[begin] + both + 1) // 3, np.minimum(n, end - begin))
-    bounds = 200 * most / both
-    maybe = np.flatnonzero((bounds >= LEAST) & (bounds > above))
-    if not len(maybe):
-        return 0.0, 0, 0
-    common, masks = np.zeros(len(maybe), np.int64), {}
-    for c, k in Counter(quote).items():
-        seen = np.concatenate([[0], np.cumsum(codes == ord(c))])
-        common += np.minimum(k, seen[end[maybe]] - seen[begin[maybe]])
-        masks[c] = sum(1 << i for i, x in enumerate(quote) if x == c)
-    bounds = 200 * np.minimum(common, most[maybe]) / both[maybe]
-    best, first, full = (0.0, 0, 0), size, (1 << n) - 1
-    for j in np.argsort(-bounds, kind="stable"):
-        if bounds[j] < max(best[0], LEAST) or bounds[j] <= above:
-            break
-        i = int(maybe[j])
-        a, b, row = int(begin[i]), int(end[i]), full
-        for y in page[a:b]:
-            u = row & masks.get(y, 0)
-            row = ((row + u) | (row - u)) & full
-        ratio = 200 * (n - row.bit_count()) / (n + b - a)
-        if ratio > best[0] or (ratio == best[0] and i < first):
-            best, first = (ratio, a, b), i
-    return best if best[0] >= LEAST and best[0] > above else (0.0, 0, 0)
+
+    def __init__(self, quote: str, pages: list[str]) -> None:
+        self.quote, n = quote, len(quote)
+        gap = next(c for c in map(chr, range(n + 1)) if c not in quote) * (n - 1)
+        self.text = gap.join(["", *pages, ""])
+        codes, own = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (self.text, quote))
+        letters = np.unique(own)
+        number = np.zeros(max(int(codes.max(initial=0)), int(letters[-1])) + 1, np.int32)
+        number[letters] = np.arange(1, len(letters) + 1)
+        self.ids, self.own = number[codes], number[own]
+        sizes = np.array([len(p) for p in pages])
+        self.ends = np.cumsum(sizes + n - 1)
+        self.begins = self.ends - sizes
+        edge = np.zeros(len(codes) + 1, np.int32)
+        edge[self.begins] += 1
+        edge[self.ends] -= 1
+        self.sizes = self._within(np.cumsum(edge[:-1], dtype=np.int32), n)
+        self.both = self.sizes + n
+
+    @staticmethod
+    def _within(counts: np.ndarray, n: int) -> np.ndarray:
+        """What is counted in each n neighbours."""
+        total = np.zeros(len(counts) + 1, np.int32)
+        np.cumsum(counts, out=total[1:])
+        return total[n:] - total[: len(total) - n]
+
+    def by_pairs(self) -> np.ndarray:
+        """The most letters that each stretch can have in common with the quote, by pairs of neighbours.
+
+        Each letter of the quote that a common subsequence leaves out breaks up two of its pairs of neighbours at most, each letter of the stretch
+        between them one. So a stretch with L common letters has 3 L - (both lengths) - 1 pairs of the quote at least; few stretches elsewhere on
+        a page have so many.
+        """
+        base = int(self.own.max()) + 1
+        held = np.zeros(base * base, np.uint8)
+        held[self.own[:-1] * base + self.own[1:]] = 1
+        pairs = self._within(held[self.ids[:-1] * base + self.ids[1:]], len(self.quote) - 1)
+        return np.minimum((pairs + self.both + 1) // 3, self.sizes)
+
+    def by_letters(self) -> np.ndarray:
+        """The same by how often each letter occurs."""
+        common = np.zeros(len(self.both), np.int32)
+        for k, times in enumerate(np.bincount(self.own)):
+            if times:
+                common += np.minimum(times, self._within(self.ids == k, len(self.quote)))
+        return common
+
+    def score(self, places: np.ndarray, bounds: np.ndarray, least: float, found: list[tuple[float, int]]) -> None:
+        """Adds (ratio, place) to `found`, from the highest bound on, as long as a bound reaches `least` and the best ratio so far; of equals the first place counts."""
+        n, masks, full = len(self.quote), {}, (1 << len(self.quote)) - 1
+        for i, x in enumerate(self.quote):
+            masks[x] = masks.get(x, 0) | 1 << i
+        begins, ends = self.begins.tolist(), self.ends.tolist()
+        top, first = max(found, key=lambda x: (x[0], -x[1]), default=(0.0, 0))
+        order = np.argsort(-bounds, kind="stable")
+        for place, bound in zip(places[order].tolist(), bounds[order].tolist(), strict=True):
+            if bound < max(least, min(top, ENOUGH)):
+                break
+            if bound <= top and place > first:
+                continue
+            page = bisect_right(ends, place)
+            stretch, row = self.text[max(place, begins[page]) : min(place + n, ends[page])], full
+            for y in stretch:  # the zeros of row count the longest common subsequence
+                u = row & masks.get(y, 0)
+                row = ((row + u) | (row - u)) & full
+            ratio = 200 * (n - row.bit_count()) / (n + len(stretch))
+            found.append((ratio, place))
+            if ratio > top or (ratio == top and place < first):
+                top, first = ratio, place
+
+    def best(self, found: list[tuple[float, int]]) -> tuple[float, int, int, int]:
+        """(ratio, page, first, end letter) as page by page: the first page that has ENOUGH, else the first of the best."""
+        enough = [place for ratio, place in found if ratio >= ENOUGH]
+        if enough:
+            last = self.ends[bisect_right(self.ends, min(enough))]
+            found = [x for x in found if x[1] < last]
+        ratio, place = max(found, key=lambda x: (x[0], -x[1]), default=(0.0, 0))
+        if not ratio:
+            return 0.0, 0, 0, 0
+        page = bisect_right(self.ends, place)
+        begin, end = int(self.begins[page]), int(self.ends[page])
+        return ratio, page, max(place - begin, 0), min(place + len(self.quote), end) - begin
+
+
+def alike(quote: str, pages: list[str], above: float = 0.0) -> tuple[float, int, int, int]:
+    """(ratio, page, first, end letter) as best_window finds it page by page, if that is LEAST at least and more than `above`; else 0. No page holds the quote as it is."""
+    held, found, least = Stretches(quote, pages), [], max(LEAST, above)
+    most = held.by_pairs()
+    maybe = np.flatnonzero((200 * most >= LEAST * held.both) & (200 * most > above * held.both))
+    bounds = 200 * most[maybe] / held.both[maybe]
+    if len(maybe) > FIRST_SCORED:
+        some = np.argsort(-bounds, kind="stable")[:FIRST_SCORED]
+        held.score(maybe[some], bounds[some], least, found)
+        rest = bounds >= max(least, min(max((s for s, _ in found), default=0.0), ENOUGH))
+        rest[some] = False
+        maybe = maybe[rest]
+        bounds = 200 * np.minimum(most, held.by_letters())[maybe] / held.both[maybe] if len(maybe) else bounds[rest]
+    held.score(maybe, bounds, least, found)
+    best = held.best(found)
+    return best if best[0] >= LEAST and best[0] > above else (0.0, 0, 0, 0)
+
+
+def less_alike(quote: str, pages: list[str], above: float = 0.0) -> tuple[float, int, int, int]:
+    """The same where no page has LEAST: of what best_window scores, since its letters could reach LEAST, the best, if that is more than `above`."""
+    held, found = Stretches(quote, pages), []
+    common = held.by_letters()
+    maybe = np.flatnonzero(200 * common >= LEAST * held.both)
+    bounds = 200 * np.minimum(common, held.by_pairs())[maybe] / held.both[maybe]
+    held.score(maybe, bounds, above, found)
+    best = held.best(found)
+    return best if best[0] > above else (0.0, 0, 0, 0)
+
+
+def runs(pages: list[str], gap: int) -> Iterator[tuple[int, list[str]]]:
+    """Neighbouring pages, of LETTERS_HELD letters with gaps or one page, with the number of the first; empty ones end a run and are left out."""
+    held, letters = [], 0
+    for i, text in enumerate(pages):
+        if held and (not text or letters + len(text) + gap > LETTERS_HELD):
+            yield i - len(held), held
+            held, letters = [], 0
+        if text:
+            held.append(text)
+            letters += len(text) + gap
+    if held:
+        yield len(pages) - len(held), held
 
 
 def search(quote: str, pages: list[tuple[int, str]]) -> tuple[float, int | None, int, int]:
@@ -101,22 +198,22 @@ def search(quote: str, pages: list[tuple[int, str]]) -> tuple[float, int | None,
     A page that holds the quote as it is, is found first: a page before it counts only from ENOUGH on, which a short quote can't reach in part.
     Only if no page has LEAST the best of what is less is looked for.
     """
-    n = len(quote)
-    whole = next((i for i, (_, text) in enumerate(pages) if quote in text), None)
+    n, texts = len(quote), [text for _, text in pages]
+    whole = next((i for i, text in enumerate(texts) if quote in text), None)
     if whole is not None:
         if 200 * (n - 1) / (2 * n - 1) >= ENOUGH:
-            for k, text in pages[:whole]:
-                found = alike(quote, text)
-                if found[0] >= ENOUGH:
-                    return found[0], k, found[1], found[2]
-        at = pages[whole][1].find(quote)
+            for i, some in runs(texts[:whole], n):
+                score, k, a, b = alike(quote, some)
+                if score >= ENOUGH:
+                    return score, pages[i + k][0], a, b
+        at = texts[whole].find(quote)
         return 100.0, pages[whole][0], at, at + n
-    for way in (alike, lambda q, text, _: best_window(q, text)):
+    for way in (alike, less_alike):
         best: tuple = (0.0, None, 0, 0)
-        for k, text in pages:
-            s, i, j = way(quote, text, best[0]) if text else (0.0, 0, 0)
-            if s > best[0]:
-                best = (s, k, i, j)
+        for i, some in runs(texts, n):
+            score, k, a, b = way(quote, some, best[0])
+            if score > best[0]:
+                best = (score, pages[i + k][0], a, b)
             if best[0] >= ENOUGH:
                 break
         if best[0] >= LEAST:
@@ -124,42 +221,72 @@ def search(quote: str, pages: list[tuple[int, str]]) -> tuple[float, int | None,
     return best
 
 
+def words_of(text: str, lengths: list[int] | None, first: int, end: int) -> tuple[int | None, int | None]:
+    """First and end word of letters of a page; its words are parted by blanks, or have these lengths."""
+    if lengths is None:
+        a, b = text.count(" ", 0, first + 1), text.count(" ", 0, max(end - 1, 0)) + 1
+        return (a, b) if a < b else (None, None)
+    a = b = None
+    at = 0
+    for k, length in enumerate(lengths):
+        if at < end and first < at + length:
+            a, b = (k if a is None else a), k + 1
+        at += length + 1
+    return a, b
+
+
+def grounded(quote: str, cited: int | None, pages: list[tuple[float, str, list[int] | None]]) -> tuple:
+    """match_score, match_page, word_start, word_end and failure of a folded quote."""
+    if not quote:
+        return 0.0, None, None, None, "no_quote"
+    if not any(text for _, text, _ in pages):
+        return 0.0, None, None, None, "no_text_layer"
+    far = lambda k: 2 if cited is None else min(2, abs(k - cited))
+    placed = sorted(pages, key=lambda x: (far(x[0]), x[0]))
+    score, at, i, j = search(quote, [(k, text) for k, (_, text, _) in enumerate(placed)])
+    if score < LEAST:
+        return round(score, 1), None, None, None, "page_out_of_range" if cited is not None and cited not in {k for k, _, _ in pages} else "quote_not_found"
+    page, text, lengths = placed[at]
+    return round(score, 1), None if page == math.inf else page, *words_of(text, lengths, i, j), None
+
+
 def ground(fields: DataFrame, pages: DataFrame) -> DataFrame:
     """fields (document_id, field_key, quote, page_index) with pages (document_id, page_index, words array<string>).
 
     Adds match_score (one decimal), match_page, word_start, word_end and failure. The cited page comes first, then its neighbours, then
-    the rest; a page replaces the best so far only if it is strictly better, and a full match ends the search. A document's quotes and
-    pages meet in one group, each once; a document has some dozen fields.
+    the rest; a page replaces the best so far only if it is strictly better, and a full match ends the search. Rows of a document, pages first,
+    stand together in one task, which reads them in batches and holds the pages of one document; a document has some dozen fields.
     """
-    sheets = pages.select("document_id", "page_index", folded("words").alias("w"))
-    said = F.array_join(F.filter(F.transform(F.split(F.coalesce("quote", F.lit("")), r"\s+"), lambda w: fold_token(w)), lambda w: w != ""), " ")
-    plain = fields.select("document_id", "field_key", "page_index", said.alias("q"))
-    columns = ["document_id", "field_key", "match_score", "match_page", "word_start", "word_end", "failure"]
-
-    def run(quotes: pd.DataFrame, of: pd.DataFrame) -> pd.DataFrame:
-        found = [(k, list(w), " ".join(w)) for k, w in zip(of["page_index"], of["w"], strict=True)]
-        out = []
-        for r in quotes.itertuples():
-            cited = None if pd.isna(r.page_index) else int(r.page_index)
-            score, page, a, b, failure = 0.0, None, None, None, None
-            if not r.q:
-                failure = "no_quote"
-            elif not any(w for _, w, _ in found):
-                failure = "no_text_layer"
-            else:
-                far = lambda k: 2 if cited is None else min(2, abs(k - cited))
-                placed = sorted(found, key=lambda x: (far(x[0]), x[0]))
-                score, page, i, j = search(r.q, [(k, text) for k, _, text in placed])
-                at = 0
-                for n, w in enumerate(next((words for k, words, _ in placed if k == page), ())):
-                    if at < j and i < at + len(w):
-                        a, b = (n if a is None else a), n + 1
-                    at += len(w) + 1
-                if score < LEAST:
-                    failure = "page_out_of_range" if cited is not None and cited not in {k for k, _, _ in found} else "quote_not_found"
-                    page = a = b = None
-            out.append((r.document_id, r.field_key, round(score, 1), page, a, b, failure))
-        return pd.DataFrame(out, columns=columns).astype({"match_page": "Int32", "word_start": "Int32", "word_end": "Int32"})
-
     kind = dict(fields.dtypes)["document_id"]
-    return plain.groupBy("document_id").cogroup(sheets.groupBy("document_id")).applyInPandas(run, f"document_id {kind}, field_key string, match_score double, match_page int, word_start int, word_end int, failure string")
+    plain = F.array_join("words", " ")
+    odd = F.exists("words", lambda w: F.contains(w, F.lit(" ")))  # a word of its own with a blank in it
+    sheets = pages.select(
+        "document_id", F.lit(False).alias("is_quote"), F.lit(None).cast("string").alias("field_key"), F.col("page_index").cast("int").alias("page_index"),
+        F.when(odd, F.array_join(folded("words"), " ")).otherwise(F.coalesce(fold_text(plain), F.lit(""))).alias("text"),
+        F.when(odd, F.transform(folded("words"), lambda w: F.length(w))).alias("lengths"),
+    )
+    quotes = fields.select(
+        "document_id", F.lit(True).alias("is_quote"), "field_key", F.col("page_index").cast("int").alias("page_index"),
+        fold_text(F.regexp_replace(F.coalesce("quote", F.lit("")), r"\s+", " ")).alias("text"), F.lit(None).cast("array<int>").alias("lengths"),
+    )
+    kinds = {"match_score": pa.float64(), "match_page": pa.int32(), "word_start": pa.int32(), "word_end": pa.int32(), "failure": pa.string()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, held = None, []
+        for batch in batches:
+            found = []
+            columns = (batch.column(c).to_pylist() for c in ("document_id", "is_quote", "page_index", "text", "lengths"))
+            for d, is_quote, k, text, lengths in zip(*columns, strict=True):
+                if d != document:
+                    document, held = d, []
+                if is_quote:
+                    found.append(grounded(text, k, held))
+                else:
+                    held.append((math.inf if k is None else k, text, lengths))
+            asked = batch.filter(batch.column("is_quote"))
+            results = list(zip(*found, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [asked.column("document_id"), asked.column("field_key"), *[pa.array(r, t) for r, t in zip(results, kinds.values(), strict=True)]], ["document_id", "field_key", *kinds])
+
+    dealt = sheets.unionByName(quotes).repartition("document_id").sortWithinPartitions("document_id", "is_quote")
+    return dealt.mapInArrow(run, f"document_id {kind}, field_key string, match_score double, match_page int, word_start int, word_end int, failure string")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabulon import model, spec
 from tabulon.functions import values as V
 from tabulon.functions.exprs import bucket_of, label_of, matches, plain_number
-from tabulon.functions.labels import fold_for_similarity, fold_label, indel_ratio, slug
+from tabulon.functions.labels import fold_for_similarity, fold_label, fold_text, fold_token, indel_ratio, slug
 from tabulon.operators import extract, ground, resolve, retrieve
 from tabulon.sources import files
 from tabulon.streaming.events import Rewriter
@@ -299,3 +299,83 @@ def test_search_of_pages_as_page_by_page():
             if best[0] >= ground.ENOUGH:
                 break
         assert ground.search(quote, pages) == best, (trial, quote, pages)
+
+
+def test_a_text_is_folded_as_its_words(spark):
+    """In whole as word by word, for marks, numbers, letters of several scripts and words of which nothing is left."""
+    rng = random.Random(11)
+    odd = ["$1,234.50", "1,234,567", "1,2345", "--a--b--", "%", "5%", "(5%)", "%-", "a%-", "--%", "«Ж»", "ΟΔΟΣ", "İs", "٣,٢٢٢", "12,345é", "x́,", "1,234́", "€€", "a- ", "\x85b", "_x_", "😀a😀", "½", "…", "'", "a\tb\n", " q ", "ΑΣ'", "1,234_", "𝒜", "𝒜.", "-𝒜😀-", "😀-", "😀-𝒜"]
+    signs = "aZ1,.%$€-_ éΣ½́😀𝒜"
+    texts = [" ".join(rng.choice(odd) for _ in range(rng.randint(0, 6))) for _ in range(400)] + ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(2000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    by_word = F.array_join(F.filter(F.transform(F.split("t", " "), lambda w: fold_token(w)), lambda w: w != ""), " ")
+    assert rows.select("t", fold_text(F.col("t")).alias("whole"), by_word.alias("words")).where("whole <> words").collect() == []
+
+
+def test_quotes_of_many_documents_share_batches(spark):
+    """As page by page, where documents begin and end inside batches; a word may hold a blank, a page no words, a document no pages."""
+    rng = random.Random(12)
+    word = lambda: rng.choice(("", "..", "Total", "a b", *["".join(rng.choice("etaoin") for _ in range(rng.randint(1, 7))) for _ in range(9)]))
+    pages, fields = [], []
+    for d in range(60):
+        sheets = {k: [word() for _ in range(rng.choice((0, 3, 40)))] for k in rng.sample(range(6), rng.randint(0, 5))}
+        pages += [(f"d{d}", k, words) for k, words in sheets.items()]
+        for q in range(rng.randint(0, 4)):
+            held = rng.choice([*sheets.values(), ["absent"]])
+            at = rng.randrange(max(1, len(held)))
+            quote = list(" ".join(held[at : at + 6]))
+            if quote and rng.random() < 0.5:
+                quote[rng.randrange(len(quote))] = "#z"
+            fields.append((f"d{d}", f"q{q}", rng.choice(("".join(quote), None)) if q == 3 else "".join(quote), rng.choice((None, 0, 1, 4, 9))))
+    folded = lambda words: [w for w in (x.strip(".#").lower() for x in words) if w]
+    want = set()
+    for d, key, quote, cited in fields:
+        of = sorted(((k, folded(w)) for x, k, w in pages if x == d), key=lambda x: (2 if cited is None else min(2, abs(x[0] - cited)), x[0]))
+        q, best, failure, a, b = " ".join(folded((quote or "").split())), (0.0, None, 0, 0), None, None, None
+        if not q:
+            failure = "no_quote"
+        elif not any(w for _, w in of):
+            failure = "no_text_layer"
+        else:
+            for k, words in of:
+                score, i, j = ground.best_window(q, " ".join(words))
+                if score > best[0]:
+                    best = (score, k, i, j)
+                if best[0] >= ground.ENOUGH:
+                    break
+            if best[0] < ground.LEAST:
+                failure = "quote_not_found" if cited is None or cited in dict(of) else "page_out_of_range"
+                best = (best[0], None, 0, 0)
+        at = 0
+        for n, w in enumerate(dict(of).get(best[1], ())):
+            if at < best[3] and best[2] < at + len(w):
+                a, b = (n if a is None else a), n + 1
+            at += len(w) + 1
+        want.add((d, key, round(best[0], 1), best[1], a, b, failure))
+    assert {None, "no_quote", "no_text_layer", "quote_not_found", "page_out_of_range"} == {x[6] for x in want} and sum(85 <= x[2] < 100 for x in want) > 9
+    usual = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = ground.ground(spark.createDataFrame(fields, "document_id string, field_key string, quote string, page_index int"), spark.createDataFrame(pages, "document_id string, page_index int, words array<string>"))
+        got = [tuple(r) for r in found.collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", usual)
+    assert len(got) == len(fields) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" not in plan and plan.count("MapInArrow") == 1  # Python was called once a document, at some 10 ms each
+
+
+def test_search_of_repeated_words_scores_few_stretches(monkeypatch):
+    """Equal stretches further on can't be first: one is scored, and those before it; over runs of pages as over pages."""
+    monkeypatch.setattr(ground, "LETTERS_HELD", 500)
+    quote, pages = "so on and so on and", [(k, ("so on end " * 40).strip()) for k in range(20)] + [(20, "so on and so onx and")]
+    scored, kept = [], ground.Stretches.score
+
+    def score(self, places, bounds, least, found):
+        kept(self, places, bounds, least, found)
+        scored.extend(found)
+
+    monkeypatch.setattr(ground.Stretches, "score", score)
+    best = max(((*ground.best_window(quote, text)[:1], -k, *ground.best_window(quote, text)[1:]) for k, text in pages), key=lambda x: x[:2])
+    assert ground.search(quote, pages) == (best[0], -best[1], *best[2:])
+    assert len(scored) < 2000  # 8,000 places
