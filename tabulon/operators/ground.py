@@ -83,6 +83,10 @@ class Stretches:
         edge[self.ends] -= 1
         self.sizes = self._within(np.cumsum(edge[:-1], dtype=np.int32), n)
         self.both = self.sizes + n
+        self.masks: dict[str, int] = {}
+        for i, x in enumerate(quote):
+            self.masks[x] = self.masks.get(x, 0) | 1 << i
+        self.top = (0.0, 1, 0.0, 0)
 
     @staticmethod
     def _within(counts: np.ndarray, n: int) -> np.ndarray:
@@ -112,70 +116,64 @@ class Stretches:
                 common += np.minimum(times, self._within(self.ids == k, len(self.quote)))
         return common
 
-    def score(self, places: np.ndarray, bounds: np.ndarray, least: float, found: list[tuple[float, int]]) -> None:
-        """Adds (ratio, place) to `found`, from the highest bound on, as long as a bound reaches `least` and the best ratio so far; of equals the first place counts."""
-        n, masks, full = len(self.quote), {}, (1 << len(self.quote)) - 1
-        for i, x in enumerate(self.quote):
-            masks[x] = masks.get(x, 0) | 1 << i
+    def ratio(self, first: int, end: int) -> float:
+        """Indel ratio (0 to 100) of the quote and these letters of the text."""
+        n, row, full = len(self.quote), (1 << len(self.quote)) - 1, (1 << len(self.quote)) - 1
+        for y in self.text[first:end]:  # the zeros of row count the longest common subsequence
+            u = row & self.masks.get(y, 0)
+            row = ((row + u) | (row - u)) & full
+        return 200 * (n - row.bit_count()) / (n + end - first)
+
+    def score(self, places: np.ndarray, bounds: np.ndarray, least: float) -> None:
+        """Finds the best place, from the highest bound on, as long as a bound reaches `least` and what is best so far.
+
+        As page by page: a page that has ENOUGH comes before all later ones, else the higher ratio counts; of equals the first.
+        """
         begins, ends = self.begins.tolist(), self.ends.tolist()
-        top, first = max(found, key=lambda x: (x[0], -x[1]), default=(0.0, 0))
         order = np.argsort(-bounds, kind="stable")
         for place, bound in zip(places[order].tolist(), bounds[order].tolist(), strict=True):
-            if bound < max(least, min(top, ENOUGH)):
+            if bound < max(least, self.top[0]):
                 break
-            if bound <= top and place > first:
-                continue
             page = bisect_right(ends, place)
-            stretch, row = self.text[max(place, begins[page]) : min(place + n, ends[page])], full
-            for y in stretch:  # the zeros of row count the longest common subsequence
-                u = row & masks.get(y, 0)
-                row = ((row + u) | (row - u)) & full
-            ratio = 200 * (n - row.bit_count()) / (n + len(stretch))
-            found.append((ratio, place))
-            if ratio > top or (ratio == top and place < first):
-                top, first = ratio, place
-
-    def best(self, found: list[tuple[float, int]]) -> tuple[float, int, int, int]:
-        """(ratio, page, first, end letter) as page by page: the first page that has ENOUGH, else the first of the best."""
-        enough = [place for ratio, place in found if ratio >= ENOUGH]
-        if enough:
-            last = self.ends[bisect_right(self.ends, min(enough))]
-            found = [x for x in found if x[1] < last]
-        ratio, place = max(found, key=lambda x: (x[0], -x[1]), default=(0.0, 0))
-        if not ratio:
+            if (min(bound, ENOUGH), -page, bound, -place) > self.top:
+                ratio = self.ratio(max(place, begins[page]), min(place + len(self.quote), ends[page]))
+                self.top = max(self.top, (min(ratio, ENOUGH), -page, ratio, -place))
+
+    def best(self, above: float) -> tuple[float, int, int, int]:
+        """(ratio, page, first, end letter) of the best place, if that is more than `above`; else 0."""
+        _, page, ratio, place = self.top
+        if ratio <= above:
             return 0.0, 0, 0, 0
-        page = bisect_right(self.ends, place)
+        page, place = -page, -place
         begin, end = int(self.begins[page]), int(self.ends[page])
         return ratio, page, max(place - begin, 0), min(place + len(self.quote), end) - begin
 
 
 def alike(quote: str, pages: list[str], above: float = 0.0) -> tuple[float, int, int, int]:
     """(ratio, page, first, end letter) as best_window finds it page by page, if that is LEAST at least and more than `above`; else 0. No page holds the quote as it is."""
-    held, found, least = Stretches(quote, pages), [], max(LEAST, above)
+    held, least = Stretches(quote, pages), max(LEAST, above)
     most = held.by_pairs()
     maybe = np.flatnonzero((200 * most >= LEAST * held.both) & (200 * most > above * held.both))
     bounds = 200 * most[maybe] / held.both[maybe]
     if len(maybe) > FIRST_SCORED:
         some = np.argsort(-bounds, kind="stable")[:FIRST_SCORED]
-        held.score(maybe[some], bounds[some], least, found)
-        rest = bounds >= max(least, min(max((s for s, _ in found), default=0.0), ENOUGH))
+        held.score(maybe[some], bounds[some], least)
+        rest = bounds >= max(least, held.top[0])
         rest[some] = False
         maybe = maybe[rest]
         bounds = 200 * np.minimum(most, held.by_letters())[maybe] / held.both[maybe] if len(maybe) else bounds[rest]
-    held.score(maybe, bounds, least, found)
-    best = held.best(found)
-    return best if best[0] >= LEAST and best[0] > above else (0.0, 0, 0, 0)
+    held.score(maybe, bounds, least)
+    best = held.best(above)
+    return best if best[0] >= LEAST else (0.0, 0, 0, 0)
 
 
 def less_alike(quote: str, pages: list[str], above: float = 0.0) -> tuple[float, int, int, int]:
     """The same where no page has LEAST: of what best_window scores, since its letters could reach LEAST, the best, if that is more than `above`."""
-    held, found = Stretches(quote, pages), []
+    held = Stretches(quote, pages)
     common = held.by_letters()
     maybe = np.flatnonzero(200 * common >= LEAST * held.both)
-    bounds = 200 * np.minimum(common, held.by_pairs())[maybe] / held.both[maybe]
-    held.score(maybe, bounds, above, found)
-    best = held.best(found)
-    return best if best[0] > above else (0.0, 0, 0, 0)
+    held.score(maybe, 200 * np.minimum(common, held.by_pairs())[maybe] / held.both[maybe], above)
+    return held.best(above)
 
 
 def runs(pages: list[str], gap: int) -> Iterator[tuple[int, list[str]]]:

@@ -369,13 +369,12 @@ def test_search_of_repeated_words_scores_few_stretches(monkeypatch):
     """Equal stretches further on can't be first: one is scored, and those before it; over runs of pages as over pages."""
     monkeypatch.setattr(ground, "LETTERS_HELD", 500)
     quote, pages = "so on and so on and", [(k, ("so on end " * 40).strip()) for k in range(20)] + [(20, "so on and so onx and")]
-    scored, kept = [], ground.Stretches.score
-
-    def score(self, places, bounds, least, found):
-        kept(self, places, bounds, least, found)
-        scored.extend(found)
-
-    monkeypatch.setattr(ground.Stretches, "score", score)
+    scored, kept = [], ground.Stretches.ratio
+    monkeypatch.setattr(ground.Stretches, "ratio", lambda self, *place: scored.append(place) or kept(self, *place))
     best = max(((*ground.best_window(quote, text)[:1], -k, *ground.best_window(quote, text)[1:]) for k, text in pages), key=lambda x: x[:2])
     assert ground.search(quote, pages) == (best[0], -best[1], *best[2:])
     assert len(scored) < 2000  # 8,000 places
+    scored.clear()
+    score, first, end = ground.best_window("x" * 50 + "#" + "x" * 449, "x" * 502)
+    assert ground.search("x" * 50 + "#" + "x" * 449, [(0, "y"), (1, "x" * 502)]) == (score, 1, first, end)
+    assert len(scored) < 5  # what is on the same page and can only be less isn't scored
